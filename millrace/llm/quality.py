@@ -161,20 +161,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> FactorisationM
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", *, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``keep`` with score (0 to 1) and predicted (1 if score >= threshold).
+    """Columns ``keep`` with _mr_score (0 to 1) and _mr_predicted (1 if the score >= threshold).
 
     Null counts as empty; empty texts are scored on their statistics alone.
     """
     model = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.w, machine.v))
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_mr_text"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{text_col}`")] if at == len(keep) else []))
+    kept = base.schema.fields[: len(keep)]
+    schema = T.StructType([*kept, T.StructField("_mr_score", T.DoubleType()), T.StructField("_mr_predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, fm = Featurizer(), FactorisationMachine(1, 1)
         fm.bias, fm.w, fm.v = model.value
         for batch in batches:
-            scores = [fm.score(*make(x.as_py())) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names[:-1], "score", "predicted"])
+            scores = [fm.score(*make(x.as_py())) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], schema.names)
 
     return base.mapInArrow(run, schema)
 
@@ -187,4 +189,11 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     """
     machine = fit_quality(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows, train=id_bucket(id_col, held_out_of) != held_out)
     scored = score_quality(docs, machine, text_col, keep=[id_col], threshold=threshold)
-    return scored.select(F.col(f"`{id_col}`"), F.coalesce(id_bucket(id_col, held_out_of) == held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+    return scored.select(F.col(f"`{id_col}`"), F.coalesce(id_bucket(id_col, held_out_of) == held_out, F.lit(False)).alias("held_out"), F.col("_mr_score").alias("score"), F.col("_mr_predicted").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, held_out_of: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    machine = fit_quality(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows, train=id_bucket(id_col, held_out_of) != held_out)
+    scored = score_quality(docs, machine, text_col, keep=list(docs.columns), threshold=threshold)
+    return scored.filter("_mr_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -176,25 +176,43 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, words: int = SHINGLE_WORDS, tau: int = MAX_BITS, segments: int = SEGMENTS, key_cap: int = KEY_CAP, extra: list[Column] | None = None) -> DataFrame:
+def _resolved(docs: DataFrame, text_col: str, id_col: str, mark: Column | None, words: int, tau: int, segments: int, key_cap: int) -> tuple[DataFrame, DataFrame, Workspace]:
+    """rows (id, fp, mark) and, by fingerprint, (class_fp, root, component_id)."""
+    work = Workspace(docs.sparkSession, "simhash")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), (mark if mark is not None else F.lit(0)).alias("mark"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), base.schema["mark"]])
+    rows = work.put(base.mapInArrow(_fingerprints(words), schema), "prints")
+    classes = work.put(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
+    edges = hamming_links(classes.select("fp"), work, tau=tau, segments=segments, key_cap=key_cap)
+    roots = work.put(connected_components(edges, work), "roots")
+    with_root = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", F.col("root").isNotNull().alias("linked"))
+    named = with_root.filter("linked").groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("linked_id"))
+    final = with_root.join(named, with_root["root"] == named["r"], "left").select(F.col("fp").alias("class_fp"), "root", F.coalesce("linked_id", "first_id").alias("component_id"))
+    return rows, work.put(final, "components"), work
+
+
+def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, words: int = SHINGLE_WORDS, tau: int = MAX_BITS, segments: int = SEGMENTS, key_cap: int = KEY_CAP) -> DataFrame:
     """One row per input row: ``id_col, fingerprint, component_id``.
 
     Fingerprints link at ``tau`` or fewer differing bits; component_id is the
     smallest id reachable over links, the row's own included. Null and wordless
     texts have fingerprint zero and link like others. Null ids are passed over
     by the minimum (null if the component has no other); repeated rows are each
-    returned. Other columns are ignored, except ``extra``, which is appended.
+    returned; other columns are ignored.
     """
-    work = Workspace(docs.sparkSession, "simhash")
-    more = [c.alias(f"x{i}") for i, c in enumerate(extra or [])]
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *more)
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *base.schema.fields[2:]])
-    rows = work.put(base.mapInArrow(_fingerprints(words), schema), "prints")
-    classes = work.put(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    edges = hamming_links(classes.select("fp"), work, tau=tau, segments=segments, key_cap=key_cap)
-    roots = work.put(connected_components(edges, work), "roots")
-    named = roots.join(classes, roots["node"] == classes["fp"]).groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    linked_ids = roots.join(named, "root").select("node", "linked_id")
-    classes = classes.join(linked_ids, classes["fp"] == linked_ids["node"], "left").select(F.col("fp").alias("class_fp"), F.coalesce("linked_id", "first_id").alias("component_id"))
-    final = work.put(classes, "components")
-    return rows.join(final, rows["fp"] == final["class_fp"], "left").select(F.col("id").alias(id_col), _hex(F.col("fp")).alias("fingerprint"), "component_id", *[f"x{i}" for i in range(len(more))])
+    rows, final, _ = _resolved(docs, text_col, id_col, None, words, tau, segments, key_cap)
+    return rows.join(final, rows["fp"] == final["class_fp"], "left").select(F.col("id").alias(id_col), _hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, words: int = SHINGLE_WORDS, tau: int = MAX_BITS, segments: int = SEGMENTS, key_cap: int = KEY_CAP) -> DataFrame:
+    """The rows of ``docs``, all columns, less all of a component but its smallest id.
+
+    Rows equal in id and text count as one document; a null id gives way to others.
+    """
+    mark = F.xxhash64(F.col(f"`{text_col}`"))
+    rows, final, work = _resolved(docs, text_col, id_col, mark, words, tau, segments, key_cap)
+    placed = rows.join(final, rows["fp"] == final["class_fp"]).select("root", F.struct(F.col("id").isNull().alias("none"), "id", "mark").alias("who"))
+    groups = placed.groupBy(F.col("root").alias("r")).agg(F.min("who").alias("first"), F.max("who").alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("r", "first")
+    gone = placed.join(groups, placed["root"] == groups["r"]).filter(~F.col("who").eqNullSafe(F.col("first")))
+    gone = work.put(gone.select(F.col("who.id").alias("_gone_id"), F.col("who.mark").alias("_gone_mark")).distinct(), "gone")
+    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["_gone_id"]) & (mark == gone["_gone_mark"]), "left_anti")
