@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.jsnum import cell_text
 from .delimited import quoted
@@ -133,7 +134,7 @@ def sorted_keys(text: str) -> str:
 def mapped(f: Callable[[str], str]):
     """A text function as a vectorised column function; null stays null."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def over(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else f(x))
 

@@ -53,7 +53,7 @@ def read_dbc(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     comment = r'^CM_\s+(BO_|SG_)\s+(\d+)\s+(?:([A-Za-z_][\w.]*)\s+)?"(.*)"\s*;?$'
     comments = all_lines.filter(F.col("t").rlike(comment)).select("file", "line", get(comment, 2).cast("long").alias("message_id"), F.when(get(comment, 1) == "SG_", get(comment, 3)).alias("signal"), get(comment, 4).alias("comment"))
     value = r"^VAL_\s+(\d+)\s+([A-Za-z_][\w.]*)\s+(.*?);?$"
-    pairs = F.transform(_all(get(value, 3), r'(-?\d+)\s+"([^"]*)"', 1, 2), lambda x: F.struct(x["0"].cast("long").alias("value"), x["1"].alias("label")))
+    pairs = F.transform(_all(get(value, 3), r'(-?\d+)\s+"([^"]*)"', 1, 2), lambda x: F.struct(x["g0"].cast("long").alias("value"), x["g1"].alias("label")))
     values = all_lines.filter(F.col("t").rlike(value)).select("file", "line", get(value, 1).cast("long").alias("message_id"), get(value, 2).alias("signal"), pairs.alias("values"))
     nodes = all_lines.filter(F.col("t").rlike(r"^BU_\s*:")).select("file", F.explode(F.split(F.trim(F.regexp_replace("t", r"^BU_\s*:\s*", "")), r"\s+")).alias("node")).filter("node <> ''")
 
@@ -94,7 +94,7 @@ def read_arxml(spark: SparkSession, path: str, preview: bool = False) -> Report:
     kinds = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(tag).alias("type"), F.regexp_extract_all(t, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)).alias("found")) for i, tag in enumerate(ARXML_ELEMENTS)])
     elements = docs.select("file", F.inline(kinds)).select("file", "k", "type", F.posexplode("found").alias("at", "m")).filter(has_name).select("file", "k", "at", "type", name(F.col("m")).alias("name"))
     # Java's patterns have back-references, as needed for the end tag
-    refs = _exploded(docs, _all(t, r"(?s)<([A-Z0-9-]*REF)\b([^>]*)>(.*?)</\1>", 1, 2, 3), tag=F.col("m.0"), dest=_attribute(F.col("m.1"), "DEST"), target=decode_xml(F.trim(F.col("m.2"))))
+    refs = _exploded(docs, _all(t, r"(?s)<([A-Z0-9-]*REF)\b([^>]*)>(.*?)</\1>", 1, 2, 3), tag=F.col("m.g0"), dest=_attribute(F.col("m.g1"), "DEST"), target=decode_xml(F.trim(F.col("m.g2"))))
     counts = docs.select("file", F.nullif(F.regexp_extract(t, r'<AUTOSAR\b[^>]*\sxmlns="([^"]+)"', 1), F.lit("")).alias("namespace"))
     total = packages.agg(F.count("*").alias("packages")).crossJoin(elements.agg(F.count("*").alias("elements"))).crossJoin(refs.agg(F.count("*").alias("references"))).crossJoin(counts.agg(F.first("namespace", ignorenulls=True).alias("namespace")))
     summary = summary_of(total, {"packages": "Packages", "elements": "Named elements", "references": "References", "namespace": "XML namespace"})
@@ -184,7 +184,7 @@ def read_reqif(spark: SparkSession, path: str, preview: bool = False) -> Report:
     header = docs.select("file", F.inline(F.array(*[F.struct(F.lit(k).alias("field"), v.alias("value")) for k, v in fields.items()])))
 
     def items(pattern: str) -> DataFrame:
-        return _exploded(docs, _all(t, rf"(?i)<({pattern})(?!-)\b([^>]*)>", 1, 2), kind=F.upper(F.col("m.0")), identifier=_attribute(F.col("m.1"), "IDENTIFIER"), long_name=decode_xml(_attribute(F.col("m.1"), "LONG-NAME")))
+        return _exploded(docs, _all(t, rf"(?i)<({pattern})(?!-)\b([^>]*)>", 1, 2), kind=F.upper(F.col("m.g0")), identifier=_attribute(F.col("m.g1"), "IDENTIFIER"), long_name=decode_xml(_attribute(F.col("m.g1"), "LONG-NAME")))
 
     tables = {"specifications": items("SPECIFICATION"), "objects": items("SPEC-OBJECT"), "relations": items("SPEC-RELATION")}
     definitions = items("DATATYPE-DEFINITION-[A-Z-]+").unionByName(items("SPEC-[A-Z-]*TYPE"))

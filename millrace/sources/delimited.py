@@ -44,7 +44,7 @@ def cells(column: Column, delimiter: str, trim: bool = True) -> Column:
             yield batch.map(lambda x: None if x is None else split_cells(x, delimiter, trim))
 
     plain = F.split(column, re.escape(delimiter), -1)
-    plain = F.transform(plain, F.trim) if trim else plain
+    plain = F.transform(plain, lambda x: F.trim(x)) if trim else plain
     return F.when(F.contains(column, F.lit('"')), lenient(F.when(F.contains(column, F.lit('"')), column))).otherwise(plain)
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .delimited import DELIMITERS, unquoted_count
 from .files import binaries, extension
@@ -144,12 +145,12 @@ def office_of_zip(content: bytes) -> str | None:
     return "hwp" if hwpx else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _sniffed(sample: pd.Series, ext: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else sniff_text(bytes(s).decode("utf-8", "replace"), e) for s, e in zip(sample, ext)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _zipped(content: pd.Series) -> pd.Series:
     return content.map(lambda c: None if c is None else office_of_zip(bytes(c)))
 
@@ -192,4 +193,10 @@ def detect_contents(files: DataFrame, fallback: str | None = None, *, compat: bo
 
 
 def detect(spark: SparkSession, path: str | list[str], fallback: str | None = None, *, compat: bool = False) -> DataFrame:
-    return detect_contents(binaries(spark, path), fallback, compat=compat)
+    """The format of each file under a path. Spark reads no row of an empty file, so
+    the listing is the left side."""
+    found = detect_contents(binaries(spark, path), fallback, compat=compat)
+    listed = spark.createDataFrame([(re.sub("^file:/+", "file:/", f),) for f in spark.read.format("binaryFile").load(path).inputFiles()], "file string")
+    empty = F.col("by_signature").isNull()
+    joined = listed.join(found, "file", "left")
+    return joined.select("file", F.when(empty, F.lit(fallback).cast("string")).otherwise(F.col("format")).alias("format"), F.when(empty, "The file is empty").otherwise(F.col("reason")).alias("reason"), F.coalesce("by_signature", F.lit(False)).alias("by_signature"))

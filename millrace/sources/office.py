@@ -103,7 +103,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> Data
 
 
 def sheet_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("file", "sheet_no", "sheet").agg(F.count_if("row > 0").alias("total_rows"), F.max(F.size("cells")).cast("long").alias("total_columns"))
+    return rows.groupBy("file", "sheet_no", "sheet").agg(F.count_if(F.expr("row > 0")).alias("total_rows"), F.max(F.size("cells")).cast("long").alias("total_columns"))
 
 
 def table_cells(data: bytes) -> Iterator[tuple]:

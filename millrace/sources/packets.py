@@ -51,7 +51,7 @@ def read_pcap(spark: SparkSession, path: str, preview: bool = False) -> Report:
     stamp = F.concat(F.col("ts_sec").cast("string"), F.lit("."), F.lpad(F.col("ts_frac").cast("string"), F.greatest(F.col("digits"), F.length(F.col("ts_frac").cast("string"))), F.lit("0")))
     kept = capped(frames, PREVIEW_PACKETS, "file", "no", preview)
     head = parsed(files, "content", _global_header, "field string, value string")
-    summary = summary_of(frames.agg(F.count_if("no > 0").alias("n"), F.countDistinct("file").alias("files")), {"files": "Files", "n": "Packets parsed"})
+    summary = summary_of(frames.agg(F.count_if(F.expr("no > 0")).alias("n"), F.countDistinct("file").alias("files")), {"files": "Files", "n": "Packets parsed"})
     return Report(summary, {"header": head, "packets": _packets(kept, stamp)}, frames.filter("problem IS NOT NULL").select(F.col("problem").alias("message")))
 
 
