@@ -13,6 +13,15 @@ from .files import capped, lines, text_lines, texts
 ARXML_ELEMENTS = ("CAN-CLUSTER", "CAN-PHYSICAL-CHANNEL", "CAN-FRAME-TRIGGERING", "FRAME", "I-SIGNAL", "I-PDU", "SIGNAL-I-PDU", "ECU-INSTANCE")
 A2L_FOCUS = ("PROJECT", "MODULE", "IF_DATA", "MEASUREMENT", "CHARACTERISTIC", "COMPU_METHOD", "RECORD_LAYOUT", "EVENT")
 STEP_HEADER = ("name", "timestamp", "author", "organization", "preprocessor", "originating_system", "authorization")
+#: Line and tag patterns of the formats.
+DBC_MESSAGE = r"^BO_\s+(\d+)\s+([A-Za-z_][\w.]*)\s*:\s*(\d+)\s+(\S+)"
+DBC_SIGNAL = r'^SG_\s+([A-Za-z_][\w.]*)\s*(M|m\d+M?)?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*\(([^,]+),([^)]+)\)\s*\[([^|]*)\|([^\]]*)\]\s*"([^"]*)"\s*(.*)$'
+DBC_COMMENT = r'^CM_\s+(BO_|SG_)\s+(\d+)\s+(?:([A-Za-z_][\w.]*)\s+)?"(.*)"\s*;?$'
+DBC_VALUES = r"^VAL_\s+(\d+)\s+([A-Za-z_][\w.]*)\s+(.*?);?$"
+A2L_BLOCK = r'^\s*/begin\s+([A-Za-z0-9_]+)(?:\s+("[^"]+"|\S+))?'
+ASC_EVENT = r"^\d+(?:\.\d+)?\s+"
+ASC_CLASSIC = r"^(\d+(?:\.\d+)?)\s+(\d+)\s+([0-9A-Fa-f]+x?)\s+(Rx|Tx)\s+d\s+(\d+)\s*(.*)$"
+STEP_ENTITY = r"(?i)^\s*#(\d+)\s*=\s*([A-Z0-9_]+)\s*\("
 PREVIEW_ROWS, PREVIEW_EVENTS, PREVIEW_HEADERS = 1000, 5000, 20
 
 
@@ -40,19 +49,19 @@ def read_dbc(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     are joined by id and name, the last of several comments counts.
     """
     all_lines = text_lines(texts(spark, path)).withColumn("t", F.trim("text")).filter("t <> ''")
-    message = r"^BO_\s+(\d+)\s+([A-Za-z_][\w.]*)\s*:\s*(\d+)\s+(\S+)"
+    message = DBC_MESSAGE
     get = lambda p, g: F.regexp_extract("t", p, g)
     owned = all_lines.filter(F.col("t").rlike(r"^(BO_|SG_)\s")).withColumn("message_id", F.last(F.when(F.col("t").rlike(message), get(message, 1).cast("long")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     messages = all_lines.filter(F.col("t").rlike(message)).select("file", "line", get(message, 1).cast("long").alias("message_id"), get(message, 2).alias("name"), get(message, 3).cast("int").alias("dlc"), get(message, 4).alias("transmitter"))
-    signal = r'^SG_\s+([A-Za-z_][\w.]*)\s*(M|m\d+M?)?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*\(([^,]+),([^)]+)\)\s*\[([^|]*)\|([^\]]*)\]\s*"([^"]*)"\s*(.*)$'
+    signal = DBC_SIGNAL
     signals = owned.filter(F.col("t").rlike(signal) & F.col("message_id").isNotNull()).select(
         "file", "line", "message_id", get(signal, 1).alias("signal"), F.nullif(get(signal, 2), F.lit("")).alias("multiplexer"), get(signal, 3).cast("int").alias("start"), get(signal, 4).cast("int").alias("length"),
         F.when(get(signal, 5) == "1", "Intel").otherwise("Motorola").alias("byte_order"), (get(signal, 6) == "-").alias("signed"), F.trim(get(signal, 7)).try_cast("double").alias("factor"), F.trim(get(signal, 8)).try_cast("double").alias("offset"),
         F.trim(get(signal, 9)).try_cast("double").alias("minimum"), F.trim(get(signal, 10)).try_cast("double").alias("maximum"), get(signal, 11).alias("unit"), F.filter(F.split(F.trim(get(signal, 12)), r"[,\s]+"), lambda x: x != "").alias("receivers"),
     )
-    comment = r'^CM_\s+(BO_|SG_)\s+(\d+)\s+(?:([A-Za-z_][\w.]*)\s+)?"(.*)"\s*;?$'
+    comment = DBC_COMMENT
     comments = all_lines.filter(F.col("t").rlike(comment)).select("file", "line", get(comment, 2).cast("long").alias("message_id"), F.when(get(comment, 1) == "SG_", get(comment, 3)).alias("signal"), get(comment, 4).alias("comment"))
-    value = r"^VAL_\s+(\d+)\s+([A-Za-z_][\w.]*)\s+(.*?);?$"
+    value = DBC_VALUES
     pairs = F.transform(_all(get(value, 3), r'(-?\d+)\s+"([^"]*)"', 1, 2), lambda x: F.struct(x["g0"].cast("long").alias("value"), x["g1"].alias("label")))
     values = all_lines.filter(F.col("t").rlike(value)).select("file", "line", get(value, 1).cast("long").alias("message_id"), get(value, 2).alias("signal"), pairs.alias("values"))
     nodes = all_lines.filter(F.col("t").rlike(r"^BU_\s*:")).select("file", F.explode(F.split(F.trim(F.regexp_replace("t", r"^BU_\s*:\s*", "")), r"\s+")).alias("node")).filter("node <> ''")
@@ -106,7 +115,7 @@ def read_arxml(spark: SparkSession, path: str, preview: bool = False) -> Report:
 
 
 def read_a2l(spark: SparkSession, path: str, preview: bool = False) -> Report:
-    pattern = r'^\s*/begin\s+([A-Za-z0-9_]+)(?:\s+("[^"]+"|\S+))?'
+    pattern = A2L_BLOCK
     blocks = lines(spark, path).filter(F.col("text").rlike(pattern)).select("file", F.upper(F.regexp_extract("text", pattern, 1)).alias("type"), F.nullif(F.regexp_replace(F.regexp_extract("text", pattern, 2), '^"|"$', ""), F.lit("")).alias("name"), "line")
     counts = blocks.groupBy("type").agg(F.count("*").alias("count"), F.min("line").alias("first_line"))
     of = lambda kind: F.count_if(F.col("type") == kind)
@@ -120,7 +129,7 @@ def read_a2l(spark: SparkSession, path: str, preview: bool = False) -> Report:
 def read_asc(spark: SparkSession, path: str, preview: bool = False) -> Report:
     """Events of ASCII CAN logs. Lines are read in splits, so a log of any size is spread over tasks."""
     numbered = lines(spark, path).withColumn("t", F.trim("text")).filter("t <> ''")
-    is_event = F.col("t").rlike(r"^\d+(?:\.\d+)?\s+")
+    is_event = F.col("t").rlike(ASC_EVENT)
     headers = numbered.filter(~is_event).select("file", "line", F.col("t").alias("header"))
     parts = numbered.filter(is_event).withColumn("p", F.split("t", r"\s+")).filter(F.size("p") >= 5)
     hexed = F.array_position(F.transform("p", lambda x: x.rlike("^[0-9A-Fa-f]+x?$") & (x != F.get("p", F.lit(2)))), True).cast("int")
@@ -128,7 +137,7 @@ def read_asc(spark: SparkSession, path: str, preview: bool = False) -> Report:
     fd = parts.filter(F.get("p", F.lit(1)) == "CANFD").withColumn("at", hexed - 1)
     part = lambda i: F.get("p", i)
     fd = fd.select("file", part(F.lit(0)).alias("time"), F.lit("CANFD").alias("type"), part(F.lit(2)).alias("channel"), part(F.lit(3)).alias("direction"), F.when(at >= 0, part(at)).alias("id"), F.when(at >= 2, part(at + 1)).alias("dlc"), F.when(at >= 0, F.array_join(F.slice("p", at + 6, F.size("p")), " ")).otherwise("").alias("data"), "line")
-    classic = r"^(\d+(?:\.\d+)?)\s+(\d+)\s+([0-9A-Fa-f]+x?)\s+(Rx|Tx)\s+d\s+(\d+)\s*(.*)$"
+    classic = ASC_CLASSIC
     get = lambda g: F.regexp_extract("t", classic, g)
     can = parts.filter((F.get("p", F.lit(1)) != "CANFD") & F.col("t").rlike(classic)).select("file", get(1).alias("time"), F.lit("CAN").alias("type"), get(2).alias("channel"), get(4).alias("direction"), get(3).alias("id"), get(5).alias("dlc"), F.trim(get(6)).alias("data"), "line")
     events = fd.unionByName(can)
@@ -159,7 +168,7 @@ def split_step_arguments(value: str | None) -> list[str]:
 
 
 def read_step(spark: SparkSession, path: str, preview: bool = False) -> Report:
-    pattern = r"(?i)^\s*#(\d+)\s*=\s*([A-Z0-9_]+)\s*\("
+    pattern = STEP_ENTITY
     entities = lines(spark, path).filter(F.col("text").rlike(pattern)).select("file", F.concat(F.lit("#"), F.regexp_extract("text", pattern, 1)).alias("id"), F.upper(F.regexp_extract("text", pattern, 2)).alias("type"), "line")
     split = F.udf(split_step_arguments, "array<string>")  # of one header a file
     section = lambda k: split(F.regexp_extract("text", rf"(?is){k}\s*\(([^;]*)\);", 1))

@@ -99,37 +99,86 @@ def _is_object(text: str) -> bool:
         return False
 
 
+#: Line patterns of text formats, and of whole samples.
+LINE_PATTERNS = {
+    "toml table": r"^\[\[?[A-Za-z0-9_.\-\"'\s]+\]?\]$",
+    "toml setting": r"^[A-Za-z0-9_.\-\"']+\s*=",
+    "dbc message": r"^BO_\s+\d+\s+[A-Za-z_][\w.]*\s*:\s*\d+\s+\S+",
+    "dbc signal": r"^SG_\s+[A-Za-z_][\w.]*\s*(?:M|m\d+)?\s*:",
+    "dbc header": r"^(VERSION|NS_|BS_|BU_):?",
+    "a2l begin": r"^/begin\s+[A-Za-z0-9_]+",
+    "a2l end": r"^/end\s+[A-Za-z0-9_]+",
+    "a2l version": r"^ASAP2_VERSION\b",
+    "asc date": r"(?i)^date\s+",
+    "asc base": r"(?i)^base\s+(hex|dec)",
+    "asc event": r"^\d+(?:\.\d+)?\s+(?:CANFD|\d+\s+[0-9A-Fa-f]+x?\s+(?:Rx|Tx)\s+d\b)",
+    "step start": r"(?i)^ISO-10303-21;$",
+    "step header": r"(?i)^HEADER;$",
+    "step schema": r"(?i)^FILE_SCHEMA\s*\(",
+    "proto syntax": r'^syntax\s*=\s*"proto[23]"\s*;',
+    "proto package": r"^package\s+[\w.]+\s*;",
+    "proto type": r"^(message|enum|service)\s+[A-Za-z_]\w*\s*\{",
+}
+SAMPLE_PATTERNS = {
+    "arxml": (("<?xml", "<AUTOSAR"), r"<AUTOSAR\b", r"<AR-PACKAGE\b|<SHORT-NAME\b"),
+    "reqif": (("<?xml", "<REQ-IF"), r"<REQ-IF\b", r"<REQ-IF-HEADER\b|<SPEC-OBJECT\b|<SPECIFICATION\b"),
+}
+FIRST_LINES = {
+    "plantuml": (r"^'.*$", r"(?i)^@start[a-z]+\b"),
+    "mermaid": (r"^%%.*$", r"^(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram(-v2)?|erDiagram|journey|gantt|pie|gitGraph|mindmap|timeline|quadrantChart|requirementDiagram)\b"),
+}
+#: The order of the text formats, and how many lines each looks at.
+TEXT_ORDER = ("markdown", "jsonl", "json", "yaml", "toml", "dbc", "arxml", "reqif", "a2l", "asc", "step", "plantuml", "proto", "mermaid", "csv")
+LOOK = {"toml": 20, "dbc": 80, "a2l": 120, "asc": 80, "step": 120, "proto": 80}
+
+
+class _Sample:
+    """A text's lines, and how often each format's line patterns occur in those it looks at."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.rows = [x for x in (r.strip() for r in text.splitlines()) if x]
+
+    def n(self, name: str) -> int:
+        pattern = re.compile(LINE_PATTERNS[name])
+        return sum(bool(pattern.match(x)) for x in self.rows[: LOOK[name.split()[0]]])
+
+    def looks(self, kind: str) -> bool:
+        n, rows, start = self.n, self.rows, self.text.lstrip()
+        if kind in SAMPLE_PATTERNS:
+            first, *patterns = SAMPLE_PATTERNS[kind]
+            return start.startswith(first) and all(re.search(p, self.text) for p in patterns)
+        if kind in FIRST_LINES:
+            comment, pattern = FIRST_LINES[kind]
+            line = next((x for x in (re.sub(comment, "", r).strip() for r in rows) if x), "")
+            return bool(re.match(pattern, line))
+        match kind:
+            case "jsonl":
+                return len(rows) > 1 and all(map(_is_object, rows[:10]))
+            case "json":
+                return start[:1] in ("{", "[") and _is_object(start.strip())
+            case "toml":
+                settings = n("toml setting")
+                return settings > 2 or settings > 0 and n("toml table") > 0
+            case "dbc":
+                return n("dbc message") > 0 and n("dbc signal") + n("dbc header") > 0
+            case "a2l":
+                return n("a2l version") > 0 or n("a2l begin") > 1 and n("a2l end") > 0
+            case "asc" | "step":
+                return all(n(name) for name in LINE_PATTERNS if name.startswith(kind + " "))
+            case "proto":
+                return n("proto syntax") > 0 or n("proto package") > 0 and n("proto type") > 0
+            case "csv":
+                return any(unquoted_count(x, d) for x in rows[:10] for d in DELIMITERS)
+        return False
+
+
 def sniff_text(sample: str, ext: str) -> str | None:
     """The text format of a sample, by name or content."""
-    rows = [x.strip() for x in re.split(r"\r?\n", sample)]
-    rows = [x for x in rows if x]
-    if not rows:
+    s = _Sample(sample)
+    if not s.rows:
         return None
-    some = lambda pattern, n: any(re.match(pattern, x) for x in rows[:n])
-    count = lambda pattern, n: sum(bool(re.match(pattern, x)) for x in rows[:n])
-    start = sample.lstrip()
-    first = lambda comment: next((x for x in (re.sub(comment, "", r).strip() for r in rows) if x), "")
-    tables = count(r"^\[\[?[A-Za-z0-9_.\-\"'\s]+\]?\]$", 20)
-    settings = count(r"^[A-Za-z0-9_.\-\"']+\s*=", 20)
-    named = lambda kind: ext in TEXT_EXTENSIONS[kind]
-    tests = [
-        ("markdown", lambda: named("markdown")),
-        ("jsonl", lambda: named("jsonl") or len(rows) > 1 and all(map(_is_object, rows[:10]))),
-        ("json", lambda: named("json") or start[:1] in "{[" and _is_object(sample.strip())),
-        ("yaml", lambda: named("yaml")),
-        ("toml", lambda: named("toml") or tables > 0 and settings > 0 or settings >= 3),
-        ("dbc", lambda: named("dbc") or some(r"^BO_\s+\d+\s+[A-Za-z_][\w.]*\s*:\s*\d+\s+\S+", 80) and (some(r"^SG_\s+[A-Za-z_][\w.]*\s*(?:M|m\d+)?\s*:", 80) or some(r"^(VERSION|NS_|BS_|BU_):?", 80))),
-        ("arxml", lambda: named("arxml") or start.startswith(("<?xml", "<AUTOSAR")) and re.search(r"<AUTOSAR\b", sample) and re.search(r"<AR-PACKAGE\b|<SHORT-NAME\b", sample)),
-        ("reqif", lambda: named("reqif") or start.startswith(("<?xml", "<REQ-IF")) and re.search(r"<REQ-IF\b", sample) and re.search(r"<REQ-IF-HEADER\b|<SPEC-OBJECT\b|<SPECIFICATION\b", sample)),
-        ("a2l", lambda: named("a2l") or count(r"^/begin\s+[A-Za-z0-9_]+", 120) > 1 and count(r"^/end\s+[A-Za-z0-9_]+", 120) > 0 or some(r"^ASAP2_VERSION\b", 120)),
-        ("asc", lambda: named("asc") or some(r"(?i)^date\s+", 80) and some(r"(?i)^base\s+(hex|dec)", 80) and some(r"^\d+(?:\.\d+)?\s+(?:CANFD|\d+\s+[0-9A-Fa-f]+x?\s+(?:Rx|Tx)\s+d\b)", 80)),
-        ("step", lambda: named("step") or some(r"(?i)^ISO-10303-21;$", 120) and some(r"(?i)^HEADER;$", 120) and some(r"(?i)^FILE_SCHEMA\s*\(", 120)),
-        ("plantuml", lambda: named("plantuml") or re.match(r"(?i)^@start[a-z]+\b", first(r"^'.*$"))),
-        ("proto", lambda: named("proto") or some(r'^syntax\s*=\s*"proto[23]"\s*;', 80) or some(r"^package\s+[\w.]+\s*;", 80) and some(r"^(message|enum|service)\s+[A-Za-z_]\w*\s*\{", 80)),
-        ("mermaid", lambda: named("mermaid") or re.match(r"^(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram(-v2)?|erDiagram|journey|gantt|pie|gitGraph|mindmap|timeline|quadrantChart|requirementDiagram)\b", first(r"^%%.*$"))),
-        ("csv", lambda: named("csv") or any(unquoted_count(x, d) for x in rows[:10] for d in DELIMITERS)),
-    ]
-    return next((kind for kind, test in tests if test()), None)
+    return next((kind for kind in TEXT_ORDER if ext in TEXT_EXTENSIONS[kind] or s.looks(kind)), None)
 
 
 def office_of_zip(content: bytes) -> str | None:
