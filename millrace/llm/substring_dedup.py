@@ -258,7 +258,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     rows = work.put(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), content.alias("content")).select("*", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha")), "rows")
     long = rows.filter(F.col("n_bytes") >= window)
     anchors = work.put(long.select("uid", "content").mapInArrow(_anchors(window, gram), "uid long, h long, lo int, hi int"), "anchors")
-    again = anchors.groupBy("h").count().filter(F.col("count") > 1).select("h")
+    # written, so that the join has two plain sides and a hot gram's rows can be split
+    again = work.put(anchors.groupBy("h").count().filter(F.col("count") > 1).select("h"), "again")
     candidates = anchors.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found"))
     pieces = work.put(long.join(candidates, "uid").select("uid", "content", "found").mapInArrow(_cut_out(window), "kind string, a long, lo int, key binary, content binary"), "pieces", "kind")
     work.drop("anchors")
@@ -272,7 +273,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     if hot.limit(1).count():
         marks = marks.unionByName(_hot_marks(hot, window))
     placed = refs.join(marks, "key").select("uid", F.transform("marks", lambda m: F.struct((m["a"] + F.col("lo")).alias("a"), (m["b"] + F.col("lo")).alias("b"))).alias("marks"))
-    return rows, work.put(placed.groupBy("uid").agg(F.flatten(F.collect_list("marks")).alias("marks")), "spans")
+    spans = work.put(placed.groupBy("uid").agg(F.flatten(F.collect_list("marks")).alias("marks")), "spans")
+    for name in ("again", "pieces", "solved"):
+        work.drop(name)
+    return rows, spans
 
 
 def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:

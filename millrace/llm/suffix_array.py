@@ -3,8 +3,7 @@
 ``suffix_array`` sorts a byte text linearly: suffixes are classed as smaller (S)
 or larger (L) than their right neighbour, the leftmost-S substrings are sorted
 and named, the string of names is sorted recursively, and its order induces that
-of all suffixes. The upper level works on whole buckets at once in numpy; the
-strings of names, a third as long at most, are sorted element by element.
+of all suffixes. Of the text itself, buckets are worked off as wholes in numpy.
 """
 
 from __future__ import annotations
@@ -35,46 +34,51 @@ def _deal(found: np.ndarray, symbols: np.ndarray, to: list[list[np.ndarray]]) ->
         to[symbols[a]].append(found[a:b])
 
 
+def _before(part: np.ndarray, kind: np.ndarray, want: bool) -> np.ndarray:
+    """Positions to the left of some, where they are of the wanted type."""
+    before = part[part > 0] - 1
+    return before[kind[before] == want]
+
+
 def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from leftmost-S suffixes in order within their buckets."""
+    """All suffixes in order, from leftmost-S suffixes in order within their buckets.
+
+    A bucket is worked off in waves: all that other buckets have put there, then
+    what each wave induces into the bucket itself.
+    """
     size = 256
-    none = np.empty(0, np.int64)
     marks: list[list[np.ndarray]] = [[] for _ in range(size)]
     _deal(leftmost, t[leftmost], marks)
     large: list[list[np.ndarray]] = [[] for _ in range(size)]
     for c in range(size):
-        i = 0
-        while i < len(large[c]):  # grows by what a bucket induces into itself
-            before = large[c][i] - 1
-            before = before[before >= 0]
-            before = before[~small[before]]
+        done = 0
+        while done < len(large[c]):
+            wave = np.concatenate(large[c][done:])
+            large[c][done:] = [wave]
+            done += 1
+            before = _before(wave, small, False)
             _deal(before, t[before], large)
-            i += 1
         for part in marks[c]:
-            before = part - 1
-            before = before[before >= 0]
-            before = before[~small[before]]
+            before = _before(part, small, False)
             _deal(before, t[before], large)
     less: list[list[np.ndarray]] = [[] for _ in range(size)]  # each bucket from its end
     less[t[-1]].append(np.array([len(t) - 1], np.int64))
     for c in range(size - 1, -1, -1):
-        i = 0
-        while i < len(less[c]):
-            before = less[c][i] - 1
-            before = before[before >= 0]
-            before = before[small[before]]
+        done = 0
+        while done < len(less[c]):
+            wave = np.concatenate(less[c][done:])
+            less[c][done:] = [wave]
+            done += 1
+            before = _before(wave, small, True)
             _deal(before, t[before], less)
-            i += 1
-        for part in reversed(large[c]):
-            before = part[::-1] - 1
-            before = before[before >= 0]
-            before = before[small[before]]
+        if large[c]:
+            before = _before(np.concatenate(large[c])[::-1], small, True)
             _deal(before, t[before], less)
     out = []
     for c in range(size):
         out += large[c]
         out += [part[::-1] for part in reversed(less[c])]
-    return np.concatenate(out) if out else none
+    return np.concatenate(out)
 
 
 def _names(t: np.ndarray, small: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -93,62 +97,55 @@ def _names(t: np.ndarray, small: np.ndarray, order: np.ndarray, ends: np.ndarray
     return np.r_[0, np.cumsum(~same)]
 
 
-def _sorted_names(s: list[int], symbols: int) -> list[int]:
-    """Suffix array of a list of small integers that ends in its only 0."""
+def _sorted_names(s: np.ndarray, symbols: int) -> np.ndarray:
+    """Suffix array of a string of names, of which the last is the only 0.
+
+    Names are too many for whole buckets to pay: inducing goes element by element.
+    """
     n = len(s)
     if n == 1:
-        return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
-    count = [0] * (symbols + 1)
-    for c in s:
-        count[c + 1] += 1
-    for c in range(symbols):
-        count[c + 1] += count[c]
-
-    def induce(leftmost: list[int]) -> list[int]:
+        return np.zeros(1, np.int64)
+    small = _types(s)
+    marks = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    bounds = np.r_[0, np.cumsum(np.bincount(s, minlength=symbols))].tolist()
+    symbol, is_small = s.tolist(), small.tolist()
+
+    def induce(leftmost: np.ndarray) -> np.ndarray:
         sa = [-1] * n
-        tail = count[1:]
-        for p in reversed(leftmost):
-            c = s[p]
+        tail = bounds[1:]
+        for p in reversed(leftmost.tolist()):
+            c = symbol[p]
             tail[c] -= 1
             sa[tail[c]] = p
-        head = count[:]
-        for i in range(n):
-            p = sa[i] - 1
-            if p >= 0 and not small[p]:
-                c = s[p]
-                sa[head[c]] = p
+        head = bounds[:]
+        for p in sa:
+            # the list grows to the right of the place that is read
+            if p > 0 and not is_small[p - 1]:
+                c = symbol[p - 1]
+                sa[head[c]] = p - 1
                 head[c] += 1
-        tail = count[1:]
+        tail = bounds[1:]
         for i in range(n - 1, -1, -1):
             p = sa[i] - 1
-            if p >= 0 and small[p]:
-                c = s[p]
+            if p >= 0 and is_small[p]:
+                c = symbol[p]
                 tail[c] -= 1
                 sa[tail[c]] = p
-        return sa
+        sa[0] = n - 1
+        return np.array(sa, np.int64)
 
-    marks = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    is_mark = np.zeros(n, bool)
+    is_mark[marks] = True
+    ends = np.zeros(n, np.int64)
+    ends[marks] = np.r_[marks[1:], n - 1]
     sa = induce(marks)
-    sa[0] = n - 1
-    ends = dict(zip(marks, [*marks[1:], n - 1]))
-    order = [p for p in sa if p in ends]
-    name, names, last = 0, {}, None
-    for p in order:
-        if last is not None:
-            a, b = s[last : ends[last] + 1], s[p : ends[p] + 1]
-            if a != b or small[last : ends[last] + 1] != small[p : ends[p] + 1]:
-                name += 1
-        names[p] = name
-        last = p
-    if name + 1 < len(marks):
-        inner = _sorted_names([names[p] for p in marks], name + 1)
-        order = [marks[i] for i in inner]
-    sa = induce(order)
-    sa[0] = n - 1
-    return sa
+    order = sa[is_mark[sa]]
+    names = _names(s, small, order, ends)
+    if names[-1] + 1 < len(order):
+        of = np.zeros(n, np.int64)
+        of[order] = names
+        order = marks[_sorted_names(of[marks], int(names[-1]) + 1)]
+    return induce(order)
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -167,7 +164,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if names[-1] + 1 < len(order):
         of = np.zeros(len(t), np.int64)
         of[order] = names
-        order = marks[np.array(_sorted_names(of[marks].tolist(), int(names[-1]) + 1), np.int64)]
+        order = marks[_sorted_names(of[marks], int(names[-1]) + 1)]
     return _induce(t, small, order)
 
 
