@@ -24,6 +24,7 @@ RANK = 6
 #: Labelled rows that a classifier is fitted on, at most: those with the least hash of the id.
 SAMPLE_ROWS = 12_000
 EPOCHS = 6
+LEAST_STEPS = 1500
 THRESHOLD = 0.3
 
 #: Structure statistics and metadata of a text, in this order.
@@ -103,7 +104,8 @@ class FactorisationMachine:
         """Adagrad on the log loss, in small batches; the same rows give the same model."""
         rng = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
-        for _ in range(epochs):
+        # small samples are gone through more often, for as many steps
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(rows)))):
             order = rng.permutation(len(rows))
             for start in range(0, len(order), batch):
                 part = order[start : start + batch]
@@ -136,20 +138,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, train: Column | None = None) -> DataFrame:
-    """(text, label) of at most ``sample_rows`` labelled ids: those with the least hash."""
+    """(text, label) of at most ``sample_rows`` labelled ids: those with the least hash.
+
+    Of several labels of an id the largest counts, of several texts the first in order.
+    """
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if train is not None:
         chosen = chosen.filter(train)
     chosen = chosen.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample_rows)
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_label_id"))
-    return found.select("text", "label")
+    # one text of a repeated id, so that the bound holds however often it is repeated
+    return found.groupBy("_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> FactorisationMachine:
     """A machine fitted on the driver; what reaches it is bounded by ``sample_rows``.
 
-    Rows of a repeated id are all used. Without labelled rows every score is one half.
+    Of a repeated id one text is used. Without labelled rows every score is one half.
     """
     got = training_rows(docs, labels, **options).mapInArrow(_features, "index binary, value binary, label int").collect()
     rows = sorted((bytes(r["index"]), bytes(r["value"]), r["label"]) for r in got)

@@ -11,10 +11,6 @@ from urllib.parse import urlparse
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of up to this many bytes in all are broadcast; above it another way is taken.
-BROADCAST_BYTES = 64 << 20
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -63,6 +59,12 @@ class Workspace:
         fs.delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the working tables of all operators; DataFrames they returned can't be read after."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/millrace")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
