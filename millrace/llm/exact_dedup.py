@@ -144,8 +144,16 @@ def _scan(keep: list[str], table_bytes: int):
     return run
 
 
-def _resolve(table_bytes: int):
-    """One bucket: resolved as a whole ("final"), or combined and spilled again ("spill")."""
+def _without_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    at = batch.schema.names.index("_mr_text")
+    return batch.set_column(at, batch.schema.field(at), pa.nulls(batch.num_rows, batch.schema.field(at).type))
+
+
+def _resolve(table_bytes: int, keep_text: bool):
+    """One bucket: resolved as a whole ("final"), or combined and spilled again ("spill").
+
+    Content that nobody asked for isn't written again with the final rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, kind = _Combiner(), "final"
@@ -163,7 +171,7 @@ def _resolve(table_bytes: int):
                             yield _typed(x, kind)
                         group = _Combiner()
         for x in group.result():
-            yield _typed(x, kind)
+            yield _typed(x if keep_text or kind == "spill" else _without_text(x), kind)
 
     return run
 
@@ -171,7 +179,7 @@ def _resolve(table_bytes: int):
 def _helped(docs: DataFrame, keep: list[str], text_col: str, id_col: str) -> tuple[DataFrame, T.StructType]:
     base = docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
-        F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("_mr_text"),
+        F.col(f"`{text_col}`").cast("binary").alias("_mr_text"),
         F.col(f"`{id_col}`").alias("_mr_id"),
         F.monotonically_increasing_id().alias("_mr_uid"),
     )
@@ -191,8 +199,9 @@ def grace_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     work = Workspace(spark, "grace")
-    base, schema = _helped(docs, carry or [], text_col, id_col)
-    names = [f"c{i}" for i in range(len(carry or []))]
+    base, schema = _helped(docs, [c for c in carry or [] if c != text_col], text_col, id_col)
+    carry = carry or []
+    names = [f"c{i}" for i in range(sum(c != text_col for c in carry))]  # the text is _mr_text
     level0 = work.put(base.mapInArrow(_scan(names, table_bytes), schema), "level0", "_mr_kind")
     rows = level0.filter("_mr_kind = 'row'").select("_mr_id", "_mr_uid", "_mr_sha", "_mr_bytes")
     spill = level0.filter("_mr_kind = 'spill'")
@@ -206,13 +215,16 @@ def grace_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         buckets = max(shuffle_partitions(spark), -(-4 * total // table_bytes))
         limit = table_bytes if level < MAX_LEVEL else 1 << 62  # distinct hashes are apart by then
         dealt = spill.repartition(int(buckets), F.xxhash64(F.col("_mr_sha"), F.lit(level)))
-        out = work.put(dealt.mapInArrow(_resolve(limit), schema), f"level{level}", "_mr_kind")
+        out = work.put(dealt.mapInArrow(_resolve(limit, text_col in carry), schema), f"level{level}", "_mr_kind")
+        work.drop(f"level{level - 1}/_mr_kind=spill")
         done.append(out.filter("_mr_kind = 'final'"))
         spill = out.filter("_mr_kind = 'spill'")
     winners = done[0] if done else spill
     for more in done[1:]:
         winners = winners.unionByName(more)
-    return rows, winners
+    others = iter([F.col(c) for c in names])
+    back = [F.col("_mr_text").cast(docs.schema[text_col].dataType) if c == text_col else next(others) for c in carry]
+    return rows, winners.select(*[c.alias(f"c{i}") for i, c in enumerate(back)], "_mr_id", "_mr_uid", "_mr_sha", "_mr_n")
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, table_bytes: int = TABLE_BYTES) -> DataFrame:
