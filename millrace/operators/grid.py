@@ -114,3 +114,8 @@ def time_slice(df: DataFrame, frame: str, start: float, end: float, rate: int, f
 def collated(column: str, collation: str = "UNICODE") -> Column:
     """A sort key in dictionary order: a, A, b, B."""
     return F.collate(F.col(f"`{column}`"), collation)
+
+
+def natural_key(column: Column) -> list[Column]:
+    """Sort keys of names with a number in them: section2 before section10."""
+    return [F.regexp_extract(column, r"^(\D*)", 1), F.regexp_extract(column, r"(\d+)", 1).try_cast("long"), column]

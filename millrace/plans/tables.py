@@ -478,3 +478,39 @@ def as_of_lookup(spark, sf_dir):
 def pattern_counts(spark, sf_dir):
     """A16."""
     return table(spark, sf_dir, "events").select("event_id", summarize.pattern_count(F.col("props"), '"').alias("n_matches"))
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(n, '^(\\D*)', 1), try_cast(regexp_extract(n, '(\\d+)', 1) AS BIGINT), n, p_partkey) AS pos FROM (SELECT p_partkey, 'section' || p_partkey || '.xml' AS n FROM part)""")
+def natural_sort(spark, sf_dir):
+    """Names by the number in them."""
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("section"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("n"))
+    return named.select("p_partkey", F.row_number().over(Window.orderBy(*grid.natural_key(F.col("n")), "p_partkey")).cast("long").alias("pos"))
+
+
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || 'B' ELSE CASE WHEN k = floor(k) THEN k::BIGINT::VARCHAR ELSE k::VARCHAR END || 'KB' END AS label FROM (SELECT doc_id, strlen(text) AS b, round(strlen(text) / 1024.0, 1)::DOUBLE AS k FROM documents) WHERE b < 1000000""")
+def size_labels(spark, sf_dir):
+    """Sizes with one decimal at most."""
+    b = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "documents").filter(b < 1000000).select("doc_id", X.size_label(b).alias("label"))
+
+
+@query("""SELECT page_id, CASE WHEN ends_with(f, '.png') THEN 'image/png' WHEN ends_with(f, '.wav') THEN 'audio/wav' ELSE 'application/octet-stream' END AS mime FROM (SELECT page_id, 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.wav' ELSE '.zzz' END AS f FROM pages)""")
+def mime_types(spark, sf_dir):
+    """X19."""
+    k = F.col("page_id")
+    return table(spark, sf_dir, "pages").select("page_id", X.mime_type(F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".PNG").when(k % 3 == 1, ".wav").otherwise(".zzz"))).alias("mime"))
+
+
+@query("""SELECT event_id, round(2595 * log10(1 + value / 700), 6) AS mel, round(event_id * 0.25 - 40, 6)::DOUBLE AS physical, value BETWEEN -180 AND 180 AND event_id BETWEEN -90 AND 90 AS plausible FROM events WHERE value >= 0""")
+def signal_scalars(spark, sf_dir):
+    """Physical values, coordinates, mel."""
+    e, v = F.col("event_id"), F.col("value")
+    return table(spark, sf_dir, "events").filter(v >= 0).select("event_id", F.round(X.hz_to_mel(v), 6).alias("mel"), F.round(X.can_physical(e, F.lit(0.25), F.lit(-40)), 6).cast("double").alias("physical"), X.looks_lon_lat(v, e, v, e).alias("plausible"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE NULL END AS t, CASE WHEN event_id % 3 = 0 THEN event_id END AS n FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")
+def archive_fields(spark, sf_dir):
+    """Times and numbers of listings, null where they are none."""
+    e = F.col("event_id")
+    raw = F.when(e % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("yesterday")
+    return table(spark, sf_dir, "events").select("event_id", X.archive_time(raw).cast("timestamp_ntz").alias("t"), X.number_or_null(F.when(e % 3 == 0, F.concat(F.lit(" "), e.cast("string"))).otherwise("x")).alias("n"))

@@ -94,3 +94,10 @@ def test_peaks_and_lookups(spark):
     assert summarize.bucket_peaks(f, "frame", F.col("x"), 4, 8).count() == 8
     files = spark.createDataFrame([("d/a.shp",), ("d/a.dbf",), ("d/b.dbf",)], "p string")
     assert [tuple(r) for r in lookup.sidecars(files, "p", "shp", ["dbf", "prj"]).collect()] == [("d/a", "d/a.shp", "d/a.dbf", None)]
+
+
+def test_create_table_columns():
+    from millrace.functions.sqltext import column_names
+
+    sql = '''CREATE TABLE "t" (id INTEGER PRIMARY KEY, "a ""b""" TEXT DEFAULT 'x,(y', [c d] REAL CHECK (1 IN (1, 2)), `e` BLOB, CONSTRAINT k UNIQUE (id, `e`), PRIMARY KEY (id))'''
+    assert column_names(sql) == ["id", 'a "b"', "c d", "e"] and column_names(None) == []
