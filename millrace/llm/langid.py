@@ -31,6 +31,7 @@ FILLER_BYTES = 1 << 10
 #: Bits a byte by which the best must lead the second; below it the answer is rejected.
 MARGIN = 0.02
 UNKNOWN = "und"
+HASHES = 1 << 31
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -92,15 +93,24 @@ class LanguageModel:
 def dictionaries(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Each learned language's dictionary: starts of some of its documents, joined.
 
-    What reaches the driver is bounded for a language by ``sample_docs`` times ``DOCUMENT_BYTES``.
+    What reaches the driver is bounded for a language by ``sample_docs`` times
+    ``DOCUMENT_BYTES``; of a repeated id one text is used.
     """
     labelled = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and id is not null")
     if train is not None:
         labelled = docs.filter(train).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and id is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = labelled.withColumn("n", rank).filter(F.col("n") <= sample_docs).select(F.col("lang").alias("l"), F.col("id").alias("i")).distinct()
+    # ids in order of a hash; those that can't be among the first are left out by its value,
+    # so that no language's rows meet in one task
+    place = F.pmod(F.xxhash64("id"), F.lit(HASHES))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return {}
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, HASHES if n <= 8 * sample_docs else HASHES * 8 * sample_docs // n)])
+    near = labelled.filter(place <= F.element_at(limits, F.col("lang"))).distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
+    chosen = near.withColumn("n", rank).filter(F.col("n") <= sample_docs).select(F.col("lang").alias("l"), F.col("id").alias("i"))
     texts = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), 1, DOCUMENT_BYTES).alias("text"))
-    found = texts.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i"))).filter("text is not null").select("lang", "id", "text").distinct().collect()
+    found = texts.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i"))).filter("text is not null").groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
     parts: dict[str, list[bytes]] = {}
     for row in sorted(found, key=lambda r: (r["lang"], str(r["id"]), r["text"])):
         parts.setdefault(row["lang"], []).append(_clean(_words(row["text"]))[:DOCUMENT_BYTES])
