@@ -10,8 +10,11 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,8 @@ from .tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Keys a shapefile covers at most.
+SHAPE_FEATURES = 5000
 
 
 def query(sql: str | None = None):
@@ -55,6 +60,15 @@ def contents(spark: SparkSession, items: list[tuple[str, bytes]]) -> DataFrame:
     return spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in items], "file string, length long, content binary")
 
 
+def _put(path: str, content: bytes) -> None:
+    """Write one file of the shared folder from a task."""
+    where = urlparse(path)
+    fs, at = (pa_fs.LocalFileSystem(), where.path) if where.scheme in ("", "file") else pa_fs.FileSystem.from_uri(path)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    with fs.open_output_stream(at) as out:
+        out.write(content)
+
+
 def _nation(spark, sf_dir) -> list[tuple]:
     """25 rows, whatever the scale."""
     return [tuple(r) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
@@ -224,16 +238,21 @@ def tensor_catalog(spark, sf_dir):
 @query("SELECT s_suppkey AS feature_id, 'Point' AS geom_type, (s_suppkey % 100)::DOUBLE AS min_x, (s_nationkey - 10)::DOUBLE AS min_y, s_name AS name FROM supplier")
 def shapefile_scan(spark, sf_dir):
     """Points with attributes."""
-    rows = table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(10_000).collect()
-    shp = struct.pack(">i", 9994) + bytes(24) + struct.pack("<2i", 1000, 1) + bytes(64) + b"".join(struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, r["s_suppkey"] % 100, r["s_nationkey"] - 10) for i, r in enumerate(rows))
-    dbf = struct.pack("<BBBBIHH", 3, 0, 0, 0, len(rows), 97, 51) + bytes(20)
-    for name, n in ((b"name", 30), (b"key", 20)):
-        dbf += name.ljust(11, b"\0") + b"C" + bytes(4) + bytes([n]) + bytes(15)
-    dbf += b"\r" + b"".join(b" " + r["s_name"].encode().ljust(30) + str(r["s_suppkey"]).encode().ljust(20) for r in rows)
-    df = contents(spark, [("a.shp", shp)])
-    found = files.parsed(df, "content", geo.shapes, "no long, geom_type string, coordinates string, n_vertices int, min_x double, min_y double, max_x double, max_y double")
-    named = files.parsed(contents(spark, [("a.dbf", dbf)]), "content", lambda d: ((i, r["name"], int(r["key"])) for i, r in enumerate(geo.attributes(d))), "no long, name string, key long").drop("file")
-    return found.join(named, "no").select(F.col("key").alias("feature_id"), "geom_type", "min_x", "min_y", "name")
+    path = scratch(spark, "shapes")
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("s_suppkey")
+        stem = f"{path}/{rows['no'].iloc[0]}"
+        _put(f"{stem}.shp", struct.pack(">i", 9994) + bytes(24) + struct.pack("<2i", 1000, 1) + bytes(64) + b"".join(struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, k % 100, n - 10) for i, (k, n) in enumerate(zip(rows["s_suppkey"], rows["s_nationkey"]))))
+        dbf = struct.pack("<BBBBIHH", 3, 0, 0, 0, len(rows), 97, 51) + bytes(20)
+        for name, n in ((b"name", 30), (b"key", 20)):
+            dbf += name.ljust(11, b"\0") + b"C" + bytes(4) + bytes([n]) + bytes(15)
+        _put(f"{stem}.dbf", dbf + b"\r" + b"".join(b" " + n.encode().ljust(30) + str(k).encode().ljust(20) for k, n in zip(rows["s_suppkey"], rows["s_name"])))
+        return pd.DataFrame({"n": [len(rows)]})
+
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.expr(f"s_suppkey DIV {SHAPE_FEATURES}").alias("no"))
+    supplier.groupBy("no").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return geo.read_shapefile(spark, path).select(F.col("properties")["key"].cast("long").alias("feature_id"), "geom_type", "min_x", "min_y", F.col("properties")["name"].alias("name"))
 
 
 @query("SELECT n_nationkey::VARCHAR AS key, n_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN (n_regionkey // 2)::VARCHAR ELSE (n_regionkey / 2.0)::VARCHAR END AS half FROM nation")
