@@ -51,6 +51,8 @@ DROPPED = frozenset("head script style noscript template textarea select option
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
+#: Elements around the main text, whose names tell of the page's state and layout.
+WHOLE = frozenset("html body main article".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu topbar breadcrumb breadcrumbs pagination pager footer masthead widget related recommended cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus replies reply respond skip search toolbar paywall disclaimer copyright".split()
@@ -58,7 +60,7 @@ ASIDE_NAMES = frozenset(
 RAW_TEXT = "script|style|textarea|title|noscript|template|iframe|svg|math|select|object|canvas|button"
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>)(?P<raw>{RAW_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -89,6 +91,8 @@ def _kind(name: str, rest: str, in_article: bool) -> str:
             return "aside"
         if key in ("class", "id"):
             names |= set(_NAME.split(value))
+    if name in WHOLE:
+        names = set()
     if name in ASIDE or names & ASIDE_NAMES:
         return "aside"
     if not in_article and (name == "header" or "header" in names):
@@ -125,6 +129,8 @@ def blocks(page: str) -> list[Block]:
         if m["name"] is None:
             continue
         name = m["name"].lower()
+        if name in ("svg", "math") and m["rest"].endswith("/"):
+            continue
         if name in BLOCKS or name in DROPPED:
             flush()
         if m["end"]:

@@ -418,6 +418,14 @@ def test_html_text():
         assert isinstance(html_text.main_text(odd, tree), str)
 
 
+def test_html_names_of_whole_page_and_empty_drawings():
+    tree, body = html_text.grown_tree(), "These are words of the main text that go on for a while. " * 6
+    plain = f"<html><body><article><p>{body}</p><p>{body}</p></article></body></html>"
+    for old, new in (("<html>", "<html class='no-sidebar'>"), ("<body>", "<body class='modal-open has-sidebar no-comments' id=page-header>"), ("<article>", "<article class='post sponsored'>"), ("<p>", "<p><svg class='icon' viewBox=\"0 0 1 1\"/>"), ("<p>", "<p><math/>"), ("article>", "main class=no-header>")):
+        assert html_text.main_text(plain.replace(old, new, 1), tree) == f"{body.strip()} {body.strip()}", new
+    assert html_text.main_text(plain.replace("<p>", "<p><svg><text>drawn</text></svg>", 1), tree) == f"{body.strip()} {body.strip()}"
+
+
 def test_html_table_is_learned():
     rows = html_text.labelled_rows()
     assert (html_text.grown_tree().predict(rows[:, :-1]) == rows[:, -1]).mean() > 0.97
