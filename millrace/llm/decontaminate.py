@@ -19,6 +19,10 @@ from .shared import Workspace
 #: Positions that each mask keeps. With the three of them, two substitutions anywhere in
 #: 13 words leave a hit.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 5), (0, 1, 2, 4, 7))
+#: Further masks for items below ``WINDOW`` words: the substitutions that such an item may have leave a hit.
+SHORT_MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 2, 4), (0, 1, 3, 4))
+#: Items of fewer words are looked for as a whole, and only if ``short_items`` is set.
+LEAST_WORDS = 5
 WINDOW = 13
 SIMILARITY = 0.8
 #: Seeds (about 40 bytes each) that are broadcast at once; a larger benchmark is searched in blocks.
@@ -39,11 +43,19 @@ def _positions(words: Column, least: int) -> Column:
     return F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
 
 
-def _seeds(items: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+def _sized(masks: tuple[tuple[int, ...], ...], short_masks: tuple[tuple[int, ...], ...], window: int, lengths: list[int]) -> list[tuple[tuple[int, ...], int, int | None]]:
+    """(mask, least and most words of the items it is for), for items of these lengths up to ``window``."""
+    few = [((*range(n),), n, n) for n in lengths if n < LEAST_WORDS]
+    short = [(m, LEAST_WORDS, window - 1) for m in short_masks] if any(LEAST_WORDS <= n < window for n in lengths) else []
+    return [*[(m, LEAST_WORDS, None) for m in masks], *short, *few]
+
+
+def _seeds(items: DataFrame, sized: list[tuple[tuple[int, ...], int, int | None]]) -> DataFrame:
     """(key, item_no, j, previous): the masked words of each item from word j on."""
     parts = []
-    for number, mask in enumerate(masks):
-        at = items.select("item_no", "item_words", F.explode(_positions(F.col("item_words"), mask[-1] + 1)).alias("j"))
+    for number, (mask, low, high) in enumerate(sized):
+        fit = (F.size("item_words") >= low) & (F.lit(True) if high is None else F.size("item_words") <= high)
+        at = items.filter(fit).select("item_no", "item_words", F.explode(_positions(F.col("item_words"), mask[-1] + 1)).alias("j"))
         parts.append(at.select(_seed(F.col("item_words"), F.col("j"), number, mask).alias("key"), "item_no", "j", F.lit(number).alias("mask"), F.when(F.col("j") > 0, _seed(F.col("item_words"), F.col("j") - 1, number, mask)).alias("previous")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -69,28 +81,30 @@ def _hits(docs: DataFrame, items: DataFrame, seeds: DataFrame, masks: tuple[tupl
     return found.filter(F.col("best") >= F.ceil(F.col("span") * similarity)).select("id", "mark", "item_no", "item_id", "n_item_words", F.col("best").alias("window_equal"), F.col("span").alias("window_words"), total.alias("equal_words"), F.greatest(F.lit(0), F.col("shift")).alias("first_word"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS, mark: Column | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[tuple[int, ...], ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, block_seeds: int = BLOCK_SEEDS, mark: Column | None = None, short_masks: tuple[tuple[int, ...], ...] = SHORT_MASKS, short_items: bool = False) -> DataFrame:
     """One row per document and benchmark item found in it: ``id_col, item_col,
     equal_words, n_item_words, window_equal, window_words, first_word``.
 
     An item is found where ``window`` words side by side (all, of a shorter
     item) agree in ``similarity`` of their places; case and punctuation don't
-    count. Items of fewer than five words are too short to be looked for. Null
-    texts have no words, null ids are returned as such, rows of one id are
+    count. Items of fewer than five words are looked for, all words alike, with
+    ``short_items`` only. Null texts have no words, null ids are returned as such, rows of one id are
     reported together, and other columns are ignored. ``mark`` is a further
     column of ``docs`` that tells rows of one id apart.
     """
-    least = min(m[-1] for m in masks) + 1
     items = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), words_of(F.col(f"`{item_text_col}`")).alias("item_words"))
-    items = items.filter(F.size("item_words") >= least).distinct()
+    items = items.filter(F.size("item_words") >= (1 if short_items else LEAST_WORDS)).distinct()
     items = items.select(F.xxhash64("item_id", "item_words").alias("item_no"), "item_id", "item_words")
-    count = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
-    blocks = max(1, math.ceil(count * len(masks) / block_seeds))
+    n = F.size("item_words")
+    count, lengths = items.agg(F.sum(n), F.collect_set(F.when(n < window, n))).first()
+    sized = _sized(masks, short_masks, window, sorted(lengths))
+    masks = tuple(m for m, _, _ in sized)
+    blocks = max(1, math.ceil((count or 0) * len(masks) / block_seeds))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), (mark if mark is not None else F.lit(0)).alias("mark"), words_of(F.col(f"`{text_col}`")).alias("words"))
     parts = []
     for block in range(blocks):
         some = items.filter(F.pmod("item_no", F.lit(blocks)) == block) if blocks > 1 else items
-        parts.append(_hits(base, some, _seeds(some, masks), masks, window, similarity))
+        parts.append(_hits(base, some, _seeds(some, sized), masks, window, similarity))
     found = reduce(DataFrame.unionByName, parts)
     best = F.max(F.struct("equal_words", "window_equal", "window_words", "n_item_words", (-F.col("first_word")).alias("before")))
     found = found.groupBy("id", "mark", "item_id").agg(best.alias("b"))

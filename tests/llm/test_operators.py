@@ -217,6 +217,32 @@ def test_masks_leave_a_hit():
         assert any(not {p + o for o in m} & set(gone) for m in decontaminate.MASKS for p in range(decontaminate.WINDOW - m[-1]))
 
 
+def test_masks_leave_a_hit_at_all_lengths():
+    from itertools import combinations
+
+    for n in range(decontaminate.LEAST_WORDS, decontaminate.WINDOW):
+        for gone in combinations(range(n), n - int(np.ceil(n * decontaminate.SIMILARITY))):
+            assert any(not {p + o for o in m} & set(gone) for m in (*decontaminate.MASKS, *decontaminate.SHORT_MASKS) for p in range(n - m[-1])), (n, gone)
+
+
+def test_contamination_of_short_items(spark):
+    from itertools import combinations
+
+    docs, items = [], []
+    for n in range(1, 13):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for gone in [(), *combinations(range(n), max(1, n - int(np.ceil(n * decontaminate.SIMILARITY))))]:
+            docs.append((len(docs), " ".join(["before", *["other" if k in gone else w for k, w in enumerate(item)], "after"])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*items, (0, None), (-1, "!")], "item_id long, text string")
+    want = {(d, i) for d, t in docs for i, s in items if slow_found(slow_words(t), slow_words(s))}
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(df, bench, short_items=True).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    kept = dict(items)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(df, bench).collect()} == {x for x in want if len(kept[x[1]].split()) >= 5}
+    assert decontaminate.decontaminate(df, bench, short_items=True).count() == len(docs) - len({d for d, _ in want})
+
+
 # 5 exact dedup
 
 
