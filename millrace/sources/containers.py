@@ -71,10 +71,10 @@ def read_bag(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return headers, records.filter("count > 0")
 
 
-def _avro_metadata(data: bytes) -> Iterator[tuple]:
+def _avro_metadata(data: bytes, preview: bool = False) -> Iterator[tuple]:
     if data[:4] != b"Obj\x01":
         return
-    at, limit = 4, min(len(data), 64 << 10)
+    at, limit = 4, min(len(data), 64 << 10) if preview else len(data)
 
     def number() -> int:
         nonlocal at
@@ -102,7 +102,7 @@ def _avro_metadata(data: bytes) -> Iterator[tuple]:
             if count < 0:
                 number()
                 count = -count
-            if count > 64:
+            if preview and count > 64:
                 return
             for _ in range(count):
                 key, value = block().decode("utf-8", "replace"), block()
@@ -117,9 +117,9 @@ def _avro_metadata(data: bytes) -> Iterator[tuple]:
         return
 
 
-def read_avro_header(spark: SparkSession, path: str) -> DataFrame:
+def read_avro_header(spark: SparkSession, path: str, preview: bool = False) -> DataFrame:
     """(file, key, value) of the header's map."""
-    return parsed(binaries(spark, path), "content", _avro_metadata, "key string, value string")
+    return parsed(binaries(spark, path), "content", lambda d: _avro_metadata(d, preview), "key string, value string")
 
 
 def _safetensors(data: bytes) -> Iterator[tuple]:
@@ -159,6 +159,7 @@ def user_tables(schema: DataFrame) -> DataFrame:
 
 
 def _cells(data: bytes, limit: int | None) -> Iterator[tuple]:
+    shown = 24 if limit else None  # bytes of a blob
     with _sqlite(data) as db:
         for (table,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\'").fetchall():
             quoted = table.replace('"', '""')
@@ -168,7 +169,7 @@ def _cells(data: bytes, limit: int | None) -> Iterator[tuple]:
                 found = db.execute(f'SELECT NULL, * FROM "{quoted}"' + (f" LIMIT {limit}" if limit else ""))
             names = [d[0] for d in found.description[1:]]
             for rowid, *values in found:
-                yield table, rowid, [(n, None if v is None else f"BLOB({len(v)} bytes) {v[:24].hex()}" + "..." * (len(v) > 24) if isinstance(v, bytes) else str(v), {int: "integer", float: "real", bytes: "blob", str: "text"}.get(type(v), "null")) for n, v in zip(names, values)]
+                yield table, rowid, [(n, None if v is None else f"BLOB({len(v)} bytes) {v[:shown].hex()}" + "..." * (len(v) > len(v[:shown])) if isinstance(v, bytes) else str(v), {int: "integer", float: "real", bytes: "blob", str: "text"}.get(type(v), "null")) for n, v in zip(names, values)]
 
 
 def read_sqlite_rows(spark: SparkSession, path: str, preview: bool = False) -> DataFrame:
@@ -282,25 +283,25 @@ def looks_binary(data: bytes) -> bool:
     return 0 in sample or control / len(sample) > 0.02
 
 
-def entry_text(data: bytes, name: str, entry: str) -> str | None:
+def entry_text(data: bytes, name: str, entry: str, preview: bool = False) -> str | None:
     """An entry's text; Android's binary XML is decoded, other binary content has none."""
     from .android import decode_binary_xml
 
     if data[:4] == b"PK\x03\x04":
-        content = zipfile.ZipFile(io.BytesIO(data)).open(entry).read(ENTRY_BYTES + 1)
+        content = zipfile.ZipFile(io.BytesIO(data)).open(entry).read(ENTRY_BYTES + 1 if preview else -1)
     else:
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
-            content = t.extractfile(entry).read(ENTRY_BYTES + 1)
-    if len(content) > ENTRY_BYTES:
+            content = t.extractfile(entry).read(ENTRY_BYTES + 1 if preview else -1)
+    if preview and len(content) > ENTRY_BYTES:
         return None
     if content[:4] == b"\x03\x00\x08\x00":
         return decode_binary_xml(content)
-    return None if looks_binary(content) else content[:ENTRY_TEXT].decode("utf-8", "replace")
+    return None if looks_binary(content) else content[: ENTRY_TEXT if preview else None].decode("utf-8", "replace")
 
 
-def read_entry(spark: SparkSession, path: str, entry: str) -> DataFrame:
+def read_entry(spark: SparkSession, path: str, entry: str, preview: bool = False) -> DataFrame:
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: entry_text(bytes(c), "", entry))
+        return content.map(lambda c: entry_text(bytes(c), "", entry, preview))
 
     return binaries(spark, path).select("file", F.lit(entry).alias("path"), text("content").alias("text"))

@@ -86,9 +86,9 @@ def mel(hz):
     return 2595 * np.log10(1 + np.asarray(hz) / 700)
 
 
-def spectrogram(x: np.ndarray, rate: int, bands: int = BANDS) -> np.ndarray:
-    """Columns of mel bands in 0..255 (-100 dB to -20 dB)."""
-    hop = max(MIN_HOP, math.ceil(len(x) / COLUMNS))
+def spectrogram(x: np.ndarray, rate: int, bands: int = BANDS, preview: bool = False) -> np.ndarray:
+    """Columns of mel bands in 0..255 (-100 dB to -20 dB); a preview has ``COLUMNS`` at most, with gaps in long sounds."""
+    hop = max(MIN_HOP, math.ceil(len(x) / COLUMNS)) if preview else MIN_HOP
     count = max(0, (len(x) - FFT) // hop + 1)
     if not count:
         return np.zeros((0, bands), np.uint8)
@@ -105,15 +105,15 @@ def spectrogram(x: np.ndarray, rate: int, bands: int = BANDS) -> np.ndarray:
     return out
 
 
-def _spectra(data: bytes) -> Iterator[tuple]:
+def _spectra(data: bytes, preview: bool = False) -> Iterator[tuple]:
     rate, _, _, x = decode(data)
-    for i, column in enumerate(spectrogram(x.mean(axis=1), rate).tolist()):
+    for i, column in enumerate(spectrogram(x.mean(axis=1), rate, preview=preview).tolist()):
         yield i, column
 
 
-def read_spectrogram(spark: SparkSession, path: str) -> DataFrame:
+def read_spectrogram(spark: SparkSession, path: str, preview: bool = False) -> DataFrame:
     """(file, column, bands)."""
-    return parsed(binaries(spark, path), "content", _spectra, "column long, bands array<int>")
+    return parsed(binaries(spark, path), "content", lambda d: _spectra(d, preview), "column long, bands array<int>")
 
 
 def downsample_columns(columns: DataFrame, block: int) -> DataFrame:

@@ -313,6 +313,33 @@ def test_sound(spark, tmp_path):
     assert np.allclose(media.decode(bytes(back))[3], media.decode(open(wav, "rb").read())[3], atol=2e-4)
 
 
+def test_large_blobs_entries_and_sounds_are_whole(spark, tmp_path):
+    blob, text = bytes(range(256)) * 5, "line of text\n" * 100_000
+    db = tmp_path / "b.db3"
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE t (b BLOB)")
+        c.execute("INSERT INTO t VALUES (?)", (blob,))
+    assert containers.read_sqlite_table(spark, str(db), "t").first()["b"] == f"BLOB(1280 bytes) {blob.hex()}"
+    assert containers.read_sqlite_rows(spark, str(db), preview=True).first()["cells"][0]["value"] == f"BLOB(1280 bytes) {blob[:24].hex()}..."
+    with zipfile.ZipFile(tmp_path / "b.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("long.txt", text)
+        z.writestr("short.txt", text[:100_000])
+    with tarfile.open(tmp_path / "b.tar", "w") as t:
+        info = tarfile.TarInfo("long.txt")
+        info.size = len(text)
+        t.addfile(info, io.BytesIO(text.encode()))
+    read = lambda name, entry, **o: containers.read_entry(spark, str(tmp_path / name), entry, **o).first()["text"]
+    assert read("b.zip", "long.txt") == text == read("b.tar", "long.txt") and read("b.zip", "short.txt") == text[:100_000]
+    assert read("b.zip", "long.txt", preview=True) is None and len(read("b.zip", "short.txt", preview=True)) == 64 << 10
+    number = lambda n: bytes([2 * n & 127 | 128, n >> 6 & 127 | 128, n >> 13])
+    item = lambda raw: number(len(raw)) + raw
+    avro = b"Obj\1" + number(1) + item(b"big") + item(b"x" * 70_000) + number(100) + b"".join(item(b"k%d" % i) + item(b"v") for i in range(100)) + b"\0"
+    assert len(list(containers._avro_metadata(avro))) == 101 and len(list(containers._avro_metadata(avro, preview=True))) == 1
+    x = np.zeros(media.COLUMNS * 4096, np.float32)
+    x[2600:2900] = np.sin(np.arange(300))
+    assert media.spectrogram(x, media.RAW_RATE).any() and not media.spectrogram(x, media.RAW_RATE, preview=True).any()
+
+
 def test_workbook_and_charts(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
