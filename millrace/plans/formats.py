@@ -32,6 +32,8 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: Keys a shapefile covers at most.
 SHAPE_FEATURES = 5000
+#: Keys a sound file covers at most, and its peaks.
+SOUND_FRAMES, SOUND_PEAKS = 10_000, 100
 
 
 def query(sql: str | None = None):
@@ -291,6 +293,29 @@ def sound_peaks(spark, sf_dir):
     return media.peaks(samples, 10).select("bucket", F.round("peak", 4).alias("peak"))
 
 
+@query(f"""WITH e AS (SELECT (event_id - (SELECT min(event_id) FROM events)) // {SOUND_FRAMES} AS file_no, event_id, greatest(-32768, least(32767, floor((value % 2 - 1) * 32768 + 0.5))) / 32768 AS v FROM events),
+          f AS (SELECT file_no, row_number() OVER (PARTITION BY file_no ORDER BY event_id) - 1 AS frame, count(*) OVER (PARTITION BY file_no) AS n, v FROM e),
+          p AS (SELECT file_no, CASE WHEN n < {SOUND_PEAKS} THEN (frame * {SOUND_PEAKS} + {SOUND_PEAKS - 1}) // n ELSE ((frame + 1) * {SOUND_PEAKS} - 1) // n END AS bucket, max(abs(v)) AS peak FROM f GROUP BY ALL),
+          b AS (SELECT file_no, bucket FROM (SELECT DISTINCT file_no FROM f), range({SOUND_PEAKS}) r(bucket))
+          SELECT file_no::BIGINT AS file_no, bucket::BIGINT AS bucket, round(coalesce(peak, 0), 4) AS peak FROM b LEFT JOIN p USING (file_no, bucket)""")
+def sound_peaks_all(spark, sf_dir):
+    """All events as raw PCM files, written in tasks and read by path."""
+    path = scratch(spark, "sound")
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    first = events.agg(F.min("event_id").alias("first"))
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("event_id")["value"].to_numpy()
+        pcm = np.clip(np.floor((np.fmod(x, 2) - 1) * 32768 + 0.5), -32768, 32767).astype("<i2")
+        _put(f"{path}/{rows['no'].iloc[0]}.pcm", pcm.tobytes())
+        return pd.DataFrame({"n": [len(rows)]})
+
+    numbered = events.crossJoin(F.broadcast(first)).select("event_id", "value", F.expr(f"(event_id - first) DIV {SOUND_FRAMES}").alias("no"))
+    numbered.groupBy("no").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    found = media.peaks(media.read_audio(spark, path), SOUND_PEAKS)
+    return found.select(F.regexp_extract("file", r"(\d+)\.pcm$", 1).cast("long").alias("file_no"), "bucket", F.round("peak", 4).alias("peak"))
+
+
 @query("SELECT page_id, 'unknown' AS format FROM pages".replace("'unknown'", "CASE WHEN strpos(html, ',') > 0 OR strpos(html, ';') > 0 OR strpos(html, '|') > 0 OR strpos(html, chr(9)) > 0 THEN 'csv' END"))
 def detect_pages(spark, sf_dir):
     """Pages have no signature and pass for delimited text where a delimiter is in them."""

@@ -20,3 +20,9 @@ def agrees(spark, name, folder, *tables):
 def test_shapefile_scan_has_all_suppliers(spark, tmp_path):
     spark.range(1, 12_002).selectExpr("id AS s_suppkey", "cast(id % 25 AS int) AS s_nationkey", "concat('Supplier#', id) AS s_name").write.parquet(str(tmp_path / "supplier.parquet"))
     assert len(agrees(spark, "shapefile_scan", tmp_path, "supplier")) == 12_001
+
+
+def test_sound_peaks_all_has_every_event(spark, tmp_path):
+    spark.range(7, 25_040).selectExpr("id AS event_id", "cast(id * 37 % 1000 / 300 AS double) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    assert len(agrees(spark, "sound_peaks_all", tmp_path, "events")) == 300
+    assert len(agrees(spark, "sound_peaks_all", "/root/testdata/sf0.1", "events")) == 1000
