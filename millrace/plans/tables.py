@@ -261,8 +261,7 @@ def theta_suffix_join(spark, sf_dir):
     return lookup.suffix_join(hosts, "host", suffixes, "suffix").select("page_id", "host", "suffix")
 
 
-def _versions(spark, sf_dir):
-    part = table(spark, sf_dir, "part").filter("p_partkey <= 500")
+def _versions(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     k = F.col("p_partkey")
     old = part.select(k.alias("number"), F.concat(F.lit("f"), k.cast("string")).alias("name"), F.col("p_brand").alias("kind"))
     new = part.filter("p_partkey % 10 <> 0").select(
@@ -279,7 +278,13 @@ def _versions(spark, sf_dir):
           UNION ALL SELECT o.number, o.name, 'retyped', 'risk', n.kind FROM o JOIN n USING (number) WHERE n.name = o.name AND n.kind <> o.kind""")
 def schema_diff(spark, sf_dir):
     """Changes between two versions of a schema."""
-    return lookup.schema_diff(*_versions(spark, sf_dir), "number", "name", "kind")
+    return lookup.schema_diff(*_versions(table(spark, sf_dir, "part").filter("p_partkey <= 500")), "number", "name", "kind")
+
+
+@query(ORACLE_SQL["schema_diff"].replace(" WHERE p_partkey <= 500", ""))
+def schema_diff_all(spark, sf_dir):
+    """The same over all parts."""
+    return lookup.schema_diff(*_versions(table(spark, sf_dir, "part")), "number", "name", "kind")
 
 
 @query("SELECT c_name AS name, 'customer' AS source FROM customer UNION ALL SELECT s_name, 'supplier' FROM supplier")
@@ -494,6 +499,13 @@ def size_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(b < 1000000).select("doc_id", X.size_label(b).alias("label"))
 
 
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || 'B' ELSE CASE WHEN k = floor(k) THEN k::BIGINT::VARCHAR ELSE k::VARCHAR END || unit END AS label FROM (SELECT doc_id, b, CASE e WHEN 1 THEN 'KB' WHEN 2 THEN 'MB' ELSE 'GB' END AS unit, round(b / pow(1024, e), 1) AS k
+          FROM (SELECT doc_id, strlen(text) AS b, CASE WHEN strlen(text) < 1048576 THEN 1 WHEN strlen(text) < 1073741824 THEN 2 ELSE 3 END AS e FROM documents))""")
+def size_labels_all(spark, sf_dir):
+    """The same for texts of any size that a cell can hold."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.size_label(F.octet_length("text").cast("long")).alias("label"))
+
+
 @query("""SELECT page_id, CASE WHEN ends_with(f, '.png') THEN 'image/png' WHEN ends_with(f, '.wav') THEN 'audio/wav' ELSE 'application/octet-stream' END AS mime FROM (SELECT page_id, 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.wav' ELSE '.zzz' END AS f FROM pages)""")
 def mime_types(spark, sf_dir):
     """X19."""
