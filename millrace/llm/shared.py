@@ -40,6 +40,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -49,6 +50,7 @@ class Workspace:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(self.path(name))
+        self.names.add(name)
         schema = df.schema
         return self.spark.read.schema(schema).parquet(self.path(name))
 
@@ -57,6 +59,11 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(path, True)
+        self.names.discard(name)
+
+    def drop_all_but(self, *kept: str) -> None:
+        for name in self.names - set(kept):
+            self.drop(name)
 
 
 def clear(spark: SparkSession) -> None:

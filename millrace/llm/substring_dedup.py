@@ -6,7 +6,10 @@ meet under the gram's hash. A run of neighbouring strings with the same pick is
 one segment. Segments whose gram occurs once are done with; the others, each
 distinct content once with its number of occurrences, are put together in
 shards by gram, and a shard's suffix array and permuted common prefixes tell
-exactly which strings of ``window`` bytes occur again.
+exactly which strings of ``window`` bytes occur again. A gram with more segments
+than a group may hold has them cut by the place that the gram has in a string:
+strings of one range of places share more bytes than the gram, and are grouped
+by those. The ranges are halved until every group is small.
 """
 
 from __future__ import annotations
@@ -16,18 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import Workspace, shuffle_partitions
 from .suffix_array import permuted_lcp, suffix_array
 
 WINDOW = 400
 GRAM = 160
-#: Bytes of a shard; groups of one gram that are larger than GROUP_BYTES are counted string by string.
+#: Bytes of a shard, and of the segments that are compared as one group, at most.
 SHARD_BYTES = 1 << 20
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 18
 #: Longest stretch whose picks are made at once.
 STRETCH = 4 << 20
 
@@ -68,11 +70,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
-def segments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first start, last start) of the runs of strings with the same pick."""
+def segments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(gram hash, first start, last start, place of the gram) of the runs of strings with the same pick."""
     n = len(data)
     if n < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     raw, parts = np.frombuffer(data, np.uint8), []
     for start in range(0, n - window + 1, STRETCH):
         h = gram_hashes(raw[start : start + STRETCH + window - 1], gram)
@@ -80,7 +82,8 @@ def segments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
         picked = _sliding_min((h >> np.uint64(23) << np.uint64(23)) | at, window - gram + 1) & np.uint64((1 << 23) - 1)
         cut = np.flatnonzero(np.diff(picked)) + 1
         first, last = np.r_[0, cut], np.r_[cut, len(picked)] - 1
-        parts.append((h[picked[first].astype(np.int64)], first + start, last + start))
+        place = picked[first].astype(np.int64)
+        parts.append((h[place], first + start, last + start, place + start))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -88,9 +91,9 @@ def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h, lo, hi = segments(text.as_py() or b"", window, gram)
+                h, lo, hi, at = segments(text.as_py() or b"", window, gram)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), uid, np.int64)), pa.array(h.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["uid", "h", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), uid, np.int64)), pa.array(h.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, at))], ["uid", "h", "lo", "hi", "at"])
 
     return run
 
@@ -103,20 +106,47 @@ def _cut_out(window: int, memory: int = 500_000):
         for batch in batches:
             for uid, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 data = text.as_py()
-                out: tuple[list, ...] = ([], [], [], [], [])
+                out: tuple[list, ...] = ([], [], [], [], [], [])
                 for x in found:
                     content = data[x["lo"] : x["hi"] + window]
                     key = hashlib.blake2b(content, digest_size=16).digest()
-                    rows = [("ref", uid, x["lo"], key, None)]
+                    rows = [("ref", uid, x["lo"], key, None, None)]
                     if key not in seen:
                         if len(seen) > memory:
                             seen.clear()
                         seen.add(key)
-                        rows.append(("segment", x["h"], x["lo"], key, content))
+                        rows.append(("segment", x["h"], x["at"] - x["lo"], key, len(content), content))
                     for row in rows:
                         for column, value in zip(out, row):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "a", "lo", "key", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["kind", "a", "at", "key", "bytes", "content"])
+
+    return run
+
+
+def _cut_by_place(window: int, gram: int, width: int):
+    """Parts of segments (key, n, at, content) whose strings have the gram in one range of ``width`` places.
+
+    h is the hash of what all strings of that range have in common.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        for batch in batches:
+            out: tuple[list, ...] = tuple([] for _ in types)
+            for owner, n, at, content in zip(*(c.to_pylist() for c in batch.columns)):
+                start, last = 0, len(content) - window
+                while start <= last:
+                    least = (at - start) // width * width
+                    most = min(least + width - 1, window - gram)
+                    stop = min(last, at - least)
+                    common = hashlib.blake2b(content[at - least : at - most + window], digest_size=8, salt=least.to_bytes(8, "big")).digest()
+                    part = content[start : stop + window]
+                    row = (owner, start, int.from_bytes(common, "big", signed=True), hashlib.blake2b(part, digest_size=16).digest(), n, at - start, len(part), part)
+                    for column, value in zip(out, row):
+                        column.append(value)
+                    start = stop + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["owner", "shift", "h", "key", "n", "at", "bytes", "content"])
 
     return run
 
@@ -154,27 +184,28 @@ def _ranges(at: np.ndarray) -> list[dict]:
 _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _shards(window: int, shard_bytes: int, group_bytes: int):
-    """Rows (h, key, n, content) sorted by h. Marks of each shard; too large groups are passed on."""
+def _shards(window: int, shard_bytes: int):
+    """Rows (h, key, n, content) sorted by h, with groups of bounded size. Marks of each shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(keys, marks, hot):
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, _RANGES), pa.array([h[1] if h else None for h in hot], pa.binary()), pa.array([h[0] if h else None for h in hot], pa.int64())], ["key", "marks", "content", "n"])
-
         shard: list[tuple[bytes, int, bytes]] = []
         size = 0
 
+        def emit(keys, marks):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, _RANGES)], ["key", "marks"])
+
         def solve():
             if shard:
                 found = repeated_starts([c for *_, c in shard], [n for _, n, _ in shard], window)
-                yield emit([k for k, *_ in shard], [_ranges(x) for x in found], [None] * len(shard))
+                some = [(k, x) for (k, *_), x in zip(shard, found) if len(x)]
+                yield emit([k for k, _ in some], [_ranges(x) for _, x in some])
 
         def close(group):
             nonlocal shard, size
             if len(group) == 1:  # nothing to compare with
                 key, n, content = group[0]
                 if n > 1:
-                    yield emit([key], [[{"a": 0, "b": len(content) - window}]], [None])
+                    yield emit([key], [[{"a": 0, "b": len(content) - window}]])
                 return
             shard += group
             size += sum(len(c) for *_, c in group)
@@ -183,22 +214,14 @@ def _shards(window: int, shard_bytes: int, group_bytes: int):
                 shard, size = [], 0
 
         group: list[tuple[bytes, int, bytes]] = []
-        held, now, hot = 0, None, False
+        now = None
         for batch in batches:
             for h, key, n, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if h != now:
                     if group:
                         yield from close(group)
-                    group, held, now, hot = [], 0, h, False
-                held += len(content)
-                if not hot and held > group_bytes:
-                    hot = True
-                    yield emit([k for k, *_ in group], [None] * len(group), [(m, c) for _, m, c in group])
-                    group = []
-                if hot:
-                    yield emit([key], [None], [(n, content)])
-                else:
-                    group.append((key, n, content))
+                    group, now = [], h
+                group.append((key, n, content))
         if group:
             yield from close(group)
         yield from solve()
@@ -206,22 +229,31 @@ def _shards(window: int, shard_bytes: int, group_bytes: int):
     return run
 
 
-def _windows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, n, content in zip(*(c.to_pylist() for c in batch.columns)):
-                starts = range(len(content) - window + 1)
-                made = [hashlib.blake2b(content[i : i + window], digest_size=16).digest() for i in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(made), pa.binary()), pa.array(starts, pa.int32()), pa.array(made, pa.binary()), pa.array([n] * len(made), pa.int64())], ["key", "a", "string", "n"])
+def _shifted(marks: str, by: str) -> Column:
+    return F.transform(marks, lambda m: F.struct((m["a"] + F.col(by)).alias("a"), (m["b"] + F.col(by)).alias("b"))).alias("marks")
 
-    return run
 
+def _marks(found: DataFrame, sizes: DataFrame, work: Workspace, window: int, gram: int, shard_bytes: int, group_bytes: int, width: int) -> DataFrame:
+    """(key, marks) of distinct segments ``found`` (h, key, n, at, content), ``sizes`` having (h, bytes) of each.
 
-def _hot_marks(hot: DataFrame, window: int) -> DataFrame:
-    """Marks of groups of any size: each string of ``window`` bytes is counted by itself."""
-    strings = hot.select("key", "n", "content").mapInArrow(_windows(window), "key binary, a int, string binary, n long")
-    again = strings.groupBy("string").agg(F.sum("n").alias("total")).filter("total > 1").select("string")
-    return strings.join(again, "string").select("key", F.array(F.struct("a", F.col("a").alias("b"))).alias("marks"))
+    Grams whose segments have over ``group_bytes`` are never dealt to one task: they
+    are cut into ranges of ``width`` places. Of one place all strings of a group are
+    equal, which makes a single segment, so that the halving ends.
+    """
+    parts = shuffle_partitions(found.sparkSession)
+    sums = sizes.groupBy("h").agg(F.sum("bytes").alias("total"), F.count("*").alias("rows"))
+    hot = work.put(sums.filter((F.col("total") > group_bytes) & (F.col("rows") > 1)).select("h"), f"hot{width}")
+    any_hot = width > 0 and bool(hot.limit(1).count())
+    dealt = (found.join(hot, "h", "left_anti") if any_hot else found).select("h", "key", "n", "content").repartition(parts, "h").sortWithinPartitions("h", "key")
+    marks = work.put(dealt.mapInArrow(_shards(window, shard_bytes), "key binary, marks array<struct<a:int,b:int>>"), f"solved{width}")
+    if not any_hot:
+        return marks
+    cut = found.join(hot, "h", "left_semi").select("key", "n", "at", "content").mapInArrow(_cut_by_place(window, gram, width), "owner binary, shift int, h long, key binary, n long, at int, bytes int, content binary")
+    cut = work.put(cut, f"cut{width}")
+    inner = cut.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("h", "at", "bytes", "content")])
+    inner = work.put(inner, f"inner{width}")
+    below = _marks(inner, inner.select("h", "bytes"), work, window, gram, shard_bytes, group_bytes, -(-width // 2) if width > 1 else 0)
+    return marks.unionByName(cut.select("owner", "shift", "key").join(below, "key").select(F.col("owner").alias("key"), _shifted("marks", "shift")))
 
 
 def _remaining(window: int):
@@ -257,25 +289,21 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     content = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
     rows = work.put(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), content.alias("content")).select("*", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha")), "rows")
     long = rows.filter(F.col("n_bytes") >= window)
-    anchors = work.put(long.select("uid", "content").mapInArrow(_anchors(window, gram), "uid long, h long, lo int, hi int"), "anchors")
+    anchors = work.put(long.select("uid", "content").mapInArrow(_anchors(window, gram), "uid long, h long, lo int, hi int, at int"), "anchors")
     # written, so that the join has two plain sides and a hot gram's rows can be split
     again = work.put(anchors.groupBy("h").count().filter(F.col("count") > 1).select("h"), "again")
-    candidates = anchors.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "lo", "hi")).alias("found"))
-    pieces = work.put(long.join(candidates, "uid").select("uid", "content", "found").mapInArrow(_cut_out(window), "kind string, a long, lo int, key binary, content binary"), "pieces", "kind")
+    candidates = anchors.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "lo", "hi", "at")).alias("found"))
+    pieces = work.put(long.join(candidates, "uid").select("uid", "content", "found").mapInArrow(_cut_out(window), "kind string, a long, at int, key binary, bytes int, content binary"), "pieces", "kind")
     work.drop("anchors")
-    refs = pieces.filter("kind = 'ref'").select(F.col("a").alias("uid"), "lo", "key")
+    refs = pieces.filter("kind = 'ref'").select(F.col("a").alias("uid"), F.col("at").alias("lo"), "key")
     counts = refs.groupBy("key").agg(F.count("*").alias("n"))
-    distinct = pieces.filter("kind = 'segment'").groupBy("key").agg(F.first("a").alias("h"), F.first("content").alias("content"))
-    dealt = distinct.join(counts, "key").select("h", "key", "n", "content").repartition(parts, "h").sortWithinPartitions("h", "key")
-    solved = work.put(dealt.mapInArrow(_shards(window, shard_bytes, group_bytes), "key binary, marks array<struct<a:int,b:int>>, content binary, n long"), "solved")
-    marks = solved.filter("size(marks) > 0").select("key", "marks")
-    hot = solved.filter("content is not null")
-    if hot.limit(1).count():
-        marks = marks.unionByName(_hot_marks(hot, window))
-    placed = refs.join(marks, "key").select("uid", F.transform("marks", lambda m: F.struct((m["a"] + F.col("lo")).alias("a"), (m["b"] + F.col("lo")).alias("b"))).alias("marks"))
+    cut = pieces.filter("kind = 'segment'")
+    distinct = cut.groupBy("key").agg(F.first("a").alias("h"), F.first("at").alias("at"), F.first("content").alias("content"))
+    sizes = cut.select(F.col("a").alias("h"), "key", "bytes").distinct()
+    marks = _marks(distinct.join(counts, "key"), sizes, work, window, gram, shard_bytes, group_bytes, -(-(window - gram + 1) // 2))
+    placed = refs.join(marks, "key").select("uid", _shifted("marks", "lo"))
     spans = work.put(placed.groupBy("uid").agg(F.flatten(F.collect_list("marks")).alias("marks")), "spans")
-    for name in ("again", "pieces", "solved"):
-        work.drop(name)
+    work.drop_all_but("rows", "spans")
     return rows, spans
 
 

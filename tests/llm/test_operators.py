@@ -426,6 +426,27 @@ def test_substrings_brute_force(spark, group_bytes):
     assert substring_dedup.substring_dedup(df.limit(0)).count() == 0
 
 
+def test_substrings_of_one_gram_in_many_texts(spark):
+    """One passage in all texts, between words of their own, some of them shared: groups are cut by place."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=90))
+    ends = ["".join(rng.choices("stuvwxyz ", k=50)) for _ in range(30)]
+    rows = [(i, rng.choice(ends)[rng.randint(0, 40) :] + passage[rng.randint(0, 9) :] + rng.choice(ends)[: rng.randint(0, 50)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.substring_dedup(df, window=60, gram=24, group_bytes=1000, shard_bytes=3000)
+    assert Counter(map(tuple, got.collect())) == slow_spans([(k, t.encode()) for k, t in rows], 60)
+
+
+def test_substrings_across_stretches(spark):
+    rng = np.random.default_rng(10)
+    at = substring_dedup.STRETCH
+    long = bytes(rng.integers(97, 123, at + 50_000, dtype=np.uint8)).decode()
+    other = "!" * 300 + "?" * 300
+    df = spark.createDataFrame([(1, long), (2, other[:300] + long[at - 700 : at + 900] + other[300:])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df).collect()}
+    assert got == {1: (len(long), 1600, 1, hashlib.sha256((long[: at - 700] + long[at + 900 :]).encode()).hexdigest()), 2: (2200, 1600, 1, hashlib.sha256(other.encode()).hexdigest())}
+
+
 # 10 HTML
 
 
