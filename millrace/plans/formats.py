@@ -23,7 +23,7 @@ from ..functions import text as X
 from ..operators import grid
 from ..sinks import delimited as writer
 from ..sinks import documents
-from ..sources import arrays, catalogs, containers, delimited, detect, files, geo, jsonlines, media, office, packets, parquet, trees
+from ..sources import arrays, catalogs, containers, delimited, detect, files, geo, jsonlines, media, office, packets, parquet, tomltext, trees
 from ..streaming import streams
 from .tables import table
 
@@ -188,7 +188,7 @@ def toml_leaves(spark, sf_dir):
     """S29, N01."""
     text = "\n".join(f'[nation.n{k}]\nname = "{n}"\nregion = {r}' for k, n, r in _nation(spark, sf_dir))
     docs = spark.createDataFrame([("a.toml", text)], "file string, text string")
-    rows = files.parsed(docs, "text", trees._toml_rows, trees._TOML).filter("row = 'node' AND kind = 'value'")
+    rows = files.parsed(docs, "text", tomltext.rows, trees._TOML).filter("row = 'node' AND kind = 'value'")
     return rows.select("path", "value_type", "value")
 
 

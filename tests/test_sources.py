@@ -226,6 +226,67 @@ def test_proto(spark, tmp_path):
     assert trees.proto_example(fields, {"acme.orders.Status": "UNKNOWN"}, "acme.orders.Order") == {"id": "", "lines": [{"sku": "", "quantity": 0}], "status": "UNKNOWN"}
 
 
+def test_proto_comments_and_texts(spark, tmp_path):
+    text = """syntax = 'proto3';
+import 'x.proto';
+/* A message
+ * of two lines */ message M { // not a doc
+  /* id */ string a = 1;
+  /* ends
+   here */ string b = 2;
+  string c = 3 [(u) = "http://x;y"]; // c
+  string d = 4;
+  string e = 5 [(o) = { k: "]" }, deprecated = true];
+  option (z) = { k: 1 };
+  int32 f = 6;
+}
+message N { string g = 1; }
+"""
+    p = trees.read_proto(spark, put(tmp_path, "b.proto", text))
+    fields = {(r["message"], r["name"]): (r["number"], r["doc"], r["line"]) for r in p["fields"].collect()}
+    assert fields == {("M", "a"): (1, "id", 5), ("M", "b"): (2, "ends\nhere", 7), ("M", "c"): (3, None, 8), ("M", "d"): (4, None, 9), ("M", "e"): (5, None, 10), ("M", "f"): (6, None, 12), ("N", "g"): (1, None, 14)}
+    assert [r["path"] for r in p["imports"].collect()] == ["x.proto"] and p["messages"].filter("name = 'M'").first()["doc"] == "A message\nof two lines"
+    assert p["warnings"].count() == 0
+
+
+def test_toml_rules(spark, tmp_path):
+    text = """top = 'it''s' # c
+# about
+# the server
+[server]
+host."a.b" = "x # y"
+ports = [ 1, [2, 3], , ] # z
+
+# lost
+
+empty =
+broken = [1, 2
+mixed = [1] x
+when = 1979-05-27T07:32:00Z
+# first
+[[a.b]]
+n = 1_000
+[[a.b]]
+n = -2.5e3
+c = { d = true, e = [], "f g" = 'h' }
+[a]
+late = +1.
+no assignment
+= 3
+[server]
+host."a.b" = 5
+"""
+    t = trees.read_toml(spark, put(tmp_path, "r.toml", text))
+    flat = [(r["path"], r["value_type"], r["value"]) for r in t["flattened"].orderBy("id").collect()]
+    assert flat == [
+        ("top", "string", "it''s"), ("server.host.a.b", "integer", "5"), ("server.ports[0]", "integer", "1"), ("server.ports[1][0]", "integer", "2"), ("server.ports[1][1]", "integer", "3"), ("server.empty", "string", ""), ("server.broken", "string", "[1, 2"),
+        ("server.mixed", "string", "[1] x"), ("server.when", "datetime", "1979-05-27T07:32:00Z"), ("a.b[0].n", "integer", "1000"), ("a.b[1].n", "float", "-2500.0"), ("a.b[1].c.d", "boolean", "true"), ("a.b[1].c.f g", "string", "h"), ("a.late", "float", "1.0"),
+    ]
+    assert {(r["message"], r["line"]) for r in t["warnings"].collect()} == {("Expected key/value assignment.", 22), ("Missing key before assignment.", 23), ("Duplicate key: server.host.a.b", 25)}
+    notes = {r["path"]: r["comment"] for r in t["nodes"].filter("comment is not null").collect()}
+    assert notes == {"server": "about\nthe server", "a.b": "first", "a.b[0]": "first"}
+
+
 def test_containers(spark, tmp_path):
     db = tmp_path / "a.db3"
     with sqlite3.connect(db) as c:
