@@ -15,19 +15,16 @@ from pyspark.sql import types as T
 
 from .shared import id_bucket
 
-#: Documents of each language that its dictionary is taken from, at most: those with the least hash of the id.
+#: Documents of each language that its dictionary is chosen from, at most: those with the least hash of the id.
 SAMPLE_DOCS = 400
-#: Bytes of a language's dictionary, and of a sampled document, at most.
+#: Bytes of whole texts that a language's dictionary is made of, at most (a single text may be longer).
 DICTIONARY_BYTES = 112 << 10
-DOCUMENT_BYTES = 2 << 10
 #: A text is compressed in pieces of so many bytes, so that all of it is held against the dictionary rather than its own start.
-PIECE_BYTES = 2 << 10
+PIECE_BYTES = 8 << 10
 LEVEL = 3
-SHORT_LEVEL = 12
-SHORT_BYTES = 512
-#: Blocks of each language that a short text is appended to, and their bytes.
-FILLERS = 4
-FILLER_BYTES = 1 << 10
+#: Blocks of each language that a piece is appended to, and their bytes.
+FILLERS = 2
+FILLER_BYTES = 2 << 10
 #: Bits a byte by which the best must lead the second; below it the answer is rejected.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -49,34 +46,28 @@ class LanguageModel:
     """Compressors with the dictionaries of some languages.
 
     The last ``FILLERS`` blocks of a language's sample are kept out of its
-    dictionary. A short text is measured behind each of them, as the bytes it
-    adds: by itself it is too short for the coder to gain anything.
+    dictionary. Each piece of a text is measured behind each of them, as the
+    bytes it adds: a short piece by itself leaves the coder nothing to gain.
     """
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         options = dict(write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-        self._long, self._short, self._fillers = [], [], []
+        self._coders = []
         for language in self.languages:
             sample = samples[language]
             cut = max(8, len(sample) - FILLERS * FILLER_BYTES)
             content = zstandard.ZstdCompressionDict(sample[:cut], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            for level, to in ((LEVEL, self._long), (SHORT_LEVEL, self._short)):
-                parameters = zstandard.ZstdCompressionParameters.from_level(level, source_size=PIECE_BYTES, dict_size=cut, **options)
-                to.append(zstandard.ZstdCompressor(dict_data=content, compression_params=parameters))
+            parameters = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=PIECE_BYTES + FILLER_BYTES, dict_size=cut, **options)
+            coder = zstandard.ZstdCompressor(dict_data=content, compression_params=parameters)
             blocks = [sample[i : i + FILLER_BYTES] for i in range(cut, len(sample), FILLER_BYTES)] or [b""]
-            blocks = [blocks[i % len(blocks)] for i in range(FILLERS)]
-            self._fillers.append([(b, len(self._short[-1].compress(b))) for b in blocks])
+            self._coders.append((coder, [(block, len(coder.compress(block))) for block in blocks]))
 
     def sizes(self, text: str) -> list[float]:
-        words = _words(text)
-        distinct = list(dict.fromkeys(words))
-        # of a text that repeats itself the repeats say nothing
-        data = _clean(distinct if 4 * len(distinct) < len(words) else words)
-        if len(data) <= SHORT_BYTES:
-            return [sum(len(c.compress(block + data)) - alone for block, alone in fillers) / FILLERS for c, fillers in zip(self._short, self._fillers)]
+        """Bytes that the whole text takes in each language."""
+        data = _clean(_words(text))
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        return [float(sum(len(c.compress(p)) for p in pieces)) for c in self._long]
+        return [sum(len(coder.compress(block + piece)) - alone for piece in pieces for block, alone in fillers) / len(fillers) for coder, fillers in self._coders]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, bits a byte by which it leads); ties go to the first in order."""
@@ -91,30 +82,45 @@ class LanguageModel:
 
 
 def dictionaries(docs: DataFrame, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", train: Column | None = None, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Each learned language's dictionary: starts of some of its documents, joined.
+    """Each learned language's dictionary: some of its documents, whole, joined.
 
-    What reaches the driver is bounded for a language by ``sample_docs`` times
-    ``DOCUMENT_BYTES``; of a repeated id one text is used.
+    Of the ``sample_docs`` ids of least hash those are taken, in order of the hash,
+    whose whole texts still fit ``dictionary_bytes``; if none does, the shortest.
+    Only lengths and the chosen texts reach the driver. Of a repeated id the
+    shortest text is used.
     """
-    labelled = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and id is not null")
-    if train is not None:
-        labelled = docs.filter(train).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id")).filter("lang is not null and id is not null")
+    labelled = docs.filter(train) if train is not None else docs
+    labelled = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.octet_length(F.col(f"`{text_col}`")).alias("bytes")).filter("lang is not null and id is not null and bytes > 0")
     # ids in order of a hash; those that can't be among the first are left out by its value,
     # so that no language's rows meet in one task
     place = F.pmod(F.xxhash64("id"), F.lit(HASHES))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}
     if not counts:
         return {}
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, HASHES if n <= 8 * sample_docs else HASHES * 8 * sample_docs // n)])
-    near = labelled.filter(place <= F.element_at(limits, F.col("lang"))).distinct()
+    near = labelled.filter(place <= F.element_at(limits, F.col("lang"))).groupBy("lang", "id").agg(F.min("bytes").alias("bytes"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))
-    chosen = near.withColumn("n", rank).filter(F.col("n") <= sample_docs).select(F.col("lang").alias("l"), F.col("id").alias("i"))
-    texts = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), 1, DOCUMENT_BYTES).alias("text"))
-    found = texts.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i"))).filter("text is not null").groupBy("lang", "id").agg(F.min("text").alias("text")).collect()
+    first: dict[str, list] = {}
+    for row in near.withColumn("n", rank).filter(F.col("n") <= sample_docs).orderBy("lang", "n").collect():
+        first.setdefault(row["lang"], []).append(row)
+    chosen = {}
+    for lang, rows in first.items():
+        room, taken = dictionary_bytes, []
+        for row in rows:
+            if row["bytes"] <= room:
+                room -= row["bytes"]
+                taken.append(row)
+        for row in taken or [min(rows, key=lambda r: r["bytes"])]:
+            chosen[lang, row["id"]] = (lang, row["id"], row["bytes"])
+    schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("i", docs.schema[id_col].dataType), T.StructField("b", T.IntegerType())])
+    wanted = docs.sparkSession.createDataFrame(list(chosen.values()), schema)
+    texts = docs.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = texts.join(F.broadcast(wanted), (F.col("lang") == F.col("l")) & (F.col("id") == F.col("i")) & (F.octet_length("text") == F.col("b")))
+    got = {(r["lang"], r["id"]): r["text"] for r in found.groupBy("lang", "id").agg(F.min("text").alias("text")).collect()}
     parts: dict[str, list[bytes]] = {}
-    for row in sorted(found, key=lambda r: (r["lang"], str(r["id"]), r["text"])):
-        parts.setdefault(row["lang"], []).append(_clean(_words(row["text"]))[:DOCUMENT_BYTES])
-    return {lang: b"".join(x)[-dictionary_bytes:] for lang, x in parts.items() if len(b"".join(x)) >= 8}
+    for lang, i in chosen:
+        parts.setdefault(lang, []).append(_clean(_words(got[lang, i])))
+    return {lang: b"".join(x) for lang, x in parts.items() if len(b"".join(x)) >= 8}
 
 
 def identify_language(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", *, keep: list[str], margin: float = MARGIN) -> DataFrame:
@@ -146,7 +152,10 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Learned from rows with a language whose id's crc32 modulo ``held_out_of``
     isn't ``held_out``. A null id is neither learned from nor held out. Without
-    any labelled row each answer is ``und``.
+    any labelled row each answer is ``und``, as it is for null, empty and
+    letterless texts; whole texts count, however long. Repeated rows are each
+    answered, ties between languages go to the first in order, other columns
+    are ignored, and an empty table gives no rows.
     """
     bucket = id_bucket(id_col, held_out_of)
     model = dictionaries(docs, lang_col=lang_col, id_col=id_col, text_col=text_col, train=bucket != held_out, sample_docs=sample_docs)

@@ -47,6 +47,30 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_clashing_columns_and_repeats(spark):
+    """Few ids, each repeated often, are learned from; the whole of a text decides; other columns don't matter."""
+    rows = [(i % 3, "der und die das nicht ist wir haben " * 20, "de") for i in range(600)] + [(10 + i % 3, "the and of to with is we have " * 20, "en") for i in range(600)]
+    rows += [(50, "the and of to " * 30 + "der und die das nicht " * 3000, None), (51, None, None), (None, "the and of", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for c in ("lang_pred", "score", "held_out", "id", "l", "bytes", "_mr_text"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = langid.language_id(docs, sample_docs=1).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got if r["doc_id"] in (0, 1, 2, 50)} == {"de"}
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (10, 11, 12, None)} == {"en"}
+    assert all(not r["held_out"] for r in got if r["doc_id"] is None)
+
+
+def test_language_sample_is_whole_texts_within_its_bytes(spark):
+    rows = [(i, f"w{'x' * (i % 50)} und die das " * 10, "de") for i in range(100)] + [(200, "the and of " * 5000, "en")]
+    got = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dictionary_bytes=3000)
+    texts = {langid._clean(langid._words(t)) for _, t, _ in rows}
+    assert 1500 < len(got["de"]) <= 3100 and got["en"] in texts
+    rest = got["de"]
+    while rest:
+        whole = next(t for t in texts if rest.startswith(t))
+        rest = rest[len(whole) :]
+
+
 def test_narrow_margin_is_rejected():
     model = langid.LanguageModel({"a": b" the and of to " * 500, "b": b" the and of to " * 500})
     assert model.predict("the and of to")[2] == 0.0
