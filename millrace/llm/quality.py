@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import id_bucket
+from .shared import id_bucket, unused
 
 BUCKETS = 1 << 15
 RANK = 6
 #: Labelled rows that a classifier is fitted on, at most: those with the least hash of the id.
 SAMPLE_ROWS = 12_000
-EPOCHS = 6
-LEAST_STEPS = 1500
+#: Batches that a machine is fitted with, whatever the sample's size.
+STEPS = 2250
 THRESHOLD = 0.3
 
 #: Structure statistics and metadata of a text, in this order.
@@ -100,33 +100,34 @@ class FactorisationMachine:
         z = self.bias + self.w[index] @ value + 0.5 * ((vx.sum(0) ** 2).sum() - (vx**2).sum())
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 1e-5, batch: int = 32, seed: int = 7) -> FactorisationMachine:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, steps: int = STEPS, rate: float = 0.15, decay: float = 1e-5, batch: int = 32, seed: int = 7) -> FactorisationMachine:
         """Adagrad on the log loss, in small batches; the same rows give the same model."""
         rng = np.random.default_rng(seed)
         gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
-        # small samples are gone through more often, for as many steps
-        for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(rows)))):
-            order = rng.permutation(len(rows))
-            for start in range(0, len(order), batch):
-                part = order[start : start + batch]
-                sizes = np.array([len(rows[i][0]) for i in part])
-                index, value = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
-                bounds = np.r_[0, np.cumsum(sizes)[:-1]]
-                vx = self.v[index] * value[:, None]
-                s = np.add.reduceat(vx, bounds)
-                z = self.bias + np.add.reduceat(self.w[index] * value, bounds) + 0.5 * ((s**2).sum(1) - np.add.reduceat((vx**2).sum(1), bounds))
-                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
-                each = np.repeat(error, sizes)
-                used, back = np.unique(index, return_inverse=True)
-                dw = np.bincount(back, each * value, len(used)) + decay * self.w[used]
-                grad = (each * value)[:, None] * (np.repeat(s, sizes, axis=0) - vx)
-                dv = np.stack([np.bincount(back, grad[:, f], len(used)) for f in range(grad.shape[1])], 1) + decay * self.v[used]
-                gw[used] += dw**2
-                gv[used] += dv**2
-                gb += error.sum() ** 2
-                self.w[used] -= rate * dw / np.sqrt(gw[used])
-                self.v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
-                self.bias -= rate * error.sum() / np.sqrt(gb)
+        order, done = np.empty(0, np.int64), 0
+        for _ in range(steps):
+            if done >= len(order):
+                order, done = rng.permutation(len(rows)), 0
+            part = order[done : done + batch]
+            done += batch
+            sizes = np.array([len(rows[i][0]) for i in part])
+            index, value = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
+            bounds = np.r_[0, np.cumsum(sizes)[:-1]]
+            vx = self.v[index] * value[:, None]
+            s = np.add.reduceat(vx, bounds)
+            z = self.bias + np.add.reduceat(self.w[index] * value, bounds) + 0.5 * ((s**2).sum(1) - np.add.reduceat((vx**2).sum(1), bounds))
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
+            each = np.repeat(error, sizes)
+            used, back = np.unique(index, return_inverse=True)
+            dw = np.bincount(back, each * value, len(used)) + decay * self.w[used]
+            grad = (each * value)[:, None] * (np.repeat(s, sizes, axis=0) - vx)
+            dv = np.stack([np.bincount(back, grad[:, f], len(used)) for f in range(grad.shape[1])], 1) + decay * self.v[used]
+            gw[used] += dw**2
+            gv[used] += dv**2
+            gb += error.sum() ** 2
+            self.w[used] -= rate * dw / np.sqrt(gw[used])
+            self.v[used] -= 0.3 * rate * dv / np.sqrt(gv[used])
+            self.bias -= rate * error.sum() / np.sqrt(gb)
         return self
 
 
@@ -161,13 +162,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> FactorisationM
     rows = sorted((bytes(r["index"]), bytes(r["value"]), r["label"]) for r in got)
     machine = FactorisationMachine(BUCKETS + len(STATISTICS))
     if not rows:
+        machine.v[:] = 0
         return machine
     pairs = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for i, v, _ in rows]
     return machine.fit(pairs, np.array([y for *_, y in rows], float))
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", *, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``keep`` with _mr_score (0 to 1) and _mr_predicted (1 if the score >= threshold).
+    """Columns ``keep`` and, last, the score (0 to 1) and the prediction (1 if the score >= threshold),
+    named _mr_score and _mr_predicted, with more underlines where ``keep`` has these names.
 
     Null counts as empty; empty texts are scored on their statistics alone.
     """
@@ -175,7 +178,8 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine, text_col: str
     at = keep.index(text_col) if text_col in keep else len(keep)
     base = docs.select(*[F.col(f"`{c}`") for c in keep], *([F.col(f"`{text_col}`")] if at == len(keep) else []))
     kept = base.schema.fields[: len(keep)]
-    schema = T.StructType([*kept, T.StructField("_mr_score", T.DoubleType()), T.StructField("_mr_predicted", T.IntegerType())])
+    names = unused(keep, "_mr_score", "_mr_predicted")
+    schema = T.StructType([*kept, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, fm = Featurizer(), FactorisationMachine(1, 1)
@@ -191,7 +195,11 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     """One row per input row: ``id_col, held_out, score, predicted``.
 
     Labels are learned from rows whose id's crc32 modulo ``held_out_of`` isn't
-    ``held_out``; a null id is not held out and has no label.
+    ``held_out``; a null id is not held out and has no label. Null texts are
+    empty, and empty texts have a score too; whole texts count, however long;
+    repeated rows are each scored, a score equal to ``threshold`` is predicted 1,
+    other columns are ignored, and an empty table gives no rows. Without any
+    label every score is one half.
     """
     machine = fit_quality(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows, train=id_bucket(id_col, held_out_of) != held_out)
     scored = score_quality(docs, machine, text_col, keep=[id_col], threshold=threshold)
@@ -199,7 +207,11 @@ def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, held_out_of: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``.
+
+    Null ids and texts, repeated rows and empty tables are treated as in ``quality``;
+    columns of any name are kept as they are.
+    """
     machine = fit_quality(docs, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows, train=id_bucket(id_col, held_out_of) != held_out)
     scored = score_quality(docs, machine, text_col, keep=list(docs.columns), threshold=threshold)
-    return scored.filter("_mr_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored.filter(F.col(scored.columns[-1]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,3 +84,14 @@ def lower_ascii(col: Column) -> Column:
 def id_bucket(id_col: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underlines put before those that columns have already."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
