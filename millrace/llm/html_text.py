@@ -2,17 +2,18 @@
 
 A page is cut into blocks at block-level tags. A block's features are its word
 count and link density, those of the blocks before and after it, and the kind
-of place it stands in. The tree is grown from ``LABELLED`` when a task starts.
+of place it stands in (in an article, a heading, an element for what stands
+beside, or one named so). The tree is grown from ``LABELLED`` when a task starts.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -20,52 +21,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "article", "heading")
+from .shared import unused
 
-#: The labelled table: FEATURES in order, then 1 for main text. A field's alternatives are
-#: separated by commas, and a line stands for all their combinations. Made by hand.
-#: links: share of a block's words inside links; aside, article, heading: 0 or 1.
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "named", "article", "heading")
+
+#: The labelled table: blocks of pages in page order, a page to a line. A block is + (main text) or -,
+#: its words, / and those of them in links, then where it stands: a in the article, h a heading,
+#: s in an aside element (menu, footer, sidebar, form), n in an element whose name says aside. Made by hand.
 LABELLED = """
-1,4,12,30,90,250 0,0.1,0.3 0,6,40,150 0 0,6,40,150 0   0 1 0 1
-4,20,90          0,0.2     1,5        1 0,40       0   0 1 0 1
-4,20,90          0,0.2     0,40       0 1,5        1   0 1 0 1
-1,8,20           0         0,1,30     0,1 0,4,60   0,1 0 1 1 1
-2,6              0.6,1     20,80      0 20,80      0   0 1 0 1
-1,3,8            0.8,1     2,5        1 0,3,40     0,1 0 1 0 0
-1,3,8            0.8,1     40         0 2,5        1   0 1 0 0
-20,45,90,200     0,0.1,0.3 0,6,40,150 0 0,6,40,150 0   0 0 0 1
-20,45,90         0,0.1     1,5        1 0,40       0   0 0 0 1
-20,45,90         0,0.1     0,40       0 1,5        1   0 0 0 1
-3,8,13           0,0.1     25,150     0 25,150     0   0 0 0 1
-3,8,13           0         0,1,6,40   0,1 25,150   0   0 0 1 1
-2,5,9            0,0.2     0,1,5      0,1 0,1,5    0,1 0 0 0 0
-1,4,8            0         0,1,5      0,1 0,2,5    1   0 0 1 0
-2,6,10           0,0.3     25,60      0 0,3        0,1 0 0 0 0
-1,3,8,16         0.6,1     0,2,30     0,1 0,2,30   0,1 0 0 0 0
-25,60            0.6,0.9   0,8,40     0,1 0,8      1   0 0 0 0
-1,4,12,30,90,250 0,0.3,1   0,6,150    0,1 0,6,150  0,1 1 0,1 0,1 0
+-1/1s -1/1s -2/2s -1/1s +9/0ah +60/0a +84/2a +12/0a +7/0ah +45/5a +120/0a -2/2s -9/0s
+-3/0n -4/4n -2/2n +6/0ah +3/0a +150/4a +33/0a -14/0an -6/6an +70/0a +5/5a +4/4a +6/6a -40/0an -2/1an -65/0an -38/0an -8/2s
+-2/0 -5/5 -1/1 -1/1 +8/0h +55/0 +90/3 +7/0 +62/0 +110/9 -3/3 -4/4 -6/0
+-1/1 -2/2 -1/1 -3/3 -1/1 +5/0h +34/0 +28/1 -2/2 -1/1 -2/1
+-4/0s -1/0s -30/30s -25/10s +11/0ah +2/2a +1/0a +20/20a +3/3a +2/2a +1/1a +90/1a -20/0s -50/0s -12/12s
+-2/0n -20/0n -35/3n +4/0a +1/0a +8/0a +2/0a +7/0a +3/0a +6/0ah +2/0ah +9/0a +30/0a -5/5s -60/0n -80/0n
+-1/0 -3/0 -8/1 -2/2 +6/0h +40/0 +9/0 +75/2 +5/0h +52/0 +200/0 -9/9 -11/11 -4/4
++7/0h +95/0 +130/0 +66/6 +10/0 +80/0 -5/0
+-1/1 -1/1 -16/16 -14/14 -12/12 -30/30 -25/22 -18/18 -3/0 -5/0
+-2/2 -2/2 -4/0h -3/3 -5/5 -6/6 -4/0h -8/8 -7/7 -2/0
++3/0a +250/0a +8/8a +1/1a +300/10a +1/0a
+-2/2s +6/0ah +40/0a -60/0as -2/2as +25/0a -3/0as -120/4as +9/0a -30/0ans -8/0ash +70/0a -16/16as -4/0ns
+-24/1s +7/0h +26/0 +31/2 +4/0h +23/0 -22/1s -40/0n -28/0n
+-9/0n +12/0a +40/0a -7/0an -33/0an +50/0a -90/0an -1/1an -45/0an -120/0an -3/0s
+-6/0 -3/3 +5/0h +24/0 +22/1 +48/0 -3/2 -5/0
+-10/0s -100/0s -70/7s -3/0s +5/0ah +15/15a +18/18a +25/0a +2/0a -12/0s
++60/10 +45/0 +90/20 +33/0 +12/0 +41/0 +75/0 -2/0 -6/6
+-60/50 -40/40 +80/4 +55/0 -26/26 -4/2
+-2/0 -7/0 -1/0 -3/0 -9/1 -5/0 -2/2
 """
 
 #: Elements without text of the page, those that break blocks, and those beside the main text.
-DROPPED = frozenset("head script style noscript template textarea select option svg math iframe object canvas audio video map title button".split())
+DROPPED = frozenset("head script style noscript template textarea select option svg iframe object canvas audio video map title button".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 #: Elements around the main text, whose names tell of the page's state and layout.
 WHOLE = frozenset("html body main article".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+#: A name says aside if its parts are among these words, further ones only if they say nothing else.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar nav navbar navigation menu topbar breadcrumb breadcrumbs pagination pager footer masthead widget related recommended cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus replies reply respond skip search toolbar paywall disclaimer copyright".split()
 )
-RAW_TEXT = "script|style|textarea|title|noscript|template|iframe|svg|math|select|object|canvas|button"
+PLAIN_NAMES = frozenset("site page main global top bottom left right upper lower primary secondary list box bar block area section wrap wrapper container content inner outer item items row col column group panel links link buttons button icons icon user reader form text body title header heading head posts post articles stories more of the and for js v1 v2 w1 x y sm md lg mobile desktop sticky fixed".split())
+RAW_TEXT = "script|style|textarea|title|noscript|template|iframe|svg|select|object|canvas|button"
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?!(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>)(?P<raw>{RAW_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?!svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>)(?P<raw>{RAW_TEXT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[^a-z0-9]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_PART = re.compile(r"[a-z]+|[0-9]+")
 
 
 @dataclass
@@ -73,30 +79,32 @@ class Block:
     parts: list[str] = field(default_factory=list)
     link_parts: list[str] = field(default_factory=list)
     aside: bool = False
+    named: bool = False
     article: bool = False
     heading: bool = False
     text: str = ""
 
 
+@cache
+def says_aside(name: str) -> bool:
+    """Whether a class or id names what stands beside the main text: some of its parts do, and the others say nothing."""
+    parts = [x for x in _PART.findall(name) if not x.isdigit()]
+    return any(x in ASIDE_NAMES for x in parts) and all(x in ASIDE_NAMES or x in PLAIN_NAMES for x in parts)
+
+
 def _kind(name: str, rest: str, in_article: bool) -> str:
-    """What an element opens: "drop", "aside", "article" or nothing of these."""
+    """What an element opens: "drop", "aside", "named", "article" or nothing of these."""
     if name in DROPPED:
         return "drop"
-    names: set[str] = set()
-    for key, value in _ATTRIBUTE.findall(rest) if rest.strip(" /") else ():
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" and not value.startswith("until") or key == "style" and _HIDDEN.search(value):
-            return "drop"
-        if key == "role" and value.strip() in ASIDE_ROLES:
-            return "aside"
-        if key in ("class", "id"):
-            names |= set(_NAME.split(value))
-    if name in WHOLE:
-        names = set()
-    if name in ASIDE or names & ASIDE_NAMES:
-        return "aside"
-    if not in_article and (name == "header" or "header" in names):
+    if name in ASIDE or name == "header" and not in_article:
         return "aside"
+    for key, value in _ATTRIBUTE.findall(rest) if rest.strip(" /") else ():
+        value = value.strip("\"'").lower()
+        if key.lower() == "role":
+            if value.strip() in ASIDE_ROLES:
+                return "aside"
+        elif name not in WHOLE and any(says_aside(x) or x == "header" and not in_article for x in value.split()):
+            return "named"
     return "article" if name in ("article", "main") else ""
 
 
@@ -104,14 +112,23 @@ def blocks(page: str) -> list[Block]:
     """Non-empty text blocks in page order; tags that are not closed end with the page."""
     out, now = [], Block()
     stack: list[tuple[str, str]] = []
-    depth = {"drop": 0, "aside": 0, "article": 0, "heading": 0, "a": 0}
+    depth = {"drop": 0, "aside": 0, "named": 0, "article": 0, "heading": 0, "a": 0}
+    opened: Counter[str] = Counter()
     at = 0
 
+    def close() -> str:
+        name, kind = stack.pop()
+        opened[name] -= 1
+        for k in (kind, "heading" if name in HEADINGS else "", "a" if name == "a" else ""):
+            if k:
+                depth[k] -= 1
+        return name
+
     def take(raw: str) -> None:
         if raw and not depth["drop"]:
             text = html.unescape(raw) if "&" in raw else raw
             if not now.parts:
-                now.aside, now.article, now.heading = bool(depth["aside"]), bool(depth["article"]), bool(depth["heading"])
+                now.aside, now.named, now.article, now.heading = (bool(depth[k]) for k in ("aside", "named", "article", "heading"))
             now.parts.append(text)
             if depth["a"]:
                 now.link_parts.append(text)
@@ -129,29 +146,22 @@ def blocks(page: str) -> list[Block]:
         if m["name"] is None:
             continue
         name = m["name"].lower()
-        if name in ("svg", "math") and m["rest"].endswith("/"):
+        if name == "svg" and m["rest"].endswith("/"):
             continue
         if name in BLOCKS or name in DROPPED:
             flush()
         if m["end"]:
-            places = [i for i, (n, _) in enumerate(stack) if n == name]
-            if places:
-                for n, kind in stack[places[-1] :]:
-                    for k in (kind, "heading" if re.fullmatch("h[1-6]", n) else "", "a" if n == "a" else ""):
-                        if k:
-                            depth[k] -= 1
-                del stack[places[-1] :]
+            # a name that isn't open closes nothing
+            while opened[name] and close() != name:
+                pass
         elif name not in VOID and not m["rest"].endswith("/"):
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option", "a") and stack and stack[-1][0] == name:
-                if name == "a":
-                    depth["a"] -= 1
-                if stack[-1][1]:
-                    depth[stack[-1][1]] -= 1
-                stack.pop()
+                close()
             kind = _kind(name, m["rest"], bool(depth["article"]))
             if kind or name == "a" or name in BLOCKS:
                 stack.append((name, kind))
-                for k in (kind, "heading" if re.fullmatch("h[1-6]", name) else "", "a" if name == "a" else ""):
+                opened[name] += 1
+                for k in (kind, "heading" if name in HEADINGS else "", "a" if name == "a" else ""):
                     if k:
                         depth[k] += 1
     take(page[at:])
@@ -159,14 +169,18 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def features(found: list[Block]) -> np.ndarray:
-    words = np.array([len(b.text.split()) for b in found], float)
-    links = np.array([len("".join(b.link_parts).split()) for b in found], float) / np.maximum(words, 1)
-    links = np.minimum(links, 1.0)
+def features(words: np.ndarray, links: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """FEATURES of a page's blocks, from their words, words in links and (aside, named, article, heading)."""
+    density = np.minimum(links / np.maximum(words, 1), 1.0)
     before = lambda x: np.r_[0.0, x[:-1]]
     after = lambda x: np.r_[x[1:], 0.0]
-    flags = [np.array([getattr(b, k) for b in found], float) for k in ("aside", "article", "heading")]
-    return np.stack([words, links, before(words), before(links), after(words), after(links), *flags], axis=1)
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags])
+
+
+def block_features(found: list[Block]) -> np.ndarray:
+    words = np.array([len(b.text.split()) for b in found], float)
+    links = np.array([len("".join(b.link_parts).split()) for b in found], float)
+    return features(words, links, np.array([(b.aside, b.named, b.article, b.heading) for b in found], float))
 
 
 class DecisionTree:
@@ -210,7 +224,14 @@ class DecisionTree:
 
 
 def labelled_rows(table: str = LABELLED) -> np.ndarray:
-    return np.array([row for line in table.strip().splitlines() for row in product(*(map(float, x.split(",")) for x in line.split()))])
+    """FEATURES and label of each block of the labelled pages."""
+    out = []
+    for page in table.strip().splitlines():
+        found = [re.fullmatch(r"([+-])(\d+)/(\d+)(\w*)", x).groups() for x in page.split()]
+        flags = np.array([[c in where for c in "snah"] for *_, where in found], float)
+        x = features(np.array([float(n) for _, n, _, _ in found]), np.array([float(n) for _, _, n, _ in found]), flags)
+        out.append(np.column_stack([x, [sign == "+" for sign, *_ in found]]))
+    return np.concatenate(out)
 
 
 @cache
@@ -224,16 +245,19 @@ def main_text(page: str | None, tree: DecisionTree) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    keep = tree.predict(features(found))
+    keep = tree.predict(block_features(found))
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", *, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` with text and n_chars (code points). A null page is empty,
-    a page without main text gives the empty text; each row has its own result.
-    Columns of the input named text or n_chars can't be kept."""
+    """Columns ``keep`` with text and n_chars (code points), named with underlines before where
+    ``keep`` has these names. A null or empty page, and one without main text, has the
+    empty text; pages of any length are read whole, in time that grows with the
+    length; repeated rows have a result each, null ids are kept, ties of the tree
+    count as main text, other columns are left out, and an empty table gives no rows.
+    """
     base = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("_mr_html"))
-    schema = T.StructType([*base.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([*base.schema.fields[:-1], *(T.StructField(n, t) for n, t in zip(unused(keep, "text", "n_chars"), (T.StringType(), T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = grown_tree()

@@ -513,6 +513,37 @@ def test_html_names_of_whole_page_and_empty_drawings():
     assert html_text.main_text(plain.replace("<p>", "<p><svg><text>drawn</text></svg>", 1), tree) == f"{body.strip()} {body.strip()}"
 
 
+def test_html_keeps_all_of_an_article():
+    tree, body = html_text.grown_tree(), "These are words of the main text that go on for a while. " * 6
+    for inside, text in (
+        ("<div class='search-results-analysis'><p>What was found, and what it means.</p></div>", "What was found, and what it means."),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", "Let x=2 be."),
+        ("<ul><li><a href=1>First part</a></li><li><a href=2>Second part</a></li><li><a href=3>Third</a></li></ul>", "First part Second part Third"),
+        ("<p hidden>The answer.</p><div style='display:none'><p>And the proof of it.</p></div>", "The answer. And the proof of it."),
+        ("<div class='has-sidebar menu-items-explained'><p>Short.</p></div>", "Short."),
+        ("<div class='comment-list'><p>" + "I think so too. " * 30 + "</p></div><div id='ad-container'>Buy</div><div class='related-posts'><a href=x>More</a></div>", ""),
+    ):
+        want = " ".join(x for x in (body.strip(), text, body.strip()) if x)
+        assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav><article class='widget-review'><p>{body}</p>{inside}<p>{body}</p></article><footer>me</footer></body>", tree) == want, inside
+
+
+def test_html_many_tags_take_linear_time():
+    import time
+
+    start = time.process_time()
+    page = "<div>" * 20_000 + "</b></section>" * 20_000 + "<p>end"
+    assert isinstance(html_text.main_text(page, html_text.grown_tree()), str)
+    assert time.process_time() - start < 5
+
+
+def test_html_empty_table_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>Words of it.</p></article>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    got = html_text.extract_text(pages, keep=["page_id", "text", "n_chars", "html"])
+    assert got.columns == ["page_id", "text", "n_chars", "html", "_text", "_n_chars"]
+    assert tuple(got.select("page_id", "text", "n_chars", "_text", "_n_chars").first()) == (1, "t", 5, "Words of it.", 12)
+    assert html_text.extract_text(pages.limit(0), keep=["page_id", "url"]).count() == 0
+
+
 def test_html_table_is_learned():
     rows = html_text.labelled_rows()
     assert (html_text.grown_tree().predict(rows[:, :-1]) == rows[:, -1]).mean() > 0.97
