@@ -91,6 +91,26 @@ def numbered_page(df: DataFrame, number: int, order: list[Column], page_rows: in
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("pos") > first)
 
 
+def positions(df: DataFrame, order: list[Column], name: str, path: str) -> DataFrame:
+    """Each row's position ``name`` (from 1) in the whole order, which has to be total.
+
+    Rows are dealt by ranges and sorted in each; ``path`` (in the shared folder) keeps
+    them, so that counting and numbering see the same ranges. Only a count for each
+    range reaches the driver; no task has more than its range.
+    """
+    part, at = f"_{name}_part", f"_{name}_at"
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spark = df.sparkSession
+    dealt.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)).write.parquet(path)
+    kept = spark.read.parquet(path)
+    before, starts = 0, []
+    for row in kept.groupBy(part).count().orderBy(part).collect():
+        starts.append((row[0], before))
+        before += row[1]
+    offsets = spark.createDataFrame(starts, f"{part} int, _before long")
+    return kept.join(F.broadcast(offsets), part).withColumn(name, F.col(at) + F.col("_before") + 1).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def row_range(df: DataFrame, start: int, end: int, index: str) -> DataFrame:
     """Rows whose index is in [start, end)."""
     return df.filter((F.col(f"`{index}`") >= start) & (F.col(f"`{index}`") < end))

@@ -22,8 +22,9 @@ def distinct_count(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.countDistinct(column).alias("n_distinct"))
 
 
-def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    return df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+def conditional_counts(df: DataFrame, conditions: dict[str, Column], **others: Column) -> DataFrame:
+    """Counts of rows that meet each condition, and other aggregates, in one pass."""
+    return df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()], *[c.alias(name) for name, c in others.items()])
 
 
 def duplicates(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -74,7 +75,7 @@ def pattern_count(text: Column, pattern: str) -> Column:
 def dominant(df: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
     """Each group's most frequent value where its share reaches the threshold (ties: the least)."""
     counted = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    best = counted.groupBy(*by).agg(F.max_by(value, F.struct("n", F.negative(F.xxhash64(value)))).alias(value), F.max("n").alias("n"), F.sum("n").alias("total"))
+    best = counted.groupBy(*by).agg(F.min_by(value, F.struct(F.negative("n"), value)).alias(value), F.max("n").alias("n"), F.sum("n").alias("total"))
     return best.filter(F.col("n") >= F.col("total") * threshold)
 
 

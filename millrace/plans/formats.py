@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import json
-import os
-import sqlite3
 import struct
 import uuid
-import zipfile
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import grid
-from ..sinks import delimited as writer
 from ..sinks import documents
-from ..sources import arrays, catalogs, containers, delimited, detect, files, geo, jsonlines, media, office, packets, parquet, tomltext, trees
+from ..sources import catalogs, detect, geo, media, parquet
+from ..sources.files import put_file, scratch
 from ..streaming import streams
 from .tables import table
 
@@ -46,62 +38,6 @@ def query(sql: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/formats/{name}-{uuid.uuid4().hex[:10]}"
-
-
-def contents(spark: SparkSession, items: list[tuple[str, bytes]]) -> DataFrame:
-    """Files that exist in memory only, as the readers' (file, length, content)."""
-    return spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in items], "file string, length long, content binary")
-
-
-def _put(path: str, content: bytes) -> None:
-    """Write one file of the shared folder from a task."""
-    where = urlparse(path)
-    fs, at = (pa_fs.LocalFileSystem(), where.path) if where.scheme in ("", "file") else pa_fs.FileSystem.from_uri(path)
-    fs.create_dir(os.path.dirname(at), recursive=True)
-    with fs.open_output_stream(at) as out:
-        out.write(content)
-
-
-def _nation(spark, sf_dir) -> list[tuple]:
-    """25 rows, whatever the scale."""
-    return [tuple(r) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
-
-
-@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_size::VARCHAR AS p_size FROM part")
-def csv_scan(spark, sf_dir):
-    """Written and read as delimited text."""
-    path = scratch(spark, "part")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    part.select(F.concat_ws(",", F.lit("p_partkey"), F.lit("p_name"), F.lit("p_brand"), F.lit("p_size")).alias("value")).limit(1).unionAll(part.select(writer.delimited_line(part).alias("value"))).coalesce(1).write.text(path)
-    return delimited.read_delimited(spark, path, ",").drop("_row_index")
-
-
-@query("SELECT event_id - 1 + 1 AS line_number, props AS content, true AS is_valid, (props::JSON->>'$.k')::BIGINT AS k FROM events".replace("event_id - 1 + 1", "row_number() OVER (ORDER BY event_id)"))
-def jsonl_scan(spark, sf_dir):
-    """JSON lines with their numbers and validity."""
-    path = scratch(spark, "props")
-    table(spark, sf_dir, "events").orderBy("event_id").select("props").coalesce(1).write.text(path)
-    got = jsonlines.read_jsonl(spark, path)
-    return got.select("line_number", "content", "is_valid", F.try_variant_get("v", "$.k", "bigint").alias("k"))
-
-
-@query("SELECT row_number() OVER (ORDER BY doc_id, i) AS line, md5(trim(line, chr(13))) AS h FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
-def physical_lines(spark, sf_dir):
-    """Physical lines of a file that is read in splits."""
-    path = scratch(spark, "lines")
-    table(spark, sf_dir, "documents").orderBy("doc_id").select("text").coalesce(1).write.text(path)
-    return files.lines(spark, path).select("line", F.md5(F.col("text").cast("binary")).alias("h"))
-
-
 @query("SELECT l_orderkey, l_linenumber, row_no AS _row_index FROM (SELECT l_orderkey, l_linenumber, file_row_number AS row_no FROM (SELECT *, row_number() OVER () - 1 AS file_row_number FROM lineitem)) WHERE row_no BETWEEN 1000 AND 1999")
 def parquet_range(spark, sf_dir):
     """Rows [1000, 2000) of a file."""
@@ -114,44 +50,7 @@ def parquet_leaves(spark, sf_dir):
     return spark.createDataFrame(parquet.leaves(table(spark, sf_dir, "events").schema), "name string, type string")
 
 
-@query("SELECT n_nationkey AS rowid, n_nationkey::BIGINT AS key, n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_regionkey / 2.0 END AS half FROM nation")
-def sqlite_scan(spark, sf_dir):
-    """A table of a database, its nulls kept."""
-    db = sqlite3.connect(":memory:")
-    db.execute("CREATE TABLE t (key INTEGER PRIMARY KEY, name TEXT, half REAL)")
-    db.executemany("INSERT INTO t VALUES (?, ?, ?)", [(k, n, None if k % 5 == 0 else r / 2) for k, n, r in _nation(spark, sf_dir)])
-    db.commit()
-    rows = files.parsed(contents(spark, [("a.db3", bytes(db.serialize()))]), "content", lambda d: containers._cells(d, None), "`table` string, rowid long, cells array<struct<column:string,value:string,storage:string>>")
-    cell = lambda i, kind: F.get("cells", F.lit(i))["value"].cast(kind)
-    return rows.select(F.col("rowid").cast("int").alias("rowid"), cell(0, "long").alias("key"), cell(1, "string").alias("name"), cell(2, "double").alias("half"))
-
-
-@query("SELECT n_nationkey::BIGINT AS no, n_nationkey || '.' || lpad((n_nationkey * 7)::VARCHAR, 6, '0') AS timestamp, 'DNS' AS protocol, '10.0.0.' || n_nationkey || ':' || (5000 + n_nationkey) AS source, '8.8.8.8:53' AS destination, 'Query id=0x' || lpad(lower(to_hex(n_nationkey)), 4, '0') || ', rcode=NOERROR, questions=1, answers=0, ' || replace(lower(n_name), ' ', '-') || ' A' AS info FROM (SELECT n_nationkey + 1 AS n_nationkey, n_name FROM nation)")
-def pcap_scan(spark, sf_dir):
-    """A capture of DNS questions."""
-    out = [struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
-    for k, name, _ in _nation(spark, sf_dir):
-        k, label = k + 1, name.lower().replace(" ", "-").encode()
-        asked = struct.pack(">6H", k, 0x0100, 1, 0, 0, 0) + bytes([len(label)]) + label + b"\0" + struct.pack(">2H", 1, 1)
-        udp = struct.pack(">4H", 5000 + k, 53, 8 + len(asked), 0) + asked
-        ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(udp), 0, 0, 64, 17, 0, bytes([10, 0, 0, k]), bytes([8, 8, 8, 8])) + udp
-        frame = bytes(12) + b"\x08\x00" + ip
-        out.append(struct.pack("<4I", k, k * 7, len(frame), len(frame)) + frame)
-    frames = files.parsed(contents(spark, [("a.pcap", b"".join(out))]), "content", packets._frames, packets._FRAME)
-    stamp = F.concat(F.col("ts_sec").cast("string"), F.lit("."), F.lpad(F.col("ts_frac").cast("string"), 6, "0"))
-    return packets._packets(frames, stamp).select("no", "timestamp", "protocol", "source", "destination", "info")
-
-
-@query("SELECT 256 + n_nationkey::BIGINT AS message_id, 'M' || n_nationkey AS name, 8 AS dlc, 'N' || n_regionkey AS transmitter, n_name AS comment, (n_regionkey + 1)::BIGINT AS n_signals FROM nation")
-def dbc_scan(spark, sf_dir):
-    """Messages with comments and signals."""
-    path = scratch(spark, "dbc")
-    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey")
-    signals = F.array_join(F.transform(F.sequence(F.lit(0), r), lambda i: F.concat(F.lit(" SG_ S"), i.cast("string"), F.lit(' : 0|8@1+ (1,0) [0|255] "" X'))), "\n")
-    text = F.concat(F.lit("BO_ "), (F.col("n_nationkey") + 256).cast("string"), F.lit(" M"), k, F.lit(": 8 N"), r.cast("string"), F.lit("\n"), signals, F.lit("\nCM_ BO_ "), (F.col("n_nationkey") + 256).cast("string"), F.lit(' "'), F.col("n_name"), F.lit('";'))
-    table(spark, sf_dir, "nation").select(text.alias("value")).coalesce(1).write.text(path)
-    m = catalogs.read_dbc(spark, path)["messages"]
-    return m.select("message_id", "name", "dlc", "transmitter", "comment", F.size("signals").cast("long").alias("n_signals"))
+
 
 
 @query("SELECT 'MEASUREMENT' AS type, count(*) AS count FROM nation UNION ALL SELECT 'CHARACTERISTIC', count(*) FROM region")
@@ -183,58 +82,9 @@ def step_types(spark, sf_dir):
     return catalogs.read_step(spark, path).tables["entities"].groupBy("type").agg(F.count("*").alias("count"))
 
 
-@query("SELECT 'nation.n' || n_nationkey || '.name' AS path, 'string' AS value_type, n_name AS value FROM nation UNION ALL SELECT 'nation.n' || n_nationkey || '.region', 'integer', n_regionkey::VARCHAR FROM nation")
-def toml_leaves(spark, sf_dir):
-    """S29, N01."""
-    text = "\n".join(f'[nation.n{k}]\nname = "{n}"\nregion = {r}' for k, n, r in _nation(spark, sf_dir))
-    docs = spark.createDataFrame([("a.toml", text)], "file string, text string")
-    rows = files.parsed(docs, "text", tomltext.rows, trees._TOML).filter("row = 'node' AND kind = 'value'")
-    return rows.select("path", "value_type", "value")
-
-
-@query("SELECT '$[' || n_nationkey || '].name' AS json_path, 'string' AS scalar_type, n_name AS value FROM nation UNION ALL SELECT '$[' || n_nationkey || '].region', 'number', n_regionkey::VARCHAR FROM nation")
-def yaml_nodes(spark, sf_dir):
-    """S30, N03, N04."""
-    text = "".join(f'- {{name: "{n}", region: {r}}}\n' for k, n, r in _nation(spark, sf_dir))
-    docs = spark.createDataFrame([("a.yaml", text)], "file string, text string")
-    rows = files.parsed(docs, "text", trees._yaml_rows, trees._YAML).filter("row = 'node' AND kind = 'scalar'")
-    return rows.select("json_path", "scalar_type", "value")
-
-
-@query("SELECT 'pkg.M' || n_regionkey AS message, 'f' || n_nationkey AS name, 'string' AS type, (n_nationkey + 1)::BIGINT AS number FROM nation")
-def proto_fields(spark, sf_dir):
-    """S28."""
-    by: dict[int, list] = {}
-    for k, _, r in _nation(spark, sf_dir):
-        by.setdefault(r, []).append(f"  string f{k} = {k + 1};")
-    text = 'syntax = "proto3";\npackage pkg;\n' + "\n".join(f"message M{r} {{\n" + "\n".join(fs) + "\n}" for r, fs in by.items())
-    docs = spark.createDataFrame([("a.proto", text)], "file string, text string")
-    rows = files.parsed(docs, "text", trees._proto_rows, trees._PROTO).filter("row = 'field'")
-    return rows.select(F.col("owner").alias("message"), "name", "type", "number")
-
-
-@query("SELECT replace(n_name, ' ', '_') || '.txt' AS path, 'file' AS kind, (length(n_name) * 10)::BIGINT AS size FROM nation")
-def archive_listing(spark, sf_dir):
-    """S31, A14."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for _, n, _ in _nation(spark, sf_dir):
-            z.writestr(n.replace(" ", "_") + ".txt", n * 10)
-    df = contents(spark, [("a.zip", out.getvalue())])
-    return files.parsed(df, "content", lambda d: containers.archive_entries(d, "a.zip"), "path string, kind string, compressed_size long, size long, modified_at timestamp").select("path", "kind", "size")
-
-
-@query("SELECT n_name AS name, [n_nationkey::BIGINT, 2]::VARCHAR AS shape, (n_nationkey * 8)::BIGINT AS n_bytes FROM nation")
-def tensor_catalog(spark, sf_dir):
-    """S26."""
-    at, head = 0, {}
-    for k, n, _ in _nation(spark, sf_dir):
-        head[n] = {"dtype": "F32", "shape": [k, 2], "data_offsets": [at, at + 8 * k]}
-        at += 8 * k
-    raw = json.dumps(head).encode()
-    df = contents(spark, [("a.safetensors", struct.pack("<Q", len(raw)) + raw + bytes(at))])
-    rows = files.parsed(df, "content", containers._safetensors, "name string, dtype string, shape array<long>, n_bytes long, offset long")
-    return rows.select("name", F.concat(F.lit("["), F.array_join("shape", ", "), F.lit("]")).alias("shape"), "n_bytes")
+
+
+
 
 
 @query("SELECT s_suppkey AS feature_id, 'Point' AS geom_type, (s_suppkey % 100)::DOUBLE AS min_x, (s_nationkey - 10)::DOUBLE AS min_y, s_name AS name FROM supplier")
@@ -245,11 +95,11 @@ def shapefile_scan(spark, sf_dir):
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("s_suppkey")
         stem = f"{path}/{rows['no'].iloc[0]}"
-        _put(f"{stem}.shp", struct.pack(">i", 9994) + bytes(24) + struct.pack("<2i", 1000, 1) + bytes(64) + b"".join(struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, k % 100, n - 10) for i, (k, n) in enumerate(zip(rows["s_suppkey"], rows["s_nationkey"]))))
+        put_file(f"{stem}.shp", struct.pack(">i", 9994) + bytes(24) + struct.pack("<2i", 1000, 1) + bytes(64) + b"".join(struct.pack(">2i", i + 1, 10) + struct.pack("<i2d", 1, k % 100, n - 10) for i, (k, n) in enumerate(zip(rows["s_suppkey"], rows["s_nationkey"]))))
         dbf = struct.pack("<BBBBIHH", 3, 0, 0, 0, len(rows), 97, 51) + bytes(20)
         for name, n in ((b"name", 30), (b"key", 20)):
             dbf += name.ljust(11, b"\0") + b"C" + bytes(4) + bytes([n]) + bytes(15)
-        _put(f"{stem}.dbf", dbf + b"\r" + b"".join(b" " + n.encode().ljust(30) + str(k).encode().ljust(20) for k, n in zip(rows["s_suppkey"], rows["s_name"])))
+        put_file(f"{stem}.dbf", dbf + b"\r" + b"".join(b" " + n.encode().ljust(30) + str(k).encode().ljust(20) for k, n in zip(rows["s_suppkey"], rows["s_name"])))
         return pd.DataFrame({"n": [len(rows)]})
 
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.expr(f"s_suppkey DIV {SHAPE_FEATURES}").alias("no"))
@@ -257,40 +107,7 @@ def shapefile_scan(spark, sf_dir):
     return geo.read_shapefile(spark, path).select(F.col("properties")["key"].cast("long").alias("feature_id"), "geom_type", "min_x", "min_y", F.col("properties")["name"].alias("name"))
 
 
-@query("SELECT n_nationkey::VARCHAR AS key, n_name AS name, CASE WHEN n_regionkey % 2 = 0 THEN (n_regionkey // 2)::VARCHAR ELSE (n_regionkey / 2.0)::VARCHAR END AS half FROM nation")
-def workbook_scan(spark, sf_dir):
-    """S09."""
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    rows = "".join(f'<row r="{i + 2}"><c r="A{i + 2}"><v>{k}</v></c><c r="B{i + 2}" t="inlineStr"><is><t>{n}</t></is></c><c r="C{i + 2}"><v>{r / 2}</v></c></row>' for i, (k, n, r) in enumerate(_nation(spark, sf_dir)))
-    head = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{n}</t></is></c>' for c, n in zip("ABC", ("key", "name", "half")))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1">{head}</row>{rows}</sheetData></worksheet>')
-    cells = files.parsed(contents(spark, [("a.xlsx", out.getvalue())]), "content", office.sheets, "sheet string, sheet_no int, row long, cells array<string>").filter("row > 0")
-    return cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(("key", "name", "half"))])
-
-
-@query("SELECT 'm' || n_nationkey AS name, 'double' AS class, '1 x ' || (n_regionkey + 1) AS size FROM nation")
-def mat_catalog(spark, sf_dir):
-    """S25."""
-    element = lambda kind, raw: struct.pack("<2I", kind, len(raw)) + raw + bytes(-len(raw) % 8)
-    out = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
-    for k, _, r in _nation(spark, sf_dir):
-        out += element(14, element(6, struct.pack("<2I", 6, 0)) + element(5, struct.pack("<2i", 1, r + 1)) + element(1, f"m{k}".encode()) + element(9, struct.pack(f"<{r + 1}d", *range(r + 1))))
-    return files.parsed(contents(spark, [("a.mat", out)]), "content", arrays._mat, arrays._MAT).select("name", "class", "size")
-
-
-@query("SELECT (i // 100)::BIGINT AS bucket, round(max(abs(v)), 4) AS peak FROM (SELECT event_id - (SELECT min(event_id) FROM events) AS i, least(1, greatest(-1, round((value % 2 - 1) * 32768) / 32768)) AS v FROM events) WHERE i < 1000 GROUP BY 1")
-def sound_peaks(spark, sf_dir):
-    """Samples through raw PCM and back to peaks."""
-    first = table(spark, sf_dir, "events").agg(F.min("event_id")).first()[0]
-    rows = table(spark, sf_dir, "events").filter(F.col("event_id") - first < 1000).orderBy("event_id").select("value").collect()
-    x = np.array([r[0] for r in rows])
-    pcm = np.clip(np.floor((np.fmod(x, 2) - 1) * 32768 + 0.5), -32768, 32767).astype("<i2").tobytes()
-    samples = files.parsed(contents(spark, [("a.pcm", pcm)]), "content", media._samples, "frame long, channel int, sample float")
-    return media.peaks(samples, 10).select("bucket", F.round("peak", 4).alias("peak"))
+
 
 
 @query(f"""WITH e AS (SELECT (event_id - (SELECT min(event_id) FROM events)) // {SOUND_FRAMES} AS file_no, event_id, greatest(-32768, least(32767, floor((value % 2 - 1) * 32768 + 0.5))) / 32768 AS v FROM events),
@@ -298,7 +115,7 @@ def sound_peaks(spark, sf_dir):
           p AS (SELECT file_no, CASE WHEN n < {SOUND_PEAKS} THEN (frame * {SOUND_PEAKS} + {SOUND_PEAKS - 1}) // n ELSE ((frame + 1) * {SOUND_PEAKS} - 1) // n END AS bucket, max(abs(v)) AS peak FROM f GROUP BY ALL),
           b AS (SELECT file_no, bucket FROM (SELECT DISTINCT file_no FROM f), range({SOUND_PEAKS}) r(bucket))
           SELECT file_no::BIGINT AS file_no, bucket::BIGINT AS bucket, round(coalesce(peak, 0), 4) AS peak FROM b LEFT JOIN p USING (file_no, bucket)""")
-def sound_peaks_all(spark, sf_dir):
+def sound_peaks(spark, sf_dir):
     """All events as raw PCM files, written in tasks and read by path."""
     path = scratch(spark, "sound")
     events = table(spark, sf_dir, "events").select("event_id", "value")
@@ -307,7 +124,7 @@ def sound_peaks_all(spark, sf_dir):
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("event_id")["value"].to_numpy()
         pcm = np.clip(np.floor((np.fmod(x, 2) - 1) * 32768 + 0.5), -32768, 32767).astype("<i2")
-        _put(f"{path}/{rows['no'].iloc[0]}.pcm", pcm.tobytes())
+        put_file(f"{path}/{rows['no'].iloc[0]}.pcm", pcm.tobytes())
         return pd.DataFrame({"n": [len(rows)]})
 
     numbered = events.crossJoin(F.broadcast(first)).select("event_id", "value", F.expr(f"(event_id - first) DIV {SOUND_FRAMES}").alias("no"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.jsnum import number_text
 from ..operators import edit, grid, lookup, packetfilter, setops, summarize
 from ..sinks import delimited as writer
+from ..sources.files import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +60,7 @@ _MIXED_SQL = """WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN ''
 
 def _positions(df: DataFrame, direction: str) -> DataFrame:
     keys = grid.sort_keys(F.col("v"), df.schema["v"].dataType, direction)
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*keys, F.col("p_partkey").asc())).cast("long"))
+    return grid.positions(df, [*keys, F.col("p_partkey").asc()], "pos", scratch(df.sparkSession, "positions"))
 
 
 @query(_MIXED_SQL.replace("{order}", "k, n, s, p_partkey"))
@@ -79,7 +80,16 @@ def typed_sort(spark, sf_dir):
     """A numeric column is ordered as such."""
     df = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     keys = grid.sort_keys(F.col("p_size"), df.schema["p_size"].dataType, "desc")
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(*keys, F.col("p_partkey").asc())).cast("long"))
+    return grid.positions(df, [*keys, F.col("p_partkey").asc()], "pos", scratch(spark, "positions"))
+
+
+@query("""SELECT event_id, row_number() OVER (ORDER BY CASE WHEN v IS NULL THEN 1 ELSE 0 END, v, event_id) AS pos FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events)""")
+def excel_sort(spark, sf_dir):
+    """A workbook's order, in which NaN is an empty cell."""
+    k = F.col("event_id")
+    df = table(spark, sf_dir, "events").select(k, F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None)).otherwise(F.col("value")).alias("v"))
+    keys = grid.sort_keys(F.col("v"), df.schema["v"].dataType, "asc", excel=True)
+    return grid.positions(df, [*keys, k.asc()], "pos", scratch(spark, "positions")).select("event_id", "pos")
 
 
 @query("""SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'er#000000001') OR contains(lower(c_mktsegment), 'er#000000001')""")
@@ -134,8 +144,10 @@ def line_log(spark, sf_dir):
 def delimiter_scores(spark, sf_dir):
     """The score of each candidate delimiter, counted inside each document's array."""
     docs = table(spark, sf_dir, "documents")
-    lines = F.split("text", "\n", -1)
+    lines = F.col("lines")
     score = lambda d: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x) - F.length(F.replace(x, F.lit(d), F.lit(""))) + F.when(F.contains(x, F.lit(d)), 100).otherwise(0))
+    # one split is shared by the four
+    docs = docs.select("doc_id", F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") > 0)
     return docs.select("doc_id", F.inline(F.array(*[F.struct(F.lit(d).alias("delimiter"), score(d).alias("score")) for d in (",", ";", "\t", "|")])))
 
 
@@ -210,7 +222,7 @@ def base64_round_trip(spark, sf_dir):
 @query("""SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS large, count(*) FILTER (value IS NULL) AS missing, coalesce(max(event_id), 0) AS last_id FROM events""")
 def conditional_counts(spark, sf_dir):
     """A02, A06, A08."""
-    return summarize.conditional_counts(table(spark, sf_dir, "events"), {"clicks": F.col("event_type") == "click", "large": F.col("value") > 50, "missing": F.col("value").isNull()}).crossJoin(table(spark, sf_dir, "events").agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("last_id")))
+    return summarize.conditional_counts(table(spark, sf_dir, "events"), {"clicks": F.col("event_type") == "click", "large": F.col("value") > 50, "missing": F.col("value").isNull()}, last_id=F.coalesce(F.max("event_id"), F.lit(0)))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 1100")
@@ -270,7 +282,7 @@ def _versions(part: DataFrame) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-@query("""WITH o AS (SELECT p_partkey AS number, 'f' || p_partkey AS name, p_brand AS kind FROM part WHERE p_partkey <= 500),
+@query("""WITH o AS (SELECT p_partkey AS number, 'f' || p_partkey AS name, p_brand AS kind FROM part),
           n AS (SELECT CASE WHEN number % 11 = 0 THEN number + 100000 ELSE number END AS number, CASE WHEN number % 7 = 0 THEN 'g' || number ELSE name END AS name, CASE WHEN number % 13 = 0 THEN 'other' ELSE kind END AS kind FROM o WHERE number % 10 <> 0)
           SELECT number, name, 'removed' AS change, 'breaking' AS severity, NULL::VARCHAR AS detail FROM o WHERE name NOT IN (SELECT name FROM n) AND number NOT IN (SELECT number FROM n)
           UNION ALL SELECT o.number, o.name, 'renumbered', 'breaking', n.number::VARCHAR FROM o JOIN n USING (name) WHERE n.number <> o.number
@@ -278,12 +290,6 @@ def _versions(part: DataFrame) -> tuple[DataFrame, DataFrame]:
           UNION ALL SELECT o.number, o.name, 'retyped', 'risk', n.kind FROM o JOIN n USING (number) WHERE n.name = o.name AND n.kind <> o.kind""")
 def schema_diff(spark, sf_dir):
     """Changes between two versions of a schema."""
-    return lookup.schema_diff(*_versions(table(spark, sf_dir, "part").filter("p_partkey <= 500")), "number", "name", "kind")
-
-
-@query(ORACLE_SQL["schema_diff"].replace(" WHERE p_partkey <= 500", ""))
-def schema_diff_all(spark, sf_dir):
-    """The same over all parts."""
     return lookup.schema_diff(*_versions(table(spark, sf_dir, "part")), "number", "name", "kind")
 
 
@@ -374,10 +380,11 @@ def later_occurrences(spark, sf_dir):
     return summarize.duplicates(table(spark, sf_dir, "events"), "user_id", "event_id").select("event_id", "event_type", "occurrence")
 
 
-@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS total, max(n) AS n FROM c GROUP BY user_id) SELECT user_id, n, total::BIGINT AS total FROM t WHERE n >= total * 0.25""")
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT user_id, sum(n) AS total, max(n) AS n FROM c GROUP BY user_id)
+          SELECT user_id, min(event_type) AS event_type, n, any_value(total)::BIGINT AS total FROM t JOIN c USING (user_id, n) WHERE n >= total * 0.25 GROUP BY user_id, n""")
 def dominant_type(spark, sf_dir):
     """A mode that reaches a share."""
-    return summarize.dominant(table(spark, sf_dir, "events"), ["user_id"], "event_type", 0.25).select("user_id", "n", "total")
+    return summarize.dominant(table(spark, sf_dir, "events"), ["user_id"], "event_type", 0.25).select("user_id", "event_type", "n", "total")
 
 
 def _packets(spark, sf_dir):
@@ -489,20 +496,13 @@ def pattern_counts(spark, sf_dir):
 def natural_sort(spark, sf_dir):
     """Names by the number in them."""
     named = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("section"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("n"))
-    return named.select("p_partkey", F.row_number().over(Window.orderBy(*grid.natural_key(F.col("n")), "p_partkey")).cast("long").alias("pos"))
-
-
-@query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || 'B' ELSE CASE WHEN k = floor(k) THEN k::BIGINT::VARCHAR ELSE k::VARCHAR END || 'KB' END AS label FROM (SELECT doc_id, strlen(text) AS b, round(strlen(text) / 1024.0, 1)::DOUBLE AS k FROM documents) WHERE b < 1000000""")
-def size_labels(spark, sf_dir):
-    """Sizes with one decimal at most."""
-    b = F.octet_length("text").cast("long")
-    return table(spark, sf_dir, "documents").filter(b < 1000000).select("doc_id", X.size_label(b).alias("label"))
+    return grid.positions(named, [*grid.natural_key(F.col("n")), F.col("p_partkey")], "pos", scratch(spark, "positions")).select("p_partkey", "pos")
 
 
 @query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || 'B' ELSE CASE WHEN k = floor(k) THEN k::BIGINT::VARCHAR ELSE k::VARCHAR END || unit END AS label FROM (SELECT doc_id, b, CASE e WHEN 1 THEN 'KB' WHEN 2 THEN 'MB' ELSE 'GB' END AS unit, round(b / pow(1024, e), 1) AS k
           FROM (SELECT doc_id, strlen(text) AS b, CASE WHEN strlen(text) < 1048576 THEN 1 WHEN strlen(text) < 1073741824 THEN 2 ELSE 3 END AS e FROM documents))""")
-def size_labels_all(spark, sf_dir):
-    """The same for texts of any size that a cell can hold."""
+def size_labels(spark, sf_dir):
+    """Sizes with one decimal at most, of texts of any size that a cell can hold."""
     return table(spark, sf_dir, "documents").select("doc_id", X.size_label(F.octet_length("text").cast("long")).alias("label"))
 
 
@@ -513,11 +513,11 @@ def mime_types(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.mime_type(F.concat(F.lit("f"), k.cast("string"), F.when(k % 3 == 0, ".PNG").when(k % 3 == 1, ".wav").otherwise(".zzz"))).alias("mime"))
 
 
-@query("""SELECT event_id, round(2595 * log10(1 + value / 700), 6) AS mel, round(event_id * 0.25 - 40, 6)::DOUBLE AS physical, value BETWEEN -180 AND 180 AND event_id BETWEEN -90 AND 90 AS plausible FROM events WHERE value >= 0""")
+@query("""SELECT event_id, round(2595 * log10(1 + value / 700), 6) AS mel, round(event_id * 0.25 - 40, 6)::DOUBLE AS physical, value BETWEEN -180 AND 180 AND event_id BETWEEN -90 AND 90 AS plausible FROM (SELECT event_id, abs(value) AS value FROM events)""")
 def signal_scalars(spark, sf_dir):
     """Physical values, coordinates, mel."""
-    e, v = F.col("event_id"), F.col("value")
-    return table(spark, sf_dir, "events").filter(v >= 0).select("event_id", F.round(X.hz_to_mel(v), 6).alias("mel"), F.round(X.can_physical(e, F.lit(0.25), F.lit(-40)), 6).cast("double").alias("physical"), X.looks_lon_lat(v, e, v, e).alias("plausible"))
+    e, v = F.col("event_id"), F.abs("value")
+    return table(spark, sf_dir, "events").select("event_id", F.round(X.hz_to_mel(v), 6).alias("mel"), F.round(X.can_physical(e, F.lit(0.25), F.lit(-40)), 6).cast("double").alias("physical"), X.looks_lon_lat(v, e, v, e).alias("plausible"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN ts ELSE NULL END AS t, CASE WHEN event_id % 3 = 0 THEN event_id END AS n FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)""")

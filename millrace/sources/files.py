@@ -2,14 +2,47 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the setting is absent on one machine (tests) a temporary folder is made.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import atexit
+        import shutil
+        import tempfile
+
+        own = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/formats/{name}-{uuid.uuid4().hex[:10]}"
+
+
+def put_file(path: str, content: bytes) -> None:
+    """Write one file of the shared folder from a task."""
+    where = urlparse(path)
+    fs, at = (pa_fs.LocalFileSystem(), where.path) if where.scheme in ("", "file") else pa_fs.FileSystem.from_uri(path)
+    fs.create_dir(os.path.dirname(at), recursive=True)
+    with fs.open_output_stream(at, compression=None) as out:
+        out.write(content)
+
+
 def texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, text): for documents that only make sense as a whole."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("text"))
