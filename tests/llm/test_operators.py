@@ -129,6 +129,66 @@ def test_simhash_links_of_near_prints(spark):
         assert [roots.get(p, p) for p in signed] == want
 
 
+def slow_sets(texts, words=5):
+    out = []
+    for text in texts:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        found = re.findall(r"[^\x20\x09-\x0D]+", low)
+        out.append(frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset())
+    return out
+
+
+def slow_similar(ids, texts, similarity=0.8):
+    """Smallest id by component of the links of Jaccard similarity."""
+    sets, own = slow_sets(texts), list(range(len(ids)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b) - 1e-9:
+                own[root(i)] = root(j)
+    least = {}
+    for i, k in enumerate(ids):
+        least[root(i)] = min(least.get(root(i), k), k)
+    return {least[root(i)] for i in range(len(ids))}
+
+
+def test_similar_sets_brute_force(spark):
+    """Chains of edits, copies of all sizes, one passage in all of a third of the texts."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(vocabulary, k=60)
+    texts = []
+    for i in range(60):
+        text = rng.choices(vocabulary, k=rng.choice([1, 3, 5, 6, 12, 40, 200, 600]))
+        if i % 3 == 0:
+            text = text[: len(text) // 2] + passage + text[len(text) // 2 :]
+        for _ in range(rng.randint(1, 8)):
+            texts.append(" ".join(text))
+            text = list(text)
+            for _ in range(rng.randint(0, max(1, len(text) // 60))):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+    texts += ["", None, "  ", " ".join(passage), " ".join(passage[1:])]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.keep_similar_representatives(docs).collect()}
+    assert got == slow_similar([k for k, _ in rows], [t for _, t in rows])
+
+
+def test_similar_sets_odd_rows(spark):
+    clash = frame(spark).withColumn("_gone_id", F.lit(1)).withColumn("_gone_mark", F.lit(2)).withColumn("node", F.lit("x")).withColumn("mark", F.lit("y"))
+    kept = simhash.keep_similar_representatives(clash)
+    assert kept.columns == clash.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:3]) for r in kept.collect()) == [("1", ""), ("4", "Abc"), ("7", "xxx"), ("8", "é\u0000ß")]
+    assert simhash.keep_similar_representatives(clash.limit(0)).count() == 0
+
+
 def test_pigeonring_never_misses():
     rng = random.Random(6)
     for _ in range(300):

@@ -3,8 +3,9 @@
 import re
 
 import corpus_pipeline
-from millrace.llm import queries, simhash
+from millrace.llm import queries
 from millrace.llm.quality import quality
+from test_operators import slow_similar
 
 
 def test_stages_and_rows(spark, sf):
@@ -19,16 +20,8 @@ def test_stages_and_rows(spark, sf):
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         last[r["text"].encode().lower()] = r
     rows = sorted(last.values(), key=lambda r: r["doc_id"])
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in rows}
-    group = {k: k for k in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 2 and group[b] > group[a]:
-                    group[b], changed = group[a], True
-    rows = [r for r in rows if group[r["doc_id"]] == r["doc_id"]]
+    kept = slow_similar([r["doc_id"] for r in rows], [r["text"] for r in rows])
+    rows = [r for r in rows if r["doc_id"] in kept]
     rows = [r for r in rows if not any(b in set_of(r["text"]) for b in bench)]
     got = {r["doc_id"] for r in queries.pipeline(spark, sf).collect()}
     assert got == {r["doc_id"] for r in rows}
