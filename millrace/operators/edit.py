@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
+from .grid import positions
+
 
 def _empty_row(df: DataFrame, index: str, at: int) -> DataFrame:
     return df.sparkSession.range(1).select(*[F.lit(at).cast(df.schema[index].dataType).alias(c) if c == index else (F.lit("") if df.schema[c].dataType.simpleString() == "string" else F.lit(None)).cast(df.schema[c].dataType).alias(c) for c in df.columns])
@@ -82,10 +85,8 @@ def move_line(df: DataFrame, number: str, at: int, to: int) -> DataFrame:
 def append_valid(lines: DataFrame, pasted: DataFrame, number: str, valid: str) -> DataFrame:
     """Valid pasted lines, in order, after the others."""
     last = lines.agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.orderBy(number))
-    return lines.unionByName(pasted.filter(F.col(valid)).withColumn(number, (rank + last).cast(lines.schema[number].dataType)), allowMissingColumns=True)
+    placed = positions(pasted.filter(F.col(valid)), [F.col(number).asc()], "_place", scratch(lines.sparkSession, "pasted"))
+    return lines.unionByName(placed.withColumn(number, (F.col("_place") + last).cast(lines.schema[number].dataType)).drop("_place"), allowMissingColumns=True)
 
 
 def _within(df: DataFrame, number: str, at: int) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sqltext
 from ..functions import text as X
 from ..functions.jsnum import number_text
 from ..operators import edit, grid, lookup, packetfilter, setops, summarize
@@ -526,3 +527,62 @@ def archive_fields(spark, sf_dir):
     e = F.col("event_id")
     raw = F.when(e % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise("yesterday")
     return table(spark, sf_dir, "events").select("event_id", X.archive_time(raw).cast("timestamp_ntz").alias("t"), X.number_or_null(F.when(e % 3 == 0, F.concat(F.lit(" "), e.cast("string"))).otherwise("x")).alias("n"))
+
+
+@query("""SELECT c_custkey, '10.0.' || (c_custkey // 256) % 256 || '.' || c_custkey % 256 AS v4, '0:0:0:0:0:0:0:' || lower(to_hex(c_custkey % 65536)) AS v6, '00:00:00:00:' || lpad(lower(to_hex(c_custkey // 256 % 256)), 2, '0') || ':' || lpad(lower(to_hex(c_custkey % 256)), 2, '0') AS mac FROM customer""")
+def address_texts(spark, sf_dir):
+    """Addresses from their bytes."""
+    two = F.substring(F.unhex(F.lpad(F.hex("c_custkey"), 8, "0")), 3, 2)
+    zero = lambda n: F.unhex(F.lit("00" * n))
+    return table(spark, sf_dir, "customer").select("c_custkey", X.ipv4(F.concat(F.unhex(F.lit("0A00")), two)).alias("v4"), X.ipv6(F.concat(zero(14), two)).alias("v6"), X.mac(F.concat(zero(4), two)).alias("mac"))
+
+
+@query(r"""SELECT page_id, replace(replace(replace(html, '&', '\u0026'), '<', '\u003c'), '>', '\u003e') AS safe FROM pages""")
+def script_safe(spark, sf_dir):
+    """JSON text that may stand in a script element."""
+    return table(spark, sf_dir, "pages").select("page_id", X.html_safe_json(F.col("html")).alias("safe"))
+
+
+@query("""SELECT p_partkey, ['a' || p_partkey, 'b c', 'd'] AS columns FROM part""".replace("AS columns", "::VARCHAR AS columns"))
+def statement_columns(spark, sf_dir):
+    """X11: column names of CREATE TABLE statements."""
+    sql = F.concat(F.lit("CREATE TABLE t (a"), F.col("p_partkey").cast("string"), F.lit(" DECIMAL(5, 2) DEFAULT 'x,y', \"b c\" TEXT, [d] INT, PRIMARY KEY (d))"))
+    found = sqltext.columns_of(sql)
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("columns"))
+
+
+@query("""SELECT 's' || s_suppkey || '.shp' AS shp, CASE WHEN s_suppkey % 2 = 0 THEN 's' || s_suppkey || '.dbf' END AS dbf FROM supplier""")
+def sidecar_files(spark, sf_dir):
+    """Files with those of the same stem."""
+    stem = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    both = table(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(stem, F.lit(".shp")), F.when(F.col("s_suppkey") % 2 == 0, F.concat(stem, F.lit(".dbf"))).otherwise(F.concat(stem, F.lit("x.prj"))))).alias("path"))
+    return lookup.sidecars(both, "path", "shp", ["dbf"]).select("shp", "dbf")
+
+
+@query("""SELECT event_id FROM events WHERE event_id >= 100 AND event_id < 300""")
+def sound_slice(spark, sf_dir):
+    """Frames between two times, given the wrong way round."""
+    events = table(spark, sf_dir, "events").select("event_id")
+    return grid.time_slice(events, "event_id", 3.0, 1.0, 100, 1_000_000)
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000""")
+def report_rows(spark, sf_dir):
+    """The rows that a report shows."""
+    return grid.report_view(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+@query("""SELECT CASE WHEN name = 'C' THEN n ELSE n + (SELECT max(c_custkey) FROM customer) END AS number, name FROM (SELECT c_custkey AS n, 'C' AS name FROM customer UNION ALL SELECT row_number() OVER (ORDER BY s_suppkey), 'S' FROM supplier WHERE s_suppkey % 3 <> 0)""")
+def paste_lines(spark, sf_dir):
+    """Valid pasted lines after the others."""
+    lines = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number"), F.lit("C").alias("name"), F.lit(True).alias("valid"))
+    pasted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number"), F.lit("S").alias("name"), (F.col("s_suppkey") % 3 != 0).alias("valid"))
+    return edit.append_valid(lines, pasted, "number", "valid").select("number", "name")
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY lower(n), n, p_partkey) AS pos FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'A' WHEN 2 THEN 'b' ELSE 'B' END AS n FROM part)""".replace("lower(n), n,", "lower(n), n DESC,"))
+def collated_sort(spark, sf_dir):
+    """Dictionary order, a before A before b."""
+    named = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, "aAbB")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("n"))
+    return grid.positions(named, [grid.collated("n"), F.col("p_partkey")], "pos", scratch(spark, "positions")).select("p_partkey", "pos")
+

@@ -501,3 +501,100 @@ def sorted_keys(spark, sf_dir):
     """Keys sorted at all depths."""
     j = F.concat(F.lit('{"b": [{"y": 2, "x": 1}], "a": {"d": '), F.col("event_id").cast("string"), F.lit(', "c": 2}}'))
     return table(spark, sf_dir, "events").select("event_id", documents.key_sorted(j).alias("sorted"))
+
+
+# --- more readers
+
+
+def _slides(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    a = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    cell = lambda x: f"<a:tc><a:txBody><a:p><a:r><a:t>{x}</a:t></a:r></a:p></a:txBody></a:tc>"
+    body = "".join(f"<a:tr>{cell(k)}{cell(n)}</a:tr>" for k, n in zip(rows["c_custkey"], rows["c_name"]))
+    points = lambda values: "".join(f'<c:pt idx="{i}"><c:v>{v}</c:v></c:pt>' for i, v in enumerate(values))
+    chart = f'<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"><c:barChart><c:ser><c:tx><c:strCache><c:pt idx="0"><c:v>S{no}</c:v></c:pt></c:strCache></c:tx><c:cat><c:strCache>{points(rows["c_name"])}</c:strCache></c:cat><c:val><c:numCache>{points(rows["c_nationkey"])}</c:numCache></c:val></c:ser></c:barChart></c:chartSpace>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("ppt/slides/slide1.xml", f"<p:sld xmlns:p='p' {a}><a:tbl>{body}</a:tbl></p:sld>")
+        z.writestr("ppt/charts/chart1.xml", chart)
+    return {f"{no}.pptx": out.getvalue()}
+
+
+@query("SELECT 1 AS slide, row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) - 1 AS row, c_custkey::VARCHAR AS key, c_name AS name FROM customer")
+def slide_tables(spark, sf_dir):
+    """Tables of presentations."""
+    t = office.read_slide_tables(spark, written(_customer(spark, sf_dir), "c_custkey", _slides, "slides"))
+    return t.select("slide", "row", F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"))
+
+
+@query("SELECT 'S' || c_custkey // 500 AS name, c_name AS category, c_nationkey::DOUBLE AS value FROM customer")
+def chart_series(spark, sf_dir):
+    """Points of charts."""
+    return office.read_charts(spark, written(_customer(spark, sf_dir), "c_custkey", _slides, "charts")).select("name", "category", "value")
+
+
+def _listing(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    return {f"{no}.txt": "".join(f"Path = d/{k}.txt\nSize = {len(n)}\nPacked Size = {k % 9}\nModified = 2020-01-02 03:04:05\nFolder = {'+' if k % 4 == 0 else '-'}\n\n" for k, n in zip(rows["c_custkey"], rows["c_name"])).encode()}
+
+
+@query("SELECT 'd/' || c_custkey || '.txt' AS path, length(c_name)::BIGINT AS size, c_custkey % 9 AS compressed_size, c_custkey % 4 = 0 AS is_folder FROM customer")
+def listing_entries(spark, sf_dir):
+    """Entries of printed archive listings."""
+    return containers.read_listing(files.lines(spark, written(_customer(spark, sf_dir), "c_custkey", _listing, "listing"))).select("path", "size", "compressed_size", "is_folder")
+
+
+@query("SELECT c_custkey // 500 AS file_no, 'MODULE' AS type, 'M' || c_custkey // 500 AS name, 1::BIGINT AS line FROM customer GROUP BY ALL UNION ALL SELECT c_custkey // 500, 'MEASUREMENT', 'm' || c_custkey, 2 * row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) FROM customer")
+def a2l_important(spark, sf_dir):
+    """The blocks of interest of measurement descriptions."""
+    found = catalogs.read_a2l(spark, written(_customer(spark, sf_dir), "c_custkey", _a2l, "a2l")).tables["important"]
+    return found.select(F.regexp_extract("file", r"(\d+)\.a2l$", 1).cast("long").alias("file_no"), "type", "name", "line")
+
+
+def _a2l(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    return {f"{no}.a2l": (f"/begin MODULE M{no}\n" + "".join(f"  /begin MEASUREMENT m{k}\n  /begin OTHER x\n" for k in rows["c_custkey"])).encode()}
+
+
+def _dbc(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    body = "".join(f'BO_ {k + 1} M{k}: 8 N{k % 7}\n SG_ S : 0|8@1+ (1,0) [0|255] "" R{k % 5}\nCM_ SG_ {k + 1} S "of {k}";\n' for k in rows["p_partkey"])
+    return {f"{no}.dbc": f'BU_: N0 N1\n{body}CM_ BU_ N1 "node of {no}";\nCM_ "file {no}";\n'.encode()}
+
+
+@query("SELECT 'M' || p_partkey AS name FROM part WHERE p_partkey % 7 = 3 AND contains('of ' || p_partkey, '1')")
+def dbc_filtered(spark, sf_dir):
+    """Messages of a node, with a text in a signal's comment."""
+    messages = catalogs.read_dbc(spark, written(_part(spark, sf_dir), "p_partkey", _dbc, "dbcf"))["messages"]
+    return catalogs.dbc_filter(messages, "N3").filter(F.exists("signals", lambda s: F.contains(s["comment"], F.lit("1")))).select("name")
+
+
+@query("SELECT target, count(*) AS n FROM (SELECT 'signal' AS target FROM part UNION ALL SELECT unnest(['node', 'network']) FROM (SELECT DISTINCT p_partkey // 500 FROM part)) GROUP BY target")
+def dbc_comments(spark, sf_dir):
+    """Comments of signals, nodes and files."""
+    return catalogs.read_dbc(spark, written(_part(spark, sf_dir), "p_partkey", _dbc, "dbcc"))["comments"].groupBy("target").agg(F.count("*").alias("n"))
+
+
+def _anchors(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    return {f"{no}.yaml": "".join(f"b{k}: &a{k} {{x: {k}}}\nu{k}: {{<<: *a{k}, x: 2, y: *a{k}}}\n" for k in rows["c_custkey"]).encode()}
+
+
+@query("SELECT 'u' || c_custkey || '.y' AS path, 'b' || c_custkey AS alias_path FROM customer UNION ALL SELECT 'u' || c_custkey || '[\"<<\"]', 'b' || c_custkey FROM customer")
+def yaml_aliases(spark, sf_dir):
+    """Aliases with the path of their anchor."""
+    nodes = trees.read_yaml(spark, written(_customer(spark, sf_dir), "c_custkey", _anchors, "anchors"))["nodes"]
+    return nodes.filter("kind = 'alias'").select("path", "alias_path")
+
+
+@query("SELECT 'u' || c_custkey || '.x' AS path FROM customer")
+def yaml_overrides(spark, sf_dir):
+    """Keys that stand before what a merge brings in."""
+    nodes = trees.read_yaml(spark, written(_customer(spark, sf_dir), "c_custkey", _anchors, "overrides"))["nodes"]
+    return nodes.filter("overrides").select("path")
+
+
+def _step(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    body = "".join(f"#{k + 1} = PART('{n}',#1);\n" for k, n in zip(rows["p_partkey"], rows["p_brand"]))
+    return {f"{no}.stp": f"ISO-10303-21;\nHEADER;\nFILE_NAME('n{no}, a','2020-01-01',('me'),('org'),'pre','sys','ok');\nFILE_SCHEMA(('AP214'));\nENDSEC;\n{body}".encode()}
+
+
+@query("SELECT field, CASE field WHEN 'name' THEN 'n' || f || ', a' WHEN 'schema' THEN 'AP214' ELSE '2020-01-01' END AS value FROM (SELECT DISTINCT p_partkey // 500 AS f FROM part), (SELECT unnest(['name', 'schema', 'timestamp']) AS field)")
+def step_header(spark, sf_dir):
+    """Header fields of exchange files."""
+    return catalogs.read_step(spark, written(_part(spark, sf_dir), "p_partkey", _step, "step")).tables["header"].filter("field in ('name', 'schema', 'timestamp')").select("field", "value")

@@ -38,7 +38,9 @@ def write_delimited(df: DataFrame, path: str, order: str | None = None, delimite
 
 
 def to_delimited_text(df: DataFrame, order: str, delimiter: str = ",", rows: int = 100_000) -> str:
-    """A small grid as one text: for a page or an export, bounded by ``rows``."""
+    """A small grid as one text, for a page or an export; refused if it has more than ``rows``."""
     columns = [c for c in df.columns if c != order]
-    lines = [r[0] for r in df.orderBy(order).limit(rows).select(delimited_line(df, columns, delimiter)).collect()]
+    lines = [r[0] for r in df.orderBy(order).limit(rows + 1).select(delimited_line(df, columns, delimiter)).collect()]
+    if len(lines) > rows:
+        raise ValueError(f"more than {rows} rows; write them as files instead")
     return "\n".join([header_line(columns, delimiter), *lines])

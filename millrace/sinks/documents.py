@@ -150,7 +150,9 @@ minified = mapped(lambda x: json.dumps(json.loads(x), ensure_ascii=False, separa
 def export_json(df: DataFrame, order: str, total: int, rows: int = 100_000) -> str:
     """{headers, rows, metadata} of a grid; refused if it is larger than 1 MiB. ``df`` are the filtered rows."""
     columns = [c for c in df.columns if c != order]
-    cells = [list(r) for r in df.orderBy(order).select(*[cell_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]).limit(rows).collect()]
+    cells = [list(r) for r in df.orderBy(order).select(*[cell_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]).limit(rows + 1).collect()]
+    if len(cells) > rows:
+        raise ValueError(f"more than {rows} rows; write them as files instead")
     out = json.dumps({"headers": columns, "rows": cells, "metadata": {"totalRows": total, "filteredRows": len(cells), "columns": len(columns)}}, indent=2, ensure_ascii=False)
     if len(out.encode()) > EXPORT_BYTES:
         raise ValueError("the export would be larger than 1 MiB; write it as files instead")
@@ -158,8 +160,11 @@ def export_json(df: DataFrame, order: str, total: int, rows: int = 100_000) -> s
 
 
 def column_text(df: DataFrame, column: str, order: str, rows: int = 100_000) -> str:
-    """One column's cells, a line each."""
-    return "\n".join(r[0] for r in df.orderBy(order).limit(rows).select(cell_text(F.col(f"`{column}`"), df.schema[column].dataType)).collect())
+    """One column's cells, a line each; refused if there are more than ``rows``."""
+    cells = [r[0] for r in df.orderBy(order).limit(rows + 1).select(cell_text(F.col(f"`{column}`"), df.schema[column].dataType)).collect()]
+    if len(cells) > rows:
+        raise ValueError(f"more than {rows} rows; write them as files instead")
+    return "\n".join(cells)
 
 
 def csv_line(columns: list[Column]) -> Column:

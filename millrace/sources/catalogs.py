@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import decode_xml
 from ..model import Report, summary_of
@@ -16,7 +18,7 @@ STEP_HEADER = ("name", "timestamp", "author", "organization", "preprocessor", "o
 #: Line and tag patterns of the formats.
 DBC_MESSAGE = r"^BO_\s+(\d+)\s+([A-Za-z_][\w.]*)\s*:\s*(\d+)\s+(\S+)"
 DBC_SIGNAL = r'^SG_\s+([A-Za-z_][\w.]*)\s*(M|m\d+M?)?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*\(([^,]+),([^)]+)\)\s*\[([^|]*)\|([^\]]*)\]\s*"([^"]*)"\s*(.*)$'
-DBC_COMMENT = r'^CM_\s+(BO_|SG_)\s+(\d+)\s+(?:([A-Za-z_][\w.]*)\s+)?"(.*)"\s*;?$'
+DBC_COMMENT = r'^CM_\s+(?:(BO_|SG_)\s+(\d+)\s+(?:([A-Za-z_][\w.]*)\s+)?|(BU_)\s+(\S+)\s+)?"(.*)"\s*;?$'
 DBC_VALUES = r"^VAL_\s+(\d+)\s+([A-Za-z_][\w.]*)\s+(.*?);?$"
 A2L_BLOCK = r'^\s*/begin\s+([A-Za-z0-9_]+)(?:\s+("[^"]+"|\S+))?'
 ASC_EVENT = r"^\d+(?:\.\d+)?\s+"
@@ -46,7 +48,8 @@ def read_dbc(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """messages (with nested signals), signals, comments, values, nodes, stats and warnings of DBC files.
 
     A signal belongs to the last message line before it; comments and value tables
-    are joined by id and name, the last of several comments counts.
+    are joined by id and name, the last of several comments counts. Comments on
+    nodes and on the whole file are in ``comments`` only.
     """
     all_lines = text_lines(texts(spark, path)).withColumn("t", F.trim("text")).filter("t <> ''")
     message = DBC_MESSAGE
@@ -60,7 +63,8 @@ def read_dbc(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         F.trim(get(signal, 9)).try_cast("double").alias("minimum"), F.trim(get(signal, 10)).try_cast("double").alias("maximum"), get(signal, 11).alias("unit"), F.filter(F.split(F.trim(get(signal, 12)), r"[,\s]+"), lambda x: x != "").alias("receivers"),
     )
     comment = DBC_COMMENT
-    comments = all_lines.filter(F.col("t").rlike(comment)).select("file", "line", get(comment, 2).cast("long").alias("message_id"), F.when(get(comment, 1) == "SG_", get(comment, 3)).alias("signal"), get(comment, 4).alias("comment"))
+    target = F.when(get(comment, 1) == "BO_", "message").when(get(comment, 1) == "SG_", "signal").when(get(comment, 4) == "BU_", "node").otherwise("network")
+    comments = all_lines.filter(F.col("t").rlike(comment)).select("file", "line", target.alias("target"), get(comment, 2).try_cast("long").alias("message_id"), F.when(get(comment, 1) == "SG_", get(comment, 3)).alias("signal"), F.nullif(get(comment, 5), F.lit("")).alias("node"), get(comment, 6).alias("comment"))
     value = DBC_VALUES
     pairs = F.transform(_all(get(value, 3), r'(-?\d+)\s+"([^"]*)"', 1, 2), lambda x: F.struct(x["g0"].cast("long").alias("value"), x["g1"].alias("label")))
     values = all_lines.filter(F.col("t").rlike(value)).select("file", "line", get(value, 1).cast("long").alias("message_id"), get(value, 2).alias("signal"), pairs.alias("values"))
@@ -70,7 +74,7 @@ def read_dbc(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     full = signals.join(last_comment(comments.filter("signal IS NOT NULL"), ["message_id", "signal"]), ["file", "message_id", "signal"], "left")
     full = full.join(values.groupBy("file", "message_id", "signal").agg(F.max_by("values", "line").alias("values")), ["file", "message_id", "signal"], "left")
     nested = full.groupBy("file", "message_id").agg(F.array_sort(F.collect_list(F.struct("line", "signal", "multiplexer", "start", "length", "byte_order", "signed", "factor", "offset", "minimum", "maximum", "unit", "receivers", "values", "comment"))).alias("signals"))
-    noted = messages.join(last_comment(comments.filter("signal IS NULL"), ["message_id"]), ["file", "message_id"], "left").withColumn("comment", F.when(F.col("comment_line") > F.col("line"), F.col("comment"))).drop("comment_line")
+    noted = messages.join(last_comment(comments.filter("target = 'message'"), ["message_id"]), ["file", "message_id"], "left").withColumn("comment", F.when(F.col("comment_line") > F.col("line"), F.col("comment"))).drop("comment_line")
     complete = noted.join(nested, ["file", "message_id"], "left").select("file", "line", "message_id", F.concat(F.lit("0x"), F.hex("message_id")).alias("id_hex"), "name", "dlc", "transmitter", "comment", F.coalesce("signals", F.array().cast(nested.schema["signals"].dataType)).alias("signals"))
     size = F.size("signals")
     stats = complete.groupBy("file").agg(F.count("*").alias("messages"), F.sum(size).alias("signals"), F.sum(F.aggregate("signals", F.lit(0), lambda a, s: a + F.coalesce(F.when(s["values"].isNotNull(), F.size(s["values"])), F.lit(0)))).alias("values"), F.count_if(F.col("message_id") > 0x7FF).alias("extended"), F.coalesce(F.max("dlc"), F.lit(0)).alias("max_dlc"))
@@ -167,11 +171,15 @@ def split_step_arguments(value: str | None) -> list[str]:
     return out + [clean(now)] if now.strip() else out
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_arguments(values: pd.Series) -> pd.Series:
+    return values.map(split_step_arguments)
+
+
 def read_step(spark: SparkSession, path: str, preview: bool = False) -> Report:
     pattern = STEP_ENTITY
     entities = lines(spark, path).filter(F.col("text").rlike(pattern)).select("file", F.concat(F.lit("#"), F.regexp_extract("text", pattern, 1)).alias("id"), F.upper(F.regexp_extract("text", pattern, 2)).alias("type"), "line")
-    split = F.udf(split_step_arguments, "array<string>")  # of one header a file
-    section = lambda k: split(F.regexp_extract("text", rf"(?is){k}\s*\(([^;]*)\);", 1))
+    section = lambda k: _split_arguments(F.regexp_extract("text", rf"(?is){k}\s*\(([^;]*)\);", 1))
     heads = texts(spark, path).select("file", section("FILE_NAME").alias("names"), section("FILE_SCHEMA").alias("schemas"))
     fields = [F.struct(F.lit(k).alias("field"), F.nullif(F.get("names", F.lit(i)), F.lit("")).alias("value")) for i, k in enumerate(STEP_HEADER)]
     header = heads.select("file", F.inline(F.array(*fields, F.struct(F.lit("schema").alias("field"), F.nullif(F.array_join("schemas", ", "), F.lit("")).alias("value")))))

@@ -125,7 +125,7 @@ SAMPLE_PATTERNS = {
 }
 FIRST_LINES = {
     "plantuml": (r"^'.*$", r"(?i)^@start[a-z]+\b"),
-    "mermaid": (r"^%%.*$", r"^(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram(-v2)?|erDiagram|journey|gantt|pie|gitGraph|mindmap|timeline|quadrantChart|requirementDiagram)\b"),
+    "mermaid": (r"^%%.*$", r"^(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram(-v2)?|erDiagram|journey|gantt|pie|gitGraph|mindmap|timeline|quadrantChart|requirementDiagram|C4Context|C4Container|C4Component|C4Dynamic|C4Deployment|sankey-beta|xychart-beta|block-beta|packet-beta|architecture-beta|kanban|venn|radar-beta|treemap-beta)\b"),
 }
 #: The order of the text formats, and how many lines each looks at.
 TEXT_ORDER = ("markdown", "jsonl", "json", "yaml", "toml", "dbc", "arxml", "reqif", "a2l", "asc", "step", "plantuml", "proto", "mermaid", "csv")

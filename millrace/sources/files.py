@@ -53,6 +53,16 @@ def binaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", "content")
 
 
+#: Starts of splits (about 200 bytes each) that are broadcast; more are joined by key.
+BROADCAST_SPLITS = 200_000
+
+
+def _few(raw: DataFrame, starts: DataFrame) -> DataFrame:
+    """``starts`` to be broadcast if there can't be more splits than ``BROADCAST_SPLITS``."""
+    most = len(raw.inputFiles()) + raw.rdd.getNumPartitions()
+    return F.broadcast(starts) if most <= BROADCAST_SPLITS else starts
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, text): physical lines from 1, of files of any size.
 
@@ -63,7 +73,7 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     splits = raw.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = splits.select("file", "block", "first", before.alias("before"))
-    return raw.join(F.broadcast(starts), ["file", "block"]).select("file", (F.col("seq") - F.col("first") + F.col("before") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
+    return raw.join(_few(raw, starts), ["file", "block"]).select("file", (F.col("seq") - F.col("first") + F.col("before") + 1).alias("line"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 
 def nonblank_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -76,7 +86,7 @@ def nonblank_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = raw.groupBy("file", "block").agg(F.min("seq").alias("first"), F.count("*").alias("n")).select("file", "block", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
     own = kept.groupBy("file", "block").agg(F.min("own").alias("own_first"), F.count("*").alias("own_n")).select("file", "block", "own_first", F.coalesce(F.sum("own_n").over(order), F.lit(0)).alias("own_before"))
-    joined = kept.join(F.broadcast(starts.join(own, ["file", "block"])), ["file", "block"])
+    joined = kept.join(_few(raw, starts.join(own, ["file", "block"])), ["file", "block"])
     return joined.select("file", (F.col("seq") - F.col("first") + F.col("before") + 1).alias("line"), (F.col("own") - F.col("own_first") + F.col("own_before") + 1).alias("number"), F.regexp_replace("text", "\r$", "").alias("text"))
 
 

@@ -77,7 +77,7 @@ def peaks(samples: DataFrame, width: int = PEAKS) -> DataFrame:
     total = samples.groupBy("file").agg((F.max("frame") + 1).alias("n"))
     bucket = F.expr(f"(frame * {width} + {width - 1}) DIV n")  # the only bucket of a frame if there are fewer frames than buckets
     wide = F.when(F.col("n") < width, bucket).otherwise(F.expr(f"((frame + 1) * {width} - 1) DIV n"))
-    found = mono.join(F.broadcast(total), "file").withColumn("bucket", wide).groupBy("file", "bucket").agg(F.max(F.abs("x")).alias("peak"))
+    found = mono.join(total, "file").withColumn("bucket", wide).groupBy("file", "bucket").agg(F.max(F.abs("x")).alias("peak"))
     every = total.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("bucket"))
     return every.join(found, ["file", "bucket"], "left").select("file", "bucket", F.coalesce("peak", F.lit(0.0)).alias("peak"))
 
