@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, unused
 
 #: Positions that each mask keeps. With the three of them, two substitutions anywhere in
 #: 13 words leave a hit.
@@ -25,8 +25,10 @@ SHORT_MASKS = ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 2, 4), (0, 1, 3, 4))
 LEAST_WORDS = 5
 WINDOW = 13
 SIMILARITY = 0.8
-#: Seeds (about 40 bytes each) that are broadcast at once; a larger benchmark is searched in blocks.
+#: Seeds (about 40 bytes each) and bytes of items that are broadcast at once; a larger benchmark is
+#: searched in blocks, each of which reads the documents once more.
 BLOCK_SEEDS = 1_000_000
+BLOCK_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -96,10 +98,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = items.filter(F.size("item_words") >= (1 if short_items else LEAST_WORDS)).distinct()
     items = items.select(F.xxhash64("item_id", "item_words").alias("item_no"), "item_id", "item_words")
     n = F.size("item_words")
-    count, lengths = items.agg(F.sum(n), F.collect_set(F.when(n < window, n))).first()
+    count, size, lengths = items.agg(F.sum(n), F.sum(F.octet_length(F.array_join("item_words", " ")).cast("long")), F.collect_set(F.when(n < window, n))).first()
     sized = _sized(masks, short_masks, window, sorted(lengths))
     masks = tuple(m for m, _, _ in sized)
-    blocks = max(1, math.ceil((count or 0) * len(masks) / block_seeds))
+    blocks = max(1, math.ceil((count or 0) * len(masks) / block_seeds), math.ceil((size or 0) / BLOCK_BYTES))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), (mark if mark is not None else F.lit(0)).alias("mark"), words_of(F.col(f"`{text_col}`")).alias("words"))
     parts = []
     for block in range(blocks):
@@ -112,9 +114,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no benchmark item is found."""
+    """The rows of ``docs``, all columns, in whose text no benchmark item is found.
+
+    Null and empty texts stay, as do null ids without a hit; rows equal in id and
+    text stay or go together; texts of any length are searched whole; columns of
+    any name are kept; an empty benchmark takes nothing out, an empty table gives
+    no rows.
+    """
     work = Workspace(docs.sparkSession, "decontaminate")
     mark = F.xxhash64(F.col(f"`{text_col}`"))
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, mark=mark, **options)
-    found = work.put(found.select(F.col(id_col).alias("_hit_id"), F.col("mark").alias("_hit_mark")).distinct(), "hits")
-    return docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found["_hit_id"]) & (mark == found["_hit_mark"]), "left_anti")
+    hit_id, hit_mark = unused(docs.columns, "_hit_id", "_hit_mark")
+    found = work.put(found.select(F.col(f"`{id_col}`").alias(hit_id), F.col("mark").alias(hit_mark)).distinct(), "hits")
+    return docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found[hit_id]) & (mark == found[hit_mark]), "left_anti")

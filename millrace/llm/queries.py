@@ -33,48 +33,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for each document; ``und`` for null, empty and letterless texts; repeated rows are each answered."""
     return language_id(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; null, empty and wordless texts have fingerprint zero."""
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and decoded text; a null text is empty and has no ids."""
     out = bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path(), keep=[F.col("doc_id")], ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Documents with the benchmark items found in them, items of any length; a null text has none."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one of equal text that stays; null and empty texts are equal."""
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text with its values permuted, and their number; null stays null."""
     return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY).select("doc_id", "text", "n_values")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The capture of each page, read back from its archive; a null page is an empty payload."""
     index = archive(table(spark, sf_dir, "pages"), Workspace(spark, "archives").path("warc"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of each document; null texts are empty, and empty texts have a score."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without its repeated strings; a null text is empty."""
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page; empty for a null page and for one without main text."""
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that all stages of the pipeline keep."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -97,14 +108,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 #: What SQL can't express has none: 1 and 8 (trained models), 2 (XXH64), 3 (BPE),
-#: 6 (held against plain Python in the tests), 9 (suffix arrays),
+#: 6 (held against plain Python in the tests),
 #: 10 (a tree over parsed pages), pipeline (8, 2 and 3).
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op4_decontaminate": f"""
         WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-        iw AS (SELECT item_id, w, len(w) AS n, least(13, len(w)) AS span FROM (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 5),
+        iw AS (SELECT item_id, w, len(w) AS n, least(13, len(w)) AS span FROM (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 1),
         d AS (SELECT doc_id, len(w) AS nd, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM dw),
         i AS (SELECT item_id, n, span, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j FROM iw),
         c AS (SELECT doc_id, item_id, n, span, p - j AS shift, nd, list(j) AS js, count(*) AS equal_words
@@ -119,6 +130,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256({_LOWERED}) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY {_LOWERED})""",
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+        s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(greatest(0, n - 399))) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+        g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+              FROM (SELECT doc_id, i, (i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -401) + 400)::INT AS fresh FROM r)),
+        m AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY ALL),
+        k AS (SELECT m.doc_id, a, b, substr(x, 2 * before + 1, 2 * (a - before)) AS part, x
+              FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM m) m JOIN d USING (doc_id)),
+        c AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans,
+                     sha256(unhex(string_agg(part, '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1))) AS kept_sha256 FROM k GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256(unhex(x))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id)""",
     "op7_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
                           max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
