@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
 #: Rounds of two half rounds each.
 ROUNDS = 4
 #: Of tests and of the query; a real key is the caller's secret.
@@ -21,7 +23,7 @@ DEMO_KEY = "millrace demonstration key"
 #: being tried from each of its places.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 SECRET = r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{12,28}(?![0-9A-Za-z])"
+IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[0-9A-Z]{10,30}|(?: [0-9A-Z]{4}){2,7}(?: [0-9A-Z]{1,3})?)(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
@@ -125,12 +127,20 @@ def _ssn(m: Column, key: Column) -> Column:
 
 
 def _iban(m: Column, key: Column) -> Column:
-    """Accounts of digits only; the country stays, the check digits are made anew."""
-    country = F.concat((F.ascii(F.substring(m, 1, 1)) - 55).cast("string"), (F.ascii(F.substring(m, 2, 1)) - 55).cast("string"))
-    account = F.substring(m, F.lit(5), F.length(m) - 4)
-    rest = lambda digits, check: (F.concat(digits, country, check).cast("decimal(38,0)") % F.lit(97).cast("decimal(38,0)")).cast("int")
-    new = _let(_halves(account, key, "iban"), lambda x: F.concat(F.substring(m, 1, 2), F.lpad((98 - rest(x, F.lit("00"))).cast("string"), 2, "0"), x))
-    return F.when(rest(account, F.substring(m, 3, 2)) == 1, new).otherwise(m)
+    """The account's digits are permuted; country, letters and spaces stay, the check digits are made anew."""
+    def rest(account: Column, country: Column, check: Column) -> Column:
+        def add(total: Column, c: Column) -> Column:
+            return F.when(c.between("0", "9"), total * 10 + c.cast("int")).otherwise(total * 100 + F.ascii(c) - 55) % 97
+
+        return F.aggregate(F.split(F.concat(account, country, check), ""), F.lit(0), lambda total, c: F.when(c == "", total).otherwise(add(total, c)))
+
+    def permuted(whole: Column) -> Column:
+        country, check, account = F.substring(whole, 1, 2), F.substring(whole, 3, 2), F.substring(whole, F.lit(5), F.length(whole) - 4)
+        digits = F.regexp_replace(account, "[^0-9]", "")
+        fresh = _let(_halves(digits, key, "iban"), lambda x: F.concat(F.lpad((98 - rest(_refill(account, x), country, F.lit("00"))).cast("string"), 2, "0"), x))
+        return F.when((F.length(digits) > 1) & (rest(account, country, check) == 1), _refill(m, fresh)).otherwise(m)
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), permuted)
 
 
 def _ipv4(m: Column, key: Column) -> Column:
@@ -180,7 +190,7 @@ def pseudonym(m: Column, key: Column) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), _email(m, key))
         .when(whole("[0-9A-Fa-f]{32,64}"), _secret(m, key))
-        .when(whole("[A-Z]{2}[0-9]+"), _iban(m, key))
+        .when(whole("[A-Z]{2}[0-9]{2}[0-9A-Z ]+"), _iban(m, key))
         .when(whole(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), _date(m, key))
         .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn(m, key))
         .when(whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), _ipv4(m, key))
@@ -195,13 +205,16 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     A null text stays null with 0 values, other texts keep all else as it was;
     rows are independent of each other. Candidates that fail their check (a card
     number's check digit, a day the calendar lacks) stay as they are. A column
-    n_values of the input is replaced.
+    n_values of the input is replaced, others of any name are kept; texts of any
+    length are searched whole, repeated rows are each returned, and an empty table
+    gives no rows.
     """
     text, secret = F.col(f"`{text_col}`"), F.lit(key)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     # most texts have no candidate: the rest is worked out for the others only
-    marked = docs.withColumn("_mr_found", F.when(text.rlike("[0-9@]") & text.rlike(PATTERN), found))
-    marked = marked.withColumn("_mr_new", F.transform("_mr_found", lambda m: pseudonym(m, secret)))
-    pieces = F.transform(F.split(text, PATTERN, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("_mr_new"), i), F.lit(""))))
-    changed = F.aggregate(F.zip_with("_mr_found", "_mr_new", lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return marked.withColumn("n_values", F.coalesce(changed, F.lit(0).cast("long"))).withColumn(text_col, F.when(F.col("_mr_found").isNotNull(), F.array_join(pieces, "")).otherwise(text)).drop("_mr_found", "_mr_new")
+    old, new = unused(docs.columns, "_mr_found", "_mr_new")
+    marked = docs.withColumn(old, F.when(text.rlike("[0-9@]") & text.rlike(PATTERN), found))
+    marked = marked.withColumn(new, F.transform(old, lambda m: pseudonym(m, secret)))
+    pieces = F.transform(F.split(text, PATTERN, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col(new), i), F.lit(""))))
+    changed = F.aggregate(F.zip_with(old, new, lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return marked.withColumn("n_values", F.coalesce(changed, F.lit(0).cast("long"))).withColumn(text_col, F.when(F.col(old).isNotNull(), F.array_join(pieces, "")).otherwise(text)).drop(old, new)

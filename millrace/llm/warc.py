@@ -12,7 +12,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import unquote_plus, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,7 @@ FILE_BYTES = 32 << 20
 #: Index entries that one merging task holds, about.
 RANGE_ROWS = 200_000
 MIN_REVISIT_BYTES = 0
+NO_PAGE = "<urn:page>"
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _END = b"\r\n\r\n"
@@ -57,7 +58,8 @@ def archive_records(pages: DataFrame, work: Workspace, *, id_col: str = "page_id
     groups = work.put(groups.select("g", "g_n", "first"), "equal")
     joined = base.join(groups, (F.col("same") == F.col("g")) & (F.col("n") == F.col("g_n")), "left")
     revisit = F.col("g").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    # ids of any characters; a null one has a name that no id has
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit(NO_PAGE))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     head = F.concat(
@@ -121,8 +123,7 @@ _RUN_TYPES = [("run", pa.string()), ("offset", pa.int64()), ("url_key", pa.strin
 
 
 def _page_of(urn: str | None) -> str | None:
-    found = urn[len("<urn:page:") : -1] if urn else "none"
-    return None if found == "none" else found
+    return unquote_plus(urn[len("<urn:page:") : -1]) if urn and urn != NO_PAGE else None
 
 
 def _order(row: tuple) -> tuple:
@@ -230,7 +231,8 @@ def archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: st
     Columns: page_id (the id's type), url, url_key, capture_time, record_type,
     payload_digest, payload_bytes, refers_to, run, offset. A null html is an
     empty payload, a null url has an empty key, a null id is kept as null; an
-    empty table gives an empty index. Times are those of ``date_col`` or, without
+    empty table gives an empty index; pages of any length are one record each, and
+    repeated rows are captures of their own. Times are those of ``date_col`` or, without
     one, made from the id.
     """
     spark = pages.sparkSession

@@ -399,6 +399,37 @@ def test_pseudonyms_brute_force(spark):
     assert got[10].endswith("@example.org")
 
 
+def test_pseudonyms_of_ibans_with_letters_and_spaces(spark):
+    valid = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    texts = ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "MT84MALT011000012345MTLCAST001S", "GB82WEST12345698765433", "(GB82WEST12345698765432)."]
+    got = [r["text"] for r in pseudonyms.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "k").collect()]
+    plain = [x.replace(" ", "") for x in got]
+    assert all(valid(x) for x in plain[:4]) and all(a != b and len(a) == len(b) and re.sub(r"\d", "0", a) == re.sub(r"\d", "0", b) for a, b in zip(got[:4], texts))
+    assert plain[0] == plain[1] and got[4] == texts[4] and got[5] == f"({got[0]})."
+
+
+def test_pseudonyms_brute_force_over_whole_texts(spark):
+    """Candidates in long texts: what is found, kept and linked, against plain expressions and checks."""
+    rng = random.Random(13)
+    words = ["plain", "4111111111111111", "4111111111111112", "10.1.2.3", "300.1.2.3", "2020-02-29", "2021-02-29", "a.b@c.de", "no@", "123-45-6789", "000-45-6789"]
+    good = {"4111111111111111", "10.1.2.3", "2020-02-29", "a.b@c.de", "123-45-6789"}
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 5, 3000])))) for i in range(12)]
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    seen = {}
+    for i, text in rows:
+        before, after = text.split(), out[i]["text"].split()
+        assert len(before) == len(after) and out[i]["n_values"] == sum(w in good for w in before)
+        for a, b in zip(before, after):
+            assert (a != b) == (a in good) and seen.setdefault(a, b) == b
+
+
+def test_pseudonyms_empty_table_and_clashing_columns(spark):
+    odd = frame(spark).withColumn("_mr_found", F.lit("x")).withColumn("_mr_new", F.lit("y"))
+    got = pseudonyms.pseudonymise(odd, "k")
+    assert got.columns == [*odd.columns, "n_values"] and {(r["_mr_found"], r["_mr_new"]) for r in got.collect()} == {("x", "y")}
+    assert pseudonyms.pseudonymise(odd.limit(0), "k").count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     a, b = 7, 11
     df = spark.range(a * b).select(pseudonyms.feistel((F.col("id") / b).cast("int"), F.col("id") % b, F.lit(a), F.lit(b), F.lit("k"), F.lit("t")).alias("s")).distinct()
@@ -437,6 +468,8 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((page, len(payload), warc.base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if page == first else "revisit", None if page == first else first))
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == Counter(want)
     assert warc.archive(pages.limit(0), f"file://{tmp_path}/e").count() == 0
+    named = spark.createDataFrame([("none", "a"), ("a\nb: é>", "a"), (None, "a"), ("z z", "b")], "page_id string, html string").withColumn("url", F.lit("u")).withColumn("run", F.lit("clash"))
+    assert {(r["page_id"], r["refers_to"]) for r in warc.archive(named, f"file://{tmp_path}/n").collect()} == {("none", None), ("a\nb: é>", "none"), (None, "none"), ("z z", None)}
     small = warc.archive(pages, f"file://{tmp_path}/m", min_revisit_bytes=10).filter("payload_bytes < 10").collect()
     assert {r["record_type"] for r in small} == {"response"}
 
