@@ -30,13 +30,15 @@ MAX_BITS = 2
 #: Fingerprints of one key that are compared pair by pair; more go by ``_balls``.
 KEY_CAP = 1024
 
-#: Links by similarity: words of a shingle, the least Jaccard similarity, and the bits in
-#: which the SimHashes of two such sets may differ: at 0.8 they differ in 9.7 on average,
-#: with a deviation of 2.9. The bits of sets of few shingles say less and aren't asked.
+#: Links by similarity: words of a shingle, the least Jaccard similarity, and the bits of
+#: 128 in which the SimHashes of two such sets may differ: at 0.8 they differ in 19.4 on
+#: average, with a deviation of 4.1; those of unlike sets in 64, with one of 5.7. The bits
+#: of sets of few shingles say less and aren't asked.
 SET_WORDS = 5
 SIMILARITY = 0.8
-SET_BITS = 26
-SMALL_SET = 64
+SET_BITS = 40
+SET_SEGMENTS = 4
+SMALL_SET = 16
 #: Leaders of a group that one round didn't connect, in each further round; rounds without a link that end the search.
 LEADERS = 32
 QUIET_ROUNDS = 2
@@ -76,15 +78,15 @@ def _fingerprints(words: int):
     return run
 
 
-def segment_bounds(segments: int = SEGMENTS) -> list[tuple[int, int]]:
+def segment_bounds(segments: int = SEGMENTS, bits: int = 64) -> list[tuple[int, int]]:
     """(first bit, width) of each segment."""
-    edges = [64 * i // segments for i in range(segments + 1)]
+    edges = [bits * i // segments for i in range(segments + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def chain_masks(start: int, tau: int, segments: int = SEGMENTS) -> list[tuple[int, int]]:
+def chain_masks(start: int, tau: int, segments: int = SEGMENTS, bits: int = 64) -> list[tuple[int, int]]:
     """(mask, budget) of the chains from segment ``start``, those first whose budget changes."""
-    bounds, mask, out = segment_bounds(segments), 0, []
+    bounds, mask, out = segment_bounds(segments, bits), 0, []
     for length in range(1, segments + 1):
         first, width = bounds[(start + length - 1) % segments]
         mask |= ((1 << width) - 1) << first
@@ -228,9 +230,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(found[i : i + words]), 42) for i in range(n)), np.uint64, n)) if found else np.empty(0, np.uint64)
 
 
-def _set_print(hashes: np.ndarray) -> int:
-    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+def _set_print(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of 128 bits, as two longs: of the hashes, and of the hashes mixed once more."""
+    other = (hashes ^ hashes >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    other = (other ^ other >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    both = np.stack([hashes, other ^ other >> np.uint64(31)], axis=1)
+    votes = np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)
 
 
 def least_overlap(n: int, similarity: float) -> int:
@@ -238,7 +244,7 @@ def least_overlap(n: int, similarity: float) -> int:
 
 
 def _sketches(words: int, similarity: float):
-    """(id, mark, node, n, fp, prefix): a set's hash, size, SimHash and its least hashes.
+    """(id, mark, node, n, fp, fp2, prefix): a set's hash, size, SimHash and its least hashes.
 
     Two sets of Jaccard similarity s have a hash in common among the
     n - ceil(s n) + 1 least ones of each.
@@ -251,18 +257,23 @@ def _sketches(words: int, similarity: float):
             ends = np.r_[0, np.cumsum([len(x) for x in heads])].astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([_set_print(s) for s in sets], pa.int64()), prefix]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "node", "n", "fp", "prefix"])
+            prints = np.array([_set_print(s) for s in sets], np.int64).reshape(-1, 2)
+            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), prefix]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "node", "n", "fp", "fp2", "prefix"])
 
     return run
 
 
-def passes_chains(a: Column, b: Column, tau: int, segments: int = SEGMENTS) -> Column:
-    """Whether from some segment on all chains are within their budgets, and all bits within ``tau``."""
-    x = a.bitwiseXOR(b)
-    within = lambda mask, budget: F.bit_count(x.bitwiseAND(F.lit(_signed(mask)))) <= budget
-    starts = [reduce(lambda p, q: p & q, [within(m, k) for m, k in chain_masks(i, tau, segments)]) for i in range(segments)]
-    return reduce(lambda p, q: p | q, starts) & (F.bit_count(x) <= tau)
+def passes_chains(a: tuple[Column, Column], b: tuple[Column, Column], tau: int, segments: int = SET_SEGMENTS) -> Column:
+    """Whether, of 128 bits, from some segment on all chains are within their budgets, and all bits within ``tau``."""
+    low, high = a[0].bitwiseXOR(b[0]), a[1].bitwiseXOR(b[1])
+
+    def within(mask: int, budget: int) -> Column:
+        parts = [F.bit_count(x.bitwiseAND(F.lit(_signed(m)))) for x, m in ((low, mask & (1 << 64) - 1), (high, mask >> 64)) if m]
+        return reduce(lambda p, q: p + q, parts) <= budget
+
+    starts = [reduce(lambda p, q: p & q, [within(m, k) for m, k in chain_masks(i, tau, segments, 128)]) for i in range(segments)]
+    return reduce(lambda p, q: p | q, starts) & (F.bit_count(low) + F.bit_count(high) <= tau)
 
 
 def _jaccard(similarity: float):
@@ -301,15 +312,15 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     """
     mark = F.xxhash64(F.col(f"`{text_col}`"))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     rows = work.put(base.mapInArrow(_sketches(words, similarity), schema), "sketches")
-    keys = rows.select(F.explode("prefix").alias("key"), "node", "n", "fp")
+    keys = rows.select(F.explode("prefix").alias("key"), "node", "n", "fp", "fp2")
     shared = work.put(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key"), "shared")
     members = work.put(keys.join(shared, "key", "left_semi").distinct(), "members")
     nodes = work.put(members.select("node").distinct(), "nodes")
     # of a set's rows one stands for it; these are the texts that may have to be compared
     owners = work.put(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who")).select("node", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners")
-    links = roots = tested = None
+    links = roots = tested = sets = None
     quiet = 0
     for turn in range(MAX_ROUNDS):
         at = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -317,20 +328,22 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         mixed = at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
         at = work.put(at.join(mixed, "key", "left_semi"), f"mixed{turn}")
         # one leader suffices for most groups; those that stay mixed have many from then on
-        leader = at.groupBy("key", F.pmod(order, F.lit(LEADERS if turn else 1)).alias("part")).agg(F.min_by(F.struct("node", "n", "fp", "root"), F.struct(order, "node")).alias("lead")).select("key", "lead")
+        leader = at.groupBy("key", F.pmod(order, F.lit(LEADERS if turn else 1)).alias("part")).agg(F.min_by(F.struct("node", "n", "fp", "fp2", "root"), F.struct(order, "node")).alias("lead")).select("key", "lead")
         sizes = F.least("n", "lead.n") >= F.greatest("n", "lead.n") * similarity - 1e-9
-        near = (F.greatest("n", "lead.n") <= small) | passes_chains(F.col("fp"), F.col("lead.fp"), tau)
+        near = (F.greatest("n", "lead.n") <= small) | passes_chains((F.col("fp"), F.col("fp2")), (F.col("lead.fp"), F.col("lead.fp2")), tau)
         pairs = at.join(leader, "key").filter((F.col("root") != F.col("lead.root")) & sizes & near)
         pairs = pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = work.put(pairs, f"pairs{turn}")
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        if sets is not None:  # those of earlier rounds are kept
+            wanted = wanted.join(sets.select("node"), "node", "left_anti")
         texts = base.join(owners.join(wanted, "node", "left_semi"), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"])
-        sets = work.put(texts.select("node", "text").mapInArrow(_packed(words), "node long, content binary"), f"sets{turn}")
+        more = work.put(texts.select("node", "text").mapInArrow(_packed(words), "node long, content binary"), f"sets{turn}")
+        sets = more if sets is None else sets.unionByName(more)
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("content").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("content").alias("b")), "v")
         found = work.put(both.select("u", "v", "a", "b").mapInArrow(_jaccard(similarity), "u long, v long"), f"links{turn}")
-        work.drop(f"sets{turn}")
         work.drop(f"mixed{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         quiet = 0 if found.limit(1).count() else quiet + 1
@@ -342,6 +355,7 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         inner = Workspace(work.spark, "similar-components")
         roots = work.put(connected_components(links, inner), f"roots{turn}")
         inner.drop_all_but()
+    work.drop_all_but("sketches", *(name for name in work.names if name.startswith("roots")))
     if roots is None:
         roots = rows.sparkSession.createDataFrame([], "node long, root long")
     return rows.select("id", "mark", "node"), roots

@@ -181,6 +181,17 @@ def test_similar_sets_brute_force(spark):
     assert got == slow_similar([k for k, _ in rows], [t for _, t in rows])
 
 
+def test_set_prints_of_alike_sets_are_near():
+    """Over many pairs at the threshold none is beyond the bits allowed, and unlike sets are."""
+    rng = np.random.default_rng(14)
+    for n in (20, 40, 100, 500, 3000):
+        for _ in range(60):
+            common = rng.integers(0, 1 << 63, round(n * 8 / 9), dtype=np.uint64)
+            a, b = (np.unique(np.r_[common, rng.integers(0, 1 << 63, n - len(common), dtype=np.uint64)]) for _ in range(2))
+            near, far = ((simhash._set_print(a) ^ simhash._set_print(x)).view(np.uint64) for x in (b, rng.integers(0, 1 << 63, n, dtype=np.uint64)))
+            assert int(np.bitwise_count(near).sum()) <= simhash.SET_BITS < int(np.bitwise_count(far).sum())
+
+
 def test_similar_sets_odd_rows(spark):
     clash = frame(spark).withColumn("_gone_id", F.lit(1)).withColumn("_gone_mark", F.lit(2)).withColumn("node", F.lit("x")).withColumn("mark", F.lit("y"))
     kept = simhash.keep_similar_representatives(clash)
