@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sinks import delimited as writer
 from ..sinks import documents
-from ..sources import arrays, catalogs, containers, delimited, files, jsonlines, office, packets, trees
+from ..sources import arrays, catalogs, containers, delimited, files, jsonlines, media, office, packets, trees
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -598,3 +598,76 @@ def _step(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
 def step_header(spark, sf_dir):
     """Header fields of exchange files."""
     return catalogs.read_step(spark, written(_part(spark, sf_dir), "p_partkey", _step, "step")).tables["header"].filter("field in ('name', 'schema', 'timestamp')").select("field", "value")
+
+
+# --- exports and sounds
+
+
+def _one(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame([(text,)], "text string")
+
+
+@query("SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) AS text FROM region")
+def column_export(spark, sf_dir):
+    """One column's cells, a line each."""
+    return _one(spark, documents.column_text(table(spark, sf_dir, "region"), "r_name", "r_regionkey"))
+
+
+@query("""SELECT '{' || chr(10) || '  "headers": [' || chr(10) || '    "r_name"' || chr(10) || '  ],' || chr(10) || '  "rows": [' || chr(10) || string_agg('    [' || chr(10) || '      "' || r_name || '"' || chr(10) || '    ]', ',' || chr(10) ORDER BY r_regionkey) || chr(10) || '  ],' || chr(10)
+          || '  "metadata": {' || chr(10) || '    "totalRows": 7,' || chr(10) || '    "filteredRows": ' || count(*) || ',' || chr(10) || '    "columns": 1' || chr(10) || '  }' || chr(10) || '}' AS text FROM region""")
+def grid_export(spark, sf_dir):
+    """A grid with its headers and counts."""
+    return _one(spark, documents.export_json(table(spark, sf_dir, "region"), "r_regionkey", 7))
+
+
+@query("SELECT r_regionkey - 1 AS _row_index, r_regionkey::VARCHAR AS r_regionkey, r_name, '' AS \"empty\" FROM region WHERE r_regionkey > 0")
+def edited_text(spark, sf_dir):
+    """An edited raw text, its rows padded to the header's width."""
+    region = table(spark, sf_dir, "region").filter("r_regionkey > 0").orderBy("r_regionkey").select("r_regionkey", "r_name")
+    text = "r_regionkey,r_name,empty\n" + "\n".join(f"{k},{n}" for k, n in region.collect())
+    return delimited.read_fixed_width(spark, text, ",")
+
+
+@query("SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+def replaced_table(spark, sf_dir):
+    """A table saved over the path it was read from."""
+    path = files.scratch(spark, "replaced")
+    table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").write.parquet(path)
+    edited = spark.read.parquet(path).filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    documents.replace_table(edited, path)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT event_id // 10 AS \"column\", round(avg(event_id % 256))::INT AS low, round(avg(event_id * 7 % 256))::INT AS high FROM events GROUP BY 1")
+def band_means(spark, sf_dir):
+    """Blocks of a spectrogram's columns."""
+    k = F.col("event_id")
+    columns = table(spark, sf_dir, "events").select(F.lit("f").alias("file"), k.alias("column"), F.array((k % 256).cast("int"), (k * 7 % 256).cast("int")).alias("bands"))
+    return media.downsample_columns(columns, 10).select("column", F.col("bands")[0].alias("low"), F.col("bands")[1].alias("high"))
+
+
+@query("""SELECT user_id, min(event_id) AS start, count(*) AS frames FROM (SELECT user_id, event_id, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events WHERE abs(value) < 20) GROUP BY user_id, run""")
+def silent_runs(spark, sf_dir):
+    """Runs of frames under a level."""
+    samples = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("frame"), F.col("value").alias("sample"))
+    return media.silence_runs(samples, F.lit(20.0)).select(F.col("file").cast("long").alias("user_id"), "start", "frames")
+
+
+def _wave(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    return {f"{no}.wav": media.wav_bytes((rows["event_id"].to_numpy() % 100) / 100, 8000)}
+
+
+@query("SELECT event_id // 500 AS file_no, 'wav' AS format, 8000 AS rate, 1 AS channels, count(*) AS frames FROM events GROUP BY 1")
+def sound_info(spark, sf_dir):
+    """Rate, channels and length of sounds."""
+    got = media.read_audio_info(spark, written(table(spark, sf_dir, "events").select("event_id"), "event_id", _wave, "waves"))
+    names = got.columns
+    return got.select(_file_no("wav"), F.col(names[1]).alias("format"), F.col(names[2]).cast("int").alias("rate"), F.col(names[3]).cast("int").alias("channels"), F.col(names[5]).cast("long").alias("frames"))
+
+
+@query("SELECT event_id // 500 AS file_no, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS frame, trunc((event_id % 100) / 100.0 * 32767) / 32768 AS sample FROM events")
+def wave_samples(spark, sf_dir):
+    """Samples written as 16-bit sound and read back."""
+    got = media.read_audio(spark, written(table(spark, sf_dir, "events").select("event_id"), "event_id", _wave, "samples"))
+    return got.select(_file_no("wav"), "frame", F.col("sample").cast("double").alias("sample"))
