@@ -48,7 +48,11 @@ def written(df: DataFrame, key: str, make: Callable[[int, pd.DataFrame], dict[st
     """A new folder with the files that ``make`` gives for each ``FILE_KEYS`` keys; each is one task's work."""
     path = files.scratch(df.sparkSession, name)
     numbered = df.withColumn("no", F.expr(f"{key} DIV {FILE_KEYS}"))
-    numbered.groupBy("no").applyInPandas(partial(_write, key=key, path=path, make=make), "n long").agg(F.sum("n")).collect()
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        return _write(rows, key, path, make)
+
+    numbered.groupBy("no").applyInPandas(write, "n long").agg(F.sum("n")).collect()
     return path
 
 
