@@ -101,3 +101,25 @@ def test_create_table_columns():
 
     sql = '''CREATE TABLE "t" (id INTEGER PRIMARY KEY, "a ""b""" TEXT DEFAULT 'x,(y', [c d] REAL CHECK (1 IN (1, 2)), `e` BLOB, CONSTRAINT k UNIQUE (id, `e`), PRIMARY KEY (id))'''
     assert column_names(sql) == ["id", 'a "b"', "c d", "e"] and column_names(None) == []
+
+
+def test_positions_by_ranges(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id", "id * 7919 % 13 AS v").repartition(7)
+    got = grid.positions(df, [F.col("v").desc(), F.col("id").asc()], "pos", f"file://{tmp_path}/p")
+    want = sorted(((i * 7919 % 13, i) for i in range(5000)), key=lambda x: (-x[0], x[1]))
+    assert [(r["v"], r["id"]) for r in sorted(got.collect(), key=lambda r: r["pos"])] == want
+    assert {r["pos"] for r in got.collect()} == set(range(1, 5001)) and got.columns == ["id", "v", "pos"]
+    assert grid.positions(df.limit(0), [F.col("id").asc()], "pos", f"file://{tmp_path}/e").count() == 0
+
+
+def test_exports_are_whole_or_refused(spark):
+    df = spark.range(12).selectExpr("id AS i", "cast(id AS string) AS v")
+    assert documents.column_text(df, "v", "i", rows=12).count("\n") == 11
+    for export in (lambda: documents.column_text(df, "v", "i", rows=11), lambda: documents.export_json(df, "i", 12, rows=11), lambda: delimited.to_delimited_text(df, "i", rows=11)):
+        with pytest.raises(ValueError):
+            export()
+
+
+def test_mode_ties_go_to_the_least_value(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, "a"), (1, "c"), (2, "z")], "k int, v string")
+    assert {(r["k"], r["v"], r["n"], r["total"]) for r in summarize.dominant(df, ["k"], "v", 0.4).collect()} == {(1, "a", 2, 5), (2, "z", 1, 1)}

@@ -249,6 +249,19 @@ message N { string g = 1; }
     assert p["warnings"].count() == 0
 
 
+def test_dbc_comments_on_nodes_and_file(spark, tmp_path):
+    d = catalogs.read_dbc(spark, put(tmp_path, "c.dbc", 'BU_: A B\nBO_ 1 M: 8 A\n SG_ S : 0|8@1+ (1,0) [0|1] "" B\nCM_ BU_ A "a node";\nCM_ "the file";\nCM_ BO_ 1 "a message";\nCM_ SG_ 1 S "a signal";\n'))
+    assert {(r["target"], r["message_id"], r["signal"], r["node"], r["comment"]) for r in d["comments"].collect()} == {("node", None, None, "A", "a node"), ("network", None, None, None, "the file"), ("message", 1, None, None, "a message"), ("signal", 1, "S", None, "a signal")}
+    assert d["messages"].first()["comment"] == "a message"
+
+
+@pytest.mark.parametrize("word", ["C4Context", "sankey-beta", "kanban", "treemap-beta", "venn"])
+def test_newer_diagrams(word):
+    from millrace.sources.detect import sniff_text
+
+    assert sniff_text(f"%% note\n{word}\n  x\n", ".zzz") == "mermaid"
+
+
 def test_toml_rules(spark, tmp_path):
     text = """top = 'it''s' # c
 # about
