@@ -39,9 +39,10 @@ SIMILARITY = 0.8
 SET_BITS = 40
 SET_SEGMENTS = 4
 SMALL_SET = 16
-#: Leaders of a group that one round didn't connect, in each further round; rounds without a link that end the search.
+#: Leaders of a group that one round didn't connect, in each further round.
 LEADERS = 32
-QUIET_ROUNDS = 2
+#: Rows of a few numbers each (tens of bytes) that are broadcast; more are joined by key.
+BROADCAST_ROWS = 500_000
 MAX_ROUNDS = 1000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -299,6 +300,11 @@ def _packed(words: int):
     return run
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of numbers, to be broadcast if its rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Workspace, *, words: int, similarity: float, tau: int, small: int) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows (id, mark, node), and (node, root) of the sets that links connect.
 
@@ -306,8 +312,8 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     leader that each hash has in a round: no pairs within a group are made. Before
     sets are compared, a pair has to pass the sizes, the SimHash's chains and the
     Hamming distance (sets of up to ``small`` shingles: the sizes only). Groups that
-    are connected drop out; rounds with new leaders go on until ``QUIET_ROUNDS`` of
-    them find no link. In a group of up to ``LEADERS`` sets nearly all pairs have
+    are connected drop out; rounds with new leaders go on until one with many of them
+    finds no link. In a group of up to ``LEADERS`` sets nearly all pairs have
     met by then, in a larger one each pair that shares further hashes.
     """
     mark = F.xxhash64(F.col(f"`{text_col}`"))
@@ -316,17 +322,18 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     rows = work.put(base.mapInArrow(_sketches(words, similarity), schema), "sketches")
     keys = rows.select(F.explode("prefix").alias("key"), "node", "n", "fp", "fp2")
     shared = work.put(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key"), "shared")
-    members = work.put(keys.join(shared, "key", "left_semi").distinct(), "members")
+    members = work.put(keys.join(_few(shared), "key", "left_semi").distinct(), "members")
+    work.drop("shared")
     nodes = work.put(members.select("node").distinct(), "nodes")
     # of a set's rows one stands for it; these are the texts that may have to be compared
-    owners = work.put(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who")).select("node", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners")
+    owners = work.put(rows.join(_few(nodes), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who")).select("node", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners")
     links = roots = tested = sets = None
-    quiet = 0
     for turn in range(MAX_ROUNDS):
-        at = members.withColumn("root", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        at = members.withColumn("root", F.col("node")) if roots is None else members.join(_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         order = F.xxhash64("key", "node", F.lit(turn))
-        mixed = at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-        at = work.put(at.join(mixed, "key", "left_semi"), f"mixed{turn}")
+        if turn:
+            mixed = work.put(at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key"), f"keys{turn}")
+            at = work.put(at.join(_few(mixed), "key", "left_semi"), f"mixed{turn}")
         # one leader suffices for most groups; those that stay mixed have many from then on
         leader = at.groupBy("key", F.pmod(order, F.lit(LEADERS if turn else 1)).alias("part")).agg(F.min_by(F.struct("node", "n", "fp", "fp2", "root"), F.struct(order, "node")).alias("lead")).select("key", "lead")
         sizes = F.least("n", "lead.n") >= F.greatest("n", "lead.n") * similarity - 1e-9
@@ -339,17 +346,19 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         if sets is not None:  # those of earlier rounds are kept
             wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        texts = base.join(owners.join(wanted, "node", "left_semi"), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"])
+        wanted = work.put(owners.join(wanted, "node", "left_semi"), f"wanted{turn}")
+        texts = base.join(_few(wanted), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"])
         more = work.put(texts.select("node", "text").mapInArrow(_packed(words), "node long, content binary"), f"sets{turn}")
         sets = more if sets is None else sets.unionByName(more)
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("content").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("content").alias("b")), "v")
         found = work.put(both.select("u", "v", "a", "b").mapInArrow(_jaccard(similarity), "u long, v long"), f"links{turn}")
-        work.drop(f"mixed{turn}")
+        if turn:
+            work.drop(f"mixed{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        quiet = 0 if found.limit(1).count() else quiet + 1
-        if quiet == QUIET_ROUNDS:
-            break
-        if quiet:
+        # the first round, with one leader a group, doesn't end the search
+        if not found.limit(1).count():
+            if turn:
+                break
             continue
         links = found if links is None else links.unionByName(found)
         inner = Workspace(work.spark, "similar-components")
