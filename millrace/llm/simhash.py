@@ -330,7 +330,8 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     links = roots = tested = sets = None
     for turn in range(MAX_ROUNDS):
         at = members.withColumn("root", F.col("node")) if roots is None else members.join(_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = F.xxhash64("key", "node", F.lit(turn))
+        # the same leaders in all of a node's groups, so that pairs don't grow with the hashes shared
+        order = F.xxhash64("node", F.lit(turn))
         if turn:
             mixed = work.put(at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key"), f"keys{turn}")
             at = work.put(at.join(_few(mixed), "key", "left_semi"), f"mixed{turn}")
