@@ -16,6 +16,7 @@ from .pseudonyms import DEMO_KEY, pseudonymise
 from .quality import quality
 from .shared import Workspace
 from .simhash import simhash_dedup
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .warc import archive
 
@@ -84,6 +85,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least six letters and five occurrences, with the forms they are variants of; null texts have none."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of the documents that all stages of the pipeline keep."""
     import corpus_pipeline
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 
@@ -109,7 +116,7 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 #: What SQL can't express has none: 1 and 8 (trained models), 2 (XXH64), 3 (BPE),
 #: 6 (held against plain Python in the tests),
-#: 10 (a tree over parsed pages), pipeline (8, 2 and 3).
+#: 10 (a tree over parsed pages), 13 (CRC-32), pipeline (8, 2 and 3).
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
