@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .langid import language_id
+from .packing import pack
 from .pseudonyms import DEMO_KEY, pseudonymise
 from .quality import quality
 from .shared import Workspace
@@ -20,7 +21,7 @@ from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .warc import archive
 
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -85,6 +86,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 ids; a null text is the id 0 alone."""
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY), ids=False)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of at least six letters and five occurrences, with the forms they are variants of; null texts have none."""
     return spelling_variants(table(spark, sf_dir, "documents"))
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op12_packing": op12_packing,
     "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
@@ -116,7 +123,7 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 
 #: What SQL can't express has none: 1 and 8 (trained models), 2 (XXH64), 3 (BPE),
 #: 6 (held against plain Python in the tests),
-#: 10 (a tree over parsed pages), 13 (CRC-32), pipeline (8, 2 and 3).
+#: 10 (a tree over parsed pages), 12 (BPE), 13 (CRC-32), pipeline (8, 2 and 3).
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
