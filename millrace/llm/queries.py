@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .clustering import cluster_vectors
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
@@ -86,6 +87,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of each vector of 64 finite components after three rounds; others have no row."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 ids; a null text is the id 0 alone."""
     return pack(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY), ids=False)
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_text": op10_html_text,
+    "op11_clusters": op11_clusters,
     "op12_packing": op12_packing,
     "op13_spelling": op13_spelling,
     "pipeline": pipeline,
@@ -126,7 +133,29 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 #: 10 (a tree over parsed pages), 12 (BPE), 13 (CRC-32), pipeline (8, 2 and 3).
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    """Lloyd's rounds as common tables: assignment to the least (distance, number), then exact floors of means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        a{r} AS (SELECT r, vec_id, e, b.d, b.c FROM (SELECT r, vec_id, e, min(struct_pack(d := list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - o.ce[i]) * (v.e[i] - o.ce[i])))::BIGINT, c := o.c)) AS b
+                 FROM v CROSS JOIN (SELECT c, e AS ce FROM c{r}) o GROUP BY ALL))""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY ALL),
+        c{r + 1} AS (SELECT c, coalesce(m.e, old.e) AS e FROM c{r} old LEFT JOIN
+                     (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM s{r} GROUP BY c) m USING (c))""")
+    return f"""
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS (SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v ORDER BY h, e LIMIT 16)),{",".join(steps)}
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN (SELECT c, sha256(array_to_string(e, ',')) AS centroid_sha256 FROM c{rounds}) USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_clusters": _lloyd_sql(),
     "op4_decontaminate": f"""
         WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
         iw AS (SELECT item_id, w, len(w) AS n, least(13, len(w)) AS span FROM (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 1),
