@@ -10,7 +10,7 @@ Its rounded patterns are given to the rests by their rank within a length.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 import zlib
 from collections import Counter
@@ -23,33 +23,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import read_spec
+from .bpe import byte_symbols, read_spec
 from .shared import Workspace
 
 CAPACITY = 1024
-#: Code points after which a long text is cut for the encoder, and those of a batch of texts.
-TEXT_SPAN, BATCH_SPAN = 1 << 18, 1 << 20
+#: Code points after which a long text is cut for the encoder.
+TEXT_SPAN = 1 << 18
 #: The program stops within this share, or one sequence, of the fewest sequences that could do, or after so many columns.
 GAP, MAX_COLUMNS = 1e-4, 1500
 REFACTOR = 150
 #: A place where the vocabulary's pre-tokenizer always cuts: a space between letters or digits.
 _SAFE = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
-_LOADED: dict[str, object] = {}
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+_LOADED: dict[str, Encoder] = {}
 
-def _encoder(spec: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        made = Tokenizer.from_str(spec)
-        made.no_truncation()
-        made.no_padding()
-        _LOADED[key] = made
-    return _LOADED[key]
+class Encoder:
+    """Ids of a byte-level vocabulary, from a ``tokenizers`` JSON file's text.
+
+    Texts go through tiktoken, whose ranks are the file's ids if those follow its
+    merges; a text that its pattern matcher refuses (a million spaces in a row) goes
+    through the tokenizers library. The results are the same.
+    """
+
+    def __init__(self, spec: str):
+        import tiktoken
+
+        data = json.loads(spec)
+        model, before = data["model"], data["pre_tokenizer"] or {}
+        merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in merged]
+        if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or data.get("normalizer") or ids != sorted(set(ids)):
+            raise ValueError("expected byte-level BPE whose ids follow its merges")
+        byte = {c: bytes([i]) for i, c in enumerate(byte_symbols())}
+        ranks = {b"".join(byte[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte for c in token)}
+        special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks={k: i for k, i in ranks.items() if i not in special.values()}, special_tokens=special)
+        self.spec, self.library = spec, None
+
+    def _slow(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def ids(self, text: str) -> np.ndarray:
+        """Little-endian numbers of 32 bits."""
+        out = []
+        for part in spans(text):
+            try:
+                out.append(np.array(self.fast.encode(part, allowed_special="all"), "<u4"))
+            except ValueError:
+                out.append(np.array(self._slow(part), "<u4"))
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    @classmethod
+    def of(cls, spec: str) -> Encoder:
+        key = hashlib.sha256(spec.encode()).hexdigest()
+        if key not in _LOADED:
+            _LOADED.clear()
+            _LOADED[key] = cls(spec)
+        return _LOADED[key]
 
 
 def spans(text: str, size: int = TEXT_SPAN) -> list[str]:
@@ -61,28 +101,6 @@ def spans(text: str, size: int = TEXT_SPAN) -> list[str]:
     return [*out, text[at:]] if at else [text]
 
 
-def _encoded(encoder, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of each text."""
-    parts, owner = [], []
-    for i, text in enumerate(texts):
-        for part in spans(text or ""):
-            parts.append(part)
-            owner.append(i)
-    ids: list[list[np.ndarray]] = [[] for _ in texts]
-    at = 0
-    while at < len(parts):
-        end, size = at, 0
-        while end < len(parts) and (end == at or size + len(parts[end]) <= BATCH_SPAN):
-            size += len(parts[end])
-            end += 1
-        for i, made in zip(owner[at:end], encoder.encode_batch_fast(parts[at:end], add_special_tokens=False)):
-            ids[i].append(np.array(made.ids, np.uint32))
-        at = end
-    for i, own in enumerate(ids):
-        yield own[0] if len(own) == 1 else np.concatenate(own)
-        ids[i] = []
-
-
 # the linear program
 
 
@@ -295,15 +313,15 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     fields = [base.schema.fields[0], *[T.StructField(c, T.BinaryType() if c == "ids" else T.LongType()) for c in kinds]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = _encoder(spec.value), TaskContext.get().partitionId()
+        encoder, task = Encoder.of(spec.value), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 out: dict[str, list] = {c: [] for c in kinds}
                 owner = []
-                for i, own in enumerate(_encoded(encoder, batch.column(1).to_pylist())):
-                    own = np.append(own, np.uint32(0)).astype("<u4")
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    own = np.append(encoder.ids(text or ""), np.zeros(1, "<u4"))
                     for at in range(0, len(own), capacity):
                         n = min(capacity, len(own) - at)
                         part = own[at : at + n].tobytes()

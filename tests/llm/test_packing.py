@@ -66,6 +66,19 @@ def test_odd_texts_and_a_hot_length(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_ids_are_those_of_the_library():
+    """Each vocabulary entry, each block of code points, long runs."""
+    library = Tokenizer.from_file(PATH)
+    with open(PATH, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
+    texts = [library.decode([i], skip_special_tokens=False) for i in range(0, 50257, 3)]
+    texts += [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}.{chr(c)} " for c in [*range(0x3000), *range(0x3000, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts += [" " * 400_000 + "x", "a" * 100_000, "<|endoftext|>" * 3 + "<|endof", "it's 'S don't\r\n\n x"]
+    for i in range(0, len(texts), 5000):
+        for text, made in zip(texts[i : i + 5000], library.encode_batch(texts[i : i + 5000], add_special_tokens=False)):
+            assert encoder.ids(text).tolist() == made.ids, text[:50]
+
+
 def test_parts_of_a_text_have_the_ids_of_the_whole():
     rng, library = random.Random(2), Tokenizer.from_file(PATH)
     words = ["plain", "it's", " 's", "12", "x,", "...", "\n", "  ", " ", "日本", "<|endoftext|>", "A"]
