@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
 import json
-import lzma
-import os
 import sqlite3
 import struct
-import tarfile
-import zipfile
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import hex_rows
+from .archives import archive_counts, looks_binary, path_filter, read_archive, read_entry, read_entry_parts  # noqa: F401
 from .files import binaries, parsed
 
 #: Block markers of measurement files, and record kinds of robot logs.
 MDF_BLOCKS = ("##HD", "##DG", "##CG", "##CN", "##TX", "##MD", "##CC", "##SI", "##DT", "##DZ")
 BAG_RECORDS = (("Bag header", 3), ("Connection", 7), ("Chunk", 5), ("Index data", 4), ("Chunk info", 6), ("Message data", 2))
-ENTRY_BYTES, ENTRY_TEXT = 512 << 10, 64 << 10
-BINARY_SAMPLE = 8 << 10
 
 
 def little_endian(content: Column, offset: int, width: int) -> Column:
@@ -196,72 +187,7 @@ def schema_hints(content: Column) -> Column:
     return F.slice(F.filter(F.transform(found, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\x20-\x7E]+", " "), r"\s+", " "))), lambda x: x != ""), 1, 100)
 
 
-# --- archives
-
-
-def _stamp(parts) -> datetime | None:
-    try:
-        return datetime(*parts)
-    except ValueError:
-        return None
-
-
-def _entries(item: bytes) -> Iterator[tuple]:
-    name, _, data = item.partition(b"\0")
-    base = os.path.basename(name.decode("utf-8", "replace"))
-    yield from archive_entries(data, base)
-
-
-def archive_entries(data: bytes, name: str) -> Iterator[tuple]:
-    """(path, kind, compressed_size, size, modified_at) of a ZIP, TAR, GZIP, BZIP2 or XZ file."""
-    if data[:4] == b"PK\x03\x04":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for i in z.infolist():
-                yield i.filename, "directory" if i.is_dir() else "file", i.compress_size, i.file_size, _stamp(i.date_time)
-        return
-    try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
-            for m in t:
-                yield m.name, "directory" if m.isdir() else "file", None, m.size, datetime.fromtimestamp(m.mtime)
-            return
-    except tarfile.TarError:
-        pass
-    stem = name.rsplit(".", 1)[0]
-    if data[:2] == b"\x1f\x8b":
-        inner = stem
-        if data[3] & 8:
-            start = 10 + (2 + struct.unpack_from("<H", data, 10)[0] if data[3] & 4 else 0)
-            inner = data[start : data.index(b"\0", start)].decode("latin-1")
-        with gzip.open(io.BytesIO(data)) as g:
-            yield inner, "file", len(data), _size(g), None
-    elif data[:3] == b"BZh":
-        with bz2.open(io.BytesIO(data)) as g:
-            yield stem, "file", len(data), _size(g), None
-    elif data[:6] == b"\xfd7zXZ\0":
-        with lzma.open(io.BytesIO(data)) as g:
-            yield stem, "file", len(data), _size(g), None
-
-
-def _size(stream) -> int:
-    total = 0
-    while part := stream.read(1 << 20):
-        total += len(part)
-    return total
-
-
-def read_archive(spark: SparkSession, path: str, sort: bool = True) -> DataFrame:
-    """(file, path, kind, compressed_size, size, modified_at) of all entries, in dictionary order."""
-    with_name = binaries(spark, path).select("file", F.concat(F.encode("file", "utf-8"), F.unhex(F.lit("00")), "content").alias("content"))
-    out = parsed(with_name, "content", _entries, "path string, kind string, compressed_size long, size long, modified_at timestamp")
-    return out.orderBy("file", F.collate("path", "UNICODE"), "path") if sort else out
-
-
-def archive_counts(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("file").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "directory").alias("directories"))
-
-
-def path_filter(entries: DataFrame, term: str) -> DataFrame:
-    return entries.filter(F.contains(F.lower("path"), F.lit(term.strip().lower())))
+# --- archives: contents are in archives.py
 
 
 def read_listing(lines: DataFrame) -> DataFrame:
@@ -272,36 +198,3 @@ def read_listing(lines: DataFrame) -> DataFrame:
     numbered = pair.withColumn("block", F.sum((F.col("k") == "Path").cast("long")).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     value = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
     return numbered.groupBy("file", "block").agg(value("Path").alias("path"), value("Size").try_cast("long").alias("size"), value("Packed Size").try_cast("long").alias("compressed_size"), F.try_to_timestamp(value("Modified"), F.lit("yyyy-MM-dd HH:mm:ss")).alias("modified_at"), F.coalesce(value("Folder") == "+", F.lit(False)).alias("is_folder"))
-
-
-def looks_binary(data: bytes) -> bool:
-    """A zero byte, or over 2 in 100 control characters, in the first 8 KiB."""
-    sample = data[:BINARY_SAMPLE]
-    if not sample:
-        return False
-    control = sum(b < 7 or 13 < b < 32 for b in sample)
-    return 0 in sample or control / len(sample) > 0.02
-
-
-def entry_text(data: bytes, name: str, entry: str, preview: bool = False) -> str | None:
-    """An entry's text; Android's binary XML is decoded, other binary content has none."""
-    from .android import decode_binary_xml
-
-    if data[:4] == b"PK\x03\x04":
-        content = zipfile.ZipFile(io.BytesIO(data)).open(entry).read(ENTRY_BYTES + 1 if preview else -1)
-    else:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
-            content = t.extractfile(entry).read(ENTRY_BYTES + 1 if preview else -1)
-    if preview and len(content) > ENTRY_BYTES:
-        return None
-    if content[:4] == b"\x03\x00\x08\x00":
-        return decode_binary_xml(content)
-    return None if looks_binary(content) else content[: ENTRY_TEXT if preview else None].decode("utf-8", "replace")
-
-
-def read_entry(spark: SparkSession, path: str, entry: str, preview: bool = False) -> DataFrame:
-    @F.pandas_udf("string")
-    def text(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: entry_text(bytes(c), "", entry, preview))
-
-    return binaries(spark, path).select("file", F.lit(entry).alias("path"), text("content").alias("text"))
