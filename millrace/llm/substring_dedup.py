@@ -10,6 +10,10 @@ exactly which strings of ``window`` bytes occur again. A gram with more segments
 than a group may hold has them cut by the place that the gram has in a string:
 strings of one range of places share more bytes than the gram, and are grouped
 by those. The ranges are halved until every group is small.
+
+In a periodic stretch (one letter, a ruler, zeros in base64) each string occurs
+again a period further on, and its picks change with every period: such a stretch
+is marked at once, and only the strings of its first period become segments.
 """
 
 from __future__ import annotations
@@ -70,8 +74,35 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(ahead[: n - width + 1], behind[width - 1 : n])
 
 
+def _periodic(raw: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which segments to keep, and (first, last) start of periodic stretches whose strings all occur again.
+
+    Where equal grams are picked at equal distances the bytes repeat with that
+    period, if comparing them says so. A stretch has two periods of starts at least;
+    the strings of its first period stand for all of them.
+    """
+    step = np.diff(place)
+    same = np.flatnonzero((h[1:] == h[:-1]) & (step > 0))
+    keep, found = np.ones(len(h), bool), []
+    if not len(same):
+        return keep, found
+    fresh = np.r_[True, (np.diff(same) > 1) | (step[same][1:] != step[same][:-1])]
+    begins = np.flatnonzero(fresh)
+    for i, j in zip(begins, np.r_[begins[1:], len(same)] - 1):
+        p, x, y = int(step[same[i]]), int(same[i]), int(same[j]) + 1
+        a, b = int(first[x]), int(last[y])
+        if b - a + 1 < 3 * p or not np.array_equal(raw[a : b + window - p], raw[a + p : b + window]):
+            continue
+        found.append((a, b))
+        keep[x : y + 1] &= first[x : y + 1] < a + p
+    return keep, found
+
+
 def segments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram hash, first start, last start, place of the gram) of the runs of strings with the same pick."""
+    """(gram hash, first start, last start, place of the gram) of the runs of strings with the same pick.
+
+    A place of -1 says that all strings of the run are known to occur again.
+    """
     n = len(data)
     if n < window:
         return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
@@ -83,7 +114,11 @@ def segments(data: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
         cut = np.flatnonzero(np.diff(picked)) + 1
         first, last = np.r_[0, cut], np.r_[cut, len(picked)] - 1
         place = picked[first].astype(np.int64)
-        parts.append((h[place], first + start, last + start, place + start))
+        keep, known = _periodic(raw[start:], h[place], first, last, place, window)
+        parts.append((h[place[keep]], first[keep] + start, last[keep] + start, place[keep] + start))
+        if known:
+            a, b = np.array(known, np.int64).T
+            parts.append((np.zeros(len(a), np.uint64), a + start, b + start, np.full(len(a), -1, np.int64)))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -290,6 +325,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     rows = work.put(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{id_col}`").alias("id"), content.alias("content")).select("*", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha")), "rows")
     long = rows.filter(F.col("n_bytes") >= window)
     anchors = work.put(long.select("uid", "content").mapInArrow(_anchors(window, gram), "uid long, h long, lo int, hi int, at int"), "anchors")
+    known = work.put(anchors.filter("at < 0").select("uid", "lo", "hi"), "known")
+    anchors = anchors.filter("at >= 0")
     # written, so that the join has two plain sides and a hot gram's rows can be split
     again = work.put(anchors.groupBy("h").count().filter(F.col("count") > 1).select("h"), "again")
     candidates = anchors.join(again, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "lo", "hi", "at")).alias("found"))
@@ -302,6 +339,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     sizes = cut.select(F.col("a").alias("h"), "key", "bytes").distinct()
     marks = _marks(distinct.join(counts, "key"), sizes, work, window, gram, shard_bytes, group_bytes, -(-(window - gram + 1) // 2))
     placed = refs.join(marks, "key").select("uid", _shifted("marks", "lo"))
+    placed = placed.unionByName(known.select("uid", F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))).alias("marks")))
     spans = work.put(placed.groupBy("uid").agg(F.flatten(F.collect_list("marks")).alias("marks")), "spans")
     work.drop_all_but("rows", "spans")
     return rows, spans
@@ -313,7 +351,8 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Removed is each byte covered by a string of ``window`` bytes that starts
     anywhere else too, in the same text or another, as the input has them;
     overlaps count. Null texts are empty; repeated rows are occurrences of their
-    own; null ids are returned as such; other columns are ignored.
+    own; null ids are returned as such; texts of any length are read whole, periodic
+    ones included; an empty table gives no rows; other columns are ignored.
     """
     rows, spans = repeated_spans(docs, text_col, id_col, window=window, gram=gram, shard_bytes=shard_bytes, group_bytes=group_bytes)
     work = Workspace(docs.sparkSession, "substrings-out")
