@@ -60,8 +60,8 @@ _MIXED_SQL = """WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN ''
 
 
 def _positions(df: DataFrame, direction: str) -> DataFrame:
-    keys = grid.sort_keys(F.col("v"), df.schema["v"].dataType, direction)
-    return grid.positions(df, [*keys, F.col("p_partkey").asc()], "pos", scratch(df.sparkSession, "positions"))
+    keys = grid.sort_parts(F.col("v"), df.schema["v"].dataType, direction)
+    return grid.positions(df, [*keys, grid.Key(F.col("p_partkey"))], "pos", scratch(df.sparkSession, "positions"))
 
 
 @query(_MIXED_SQL.replace("{order}", "k, n, s, p_partkey"))
@@ -76,6 +76,22 @@ def mixed_sort_desc(spark, sf_dir):
     return _positions(_mixed(spark, sf_dir), "desc")
 
 
+@query("""SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, pos FROM (SELECT *, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey DESC) AS pos, count(*) OVER () AS n FROM orders)
+          WHERE pos > (ceil(n * 0.7 / 100) - 1) * 100 AND pos <= ceil(n * 0.7 / 100) * 100""")
+def deep_page(spark, sf_dir):
+    """A page at seven tenths of the table, of which only the range around it is sorted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    order = [grid.Key(F.col("o_orderpriority"), True), grid.Key(F.col("o_totalprice")), grid.Key(F.col("o_orderkey"), True)]
+    return grid.deep_page(orders, -(-orders.count() * 7 // 1000), order, sorted_rows=1000)
+
+
+@query("""SELECT p_partkey, v, pos FROM (SELECT *, row_number() OVER (ORDER BY k, n, s, p_partkey) AS pos, count(*) OVER () AS total FROM ({inner})) WHERE pos > (ceil(total / 100) - 1) * 100""".replace("{inner}", _MIXED_SQL[: _MIXED_SQL.rindex("SELECT p_partkey, v, row_number()")] + "SELECT * FROM c"))
+def last_page(spark, sf_dir):
+    """A number after the last page is clamped to it, in the mixed order."""
+    mixed = _mixed(spark, sf_dir)
+    return grid.deep_page(mixed, 10**9, [*grid.sort_parts(F.col("v"), mixed.schema["v"].dataType, "asc"), grid.Key(F.col("p_partkey"))], sorted_rows=300)
+
+
 @query("""SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC NULLS FIRST, p_partkey) AS pos FROM part""")
 def typed_sort(spark, sf_dir):
     """A numeric column is ordered as such."""

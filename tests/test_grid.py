@@ -112,6 +112,31 @@ def test_positions_by_ranges(spark, tmp_path):
     assert grid.positions(df.limit(0), [F.col("id").asc()], "pos", f"file://{tmp_path}/e").count() == 0
 
 
+@pytest.mark.parametrize("directions", [(False, False), (True, True), (True, False)])
+def test_deep_pages(spark, directions):
+    """Every page of an order with nulls, ties and both directions; only a part of the rows is sorted."""
+    down, nulls_first = directions
+    rows = [(i, None if i % 11 == 0 else "abcdefg"[i * 7919 % 7] * (i % 3), None if i % 5 == 0 else i * 31 % 17 / 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, s string, x double").repartition(5)
+    order = [grid.Key(F.col("s"), down, nulls_first), grid.Key(F.col("x"), not down, nulls_first), grid.Key(F.col("id"), down)]
+    want = [r["id"] for r in df.orderBy(*[k.of(k.value) for k in order]).collect()]
+    for number in (-3, 1, 2, 9, 15, 29, 30, 31, 10**12):
+        got = grid.deep_page(df, number, order, sorted_rows=250).collect()
+        first = (min(max(number, 1), 30) - 1) * 100
+        assert [r["id"] for r in got] == want[first : first + 100] and [r["pos"] for r in got] == list(range(first + 1, first + 101)), number
+    assert grid.deep_page(df.limit(0), 5, order).count() == 0
+    assert [r["pos"] for r in grid.deep_page(df.filter("id < 130"), 2, order).collect()] == list(range(101, 131))
+    plan = grid.deep_page(df, 15, order, sorted_rows=250)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Filter" in plan
+
+
+def test_deep_page_sorts_a_bounded_part(spark):
+    """A first key with one value leads to cuts by the others."""
+    df = spark.range(40_000).selectExpr("id", "1 AS same", "id * 7919 % 40000 AS v")
+    page = grid.deep_page(df, 200, [grid.Key(F.col("same")), grid.Key(F.col("v")), grid.Key(F.col("id"))], sorted_rows=2500)
+    assert [r["v"] for r in page.collect()] == list(range(19_900, 20_000))
+
+
 def test_exports_are_whole_or_refused(spark):
     df = spark.range(12).selectExpr("id AS i", "cast(id AS string) AS v")
     assert documents.column_text(df, "v", "i", rows=12).count("\n") == 11
