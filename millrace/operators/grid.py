@@ -207,14 +207,20 @@ def report_view(df: DataFrame, order: list[Column], rows: int = VIEW_ROWS) -> Da
     return df.orderBy(*order).limit(rows)
 
 
-def time_slice(df: DataFrame, frame: str, start: float, end: float, rate: int, frames: int) -> DataFrame:
-    """Frames of [start, end) seconds: swapped if reversed, clamped, 0.1 s at least."""
+def slice_bounds(start: float, end: float, rate: int, frames: int) -> tuple[int, int]:
+    """Frames [a, b) of [start, end) seconds: swapped if reversed, clamped, 0.1 s at least."""
     length = frames / rate
     a, b = sorted((min(max(start, 0.0), length), min(max(end, 0.0), length)))
     if b - a < 0.1:
         b = min(length, a + 0.1)
         a = max(0.0, b - 0.1)
-    return df.filter((F.col(frame) >= int(a * rate)) & (F.col(frame) < int(b * rate)))
+    return int(a * rate), int(b * rate)
+
+
+def time_slice(df: DataFrame, frame: str, start: float, end: float, rate: int, frames: int) -> DataFrame:
+    """Frames of [start, end) seconds, as ``slice_bounds`` has them."""
+    low, high = slice_bounds(start, end, rate, frames)
+    return df.filter((F.col(frame) >= low) & (F.col(frame) < high))
 
 
 def collated(column: str, collation: str = "UNICODE") -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import struct
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import binaries
+from .shapes import ShapefileSource
 
 #: Geometry of the shape types (with and without z and measures).
 TYPES = {0: "Null", 1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
@@ -47,67 +45,31 @@ def _geometry(raw: bytes) -> tuple[str, object, list[tuple[float, float]]]:
     return "Null", None, []
 
 
-def shapes(data: bytes) -> Iterator[tuple]:
-    at, number = 100, 0
-    while at + 8 <= len(data):
-        n = struct.unpack_from(">i", data, at + 4)[0] * 2
-        if n < 4 or at + 8 + n > len(data):
-            return
-        kind, coordinates, points = _geometry(data[at + 8 : at + 8 + n])
-        xs, ys = [p[0] for p in points], [p[1] for p in points]
-        yield number, kind, json.dumps(coordinates), len(points), min(xs, default=None), min(ys, default=None), max(xs, default=None), max(ys, default=None)
-        at, number = at + 8 + n, number + 1
-
-
-def attributes(data: bytes, encoding: str = "utf-8") -> Iterator[dict[str, str]]:
-    """Rows of a dBASE table, texts trimmed; deleted rows keep their place."""
-    count, start, width = struct.unpack_from("<IHH", data, 4)
-    fields, at = [], 32
-    while data[at] != 0x0D:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), data[at + 16]))
-        at += 32
-    for i in range(count):
-        row, p = {}, start + i * width + 1
-        for name, n in fields:
-            row[name] = data[p : p + n].decode(encoding, "replace").strip("\0 ")
-            p += n
-        yield row
-
-
-def read_shapefile(spark: SparkSession, path: str, *, start: int = 0, limit: int | None = None, encoding: str | None = None) -> DataFrame:
+def read_shapefile(spark: SparkSession, path: str, *, start: int = 0, limit: int | None = None, encoding: str | None = None, box: tuple[float, float, float, float] | None = None, features: int | None = None) -> DataFrame:
     """(stem, feature_id, geom_type, coordinates, n_vertices, min_x.., properties) of .shp files.
 
-    ``path`` may name the folder or the .shp file; the .dbf and .cpg of the same stem are
-    found beside it. [start, start + limit) features of each file.
+    ``path`` may name the folder or the .shp file; .shx, .dbf, .cpg and .prj of the same
+    stem are found beside it. [start, start + limit) features of each file, those that
+    meet the box (min_x, min_y, max_x, max_y) if one is given. A file is read in ranges
+    of ``features``; its ranges, and filters on the result's columns, are as in ``shapes``.
     """
-    pattern = path if not path.lower().endswith(".shp") else path[:-4] + ".*"
-    files = binaries(spark, pattern).select(F.regexp_replace("file", r"\.[^./]+$", "").alias("stem"), F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).alias("ext"), "content")
-    part = lambda e: F.max(F.when(F.col("ext") == e, F.col("content")))
-    joined = files.filter(F.col("ext").isin("shp", "dbf", "cpg", "prj")).groupBy("stem").agg(part("shp").alias("shp"), part("dbf").alias("dbf"), part("cpg").alias("cpg"), part("prj").alias("prj")).filter("shp IS NOT NULL")
-    schema = "stem string, feature_id long, geom_type string, coordinates string, n_vertices int, min_x double, min_y double, max_x double, max_y double, properties map<string,string>, has_dbf boolean, has_prj boolean"
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            for stem, shp, dbf, cpg, prj in frame.itertuples(index=False):
-                name = encoding or (bytes(cpg).decode("ascii", "ignore").strip() if cpg is not None else "utf-8") or "utf-8"
-                try:
-                    "".encode(name)
-                except LookupError:
-                    name = "utf-8"
-                rows = iter(attributes(bytes(dbf), name)) if dbf is not None else None
-                out = []
-                for shape in shapes(bytes(shp)):
-                    row = next(rows, {}) if rows is not None else {}
-                    if shape[0] >= start and (limit is None or shape[0] < start + limit):
-                        out.append((stem, *shape, row, dbf is not None, prj is not None))
-                yield pd.DataFrame(out, columns=[f.name for f in T.fields])
-
-    from pyspark.sql.types import _parse_datatype_string
-
-    T = _parse_datatype_string(schema)
-    return joined.select("stem", "shp", "dbf", "cpg", "prj").mapInPandas(run, schema)
+    spark.dataSource.register(ShapefileSource)
+    # filters reach Python sources only with this setting
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"encoding": encoding, "features": features}
+    out = spark.read.format("shapefile").options(**{k: v for k, v in options.items() if v is not None}).load(path)
+    if start or limit is not None:
+        out = out.filter(F.col("feature_id") >= start)
+    if limit is not None:
+        out = out.filter(F.col("feature_id") < start + limit)
+    if box is not None:
+        out = out.filter((F.col("max_x") >= box[0]) & (F.col("max_y") >= box[1]) & (F.col("min_x") <= box[2]) & (F.col("min_y") <= box[3]))
+    return out
+
+
+def next_start(page: DataFrame) -> DataFrame:
+    """(stem, next_start) to continue each file's features after a page of them."""
+    return page.groupBy("stem").agg((F.max("feature_id") + 1).alias("next_start"))
 
 
 def summarize_features(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

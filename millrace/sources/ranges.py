@@ -45,9 +45,16 @@ class Bytes:
         self.length = self.handle.size()
         self.chunk, self.low, self.held, self.read = chunk, 0, b"", 0
 
+    @classmethod
+    def of(cls, content: bytes) -> Bytes:
+        """Of bytes in memory."""
+        out = cls.__new__(cls)
+        out.handle, out.length, out.chunk, out.low, out.held, out.read = None, len(content), CHUNK, 0, content, 0
+        return out
+
     def get(self, at: int, n: int) -> bytes:
         """Up to n bytes from an offset, fewer at the end of the file."""
-        if at < self.low or at + n > self.low + len(self.held):
+        if self.handle and (at < self.low or at + n > self.low + len(self.held)):
             self.handle.seek(min(at, self.length))
             self.low, self.held = at, self.handle.read(max(n, min(self.chunk, self.length - at)) if at < self.length else 0)
             self.read += len(self.held)
@@ -99,6 +106,20 @@ def mapped(df: DataFrame, rows_of: Callable[[dict], Iterator[tuple]], schema: st
     return df.mapInArrow(run, own)
 
 
+def batched(df: DataFrame, columns_of: Callable[[dict], Iterator[list]], schema: str) -> DataFrame:
+    """As ``mapped`` for columns: the function yields lists of arrays, a list for each column."""
+    own = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for given in batch.to_pylist():
+                for columns in columns_of(given):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, own)
+
+
 def heads(spark: SparkSession, path: str | list[str], n: int) -> DataFrame:
     """(file, length, content): the first bytes of each file."""
 
