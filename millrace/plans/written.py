@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sinks import delimited as writer
-from ..sinks import documents
+from ..sinks import documents, versions
 from ..sources import arrays, catalogs, containers, delimited, files, jsonlines, media, office, packets, trees
 from .tables import table
 
@@ -638,11 +638,55 @@ def replaced_table(spark, sf_dir):
     path = files.scratch(spark, "replaced")
     table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").write.parquet(path)
     edited = spark.read.parquet(path).filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    documents.replace_table(edited, path)
+    versions.replace_table(edited, path)
     spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
 
 
+@query("SELECT c_custkey, c_acctbal + 2 AS c_acctbal, 3 AS versions FROM customer WHERE c_custkey % 3 <> 0")
+def saved_versions(spark, sf_dir):
+    """A table saved twice over itself, by versions that appear whole."""
+    saved = versions.VersionedTable(spark, files.scratch(spark, "versions"))
+    saved.save(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"))
+    saved.save(saved.read().withColumn("c_acctbal", F.col("c_acctbal") + 2))
+    number = saved.save(saved.read().filter("c_custkey % 3 <> 0"))
+    return saved.read().withColumn("versions", F.lit(number))
+
+
+@query(_PACKET_SQL.replace("SELECT k || '.'", "SELECT row_number() OVER (PARTITION BY k // 500 ORDER BY k) AS no, k || '.'"))
+def pcap_ranges(spark, sf_dir):
+    """Captures in ranges of a few packets, numbered over the file."""
+    path = written(_customer(spark, sf_dir), "c_custkey", _captures, "ranges")
+    return packets.read_pcap(spark, f"{path}/*.pcap", range_bytes=8192).tables["packets"].select("no", "timestamp", "protocol", "source", "destination", "info")
+
+
+@query(_PACKET_SQL.replace("SELECT k || '.' || lpad(k::VARCHAR, 6, '0') AS timestamp", "SELECT row_number() OVER (PARTITION BY k // 500 ORDER BY k) AS no, k::VARCHAR AS timestamp"))
+def pcapng_ranges(spark, sf_dir):
+    """Blocks in ranges; interfaces of a section hold for later ranges."""
+    path = written(_customer(spark, sf_dir), "c_custkey", _captures, "blockranges")
+    return packets.read_pcapng(spark, f"{path}/*.pcapng", range_bytes=8192).tables["packets"].select("no", "timestamp", "protocol", "source", "destination", "info")
+
+
+@query("SELECT 'd/' || c_custkey || '.txt' AS path, repeat(c_name, 10) AS text FROM customer WHERE contains('d/' || c_custkey || '.txt', '7.t')")
+def archive_entries(spark, sf_dir):
+    """Contents of the entries with a term in their path, each read from its place."""
+    return containers.read_entry(spark, written(_customer(spark, sf_dir), "c_custkey", _archive, "entries"), term=" 7.T ").select("path", "text")
+
+
+@query("SELECT event_id // 500 AS file_no, min(frame) AS start, count(*) AS frames FROM (SELECT *, frame - row_number() OVER (PARTITION BY event_id // 500 ORDER BY frame) AS run FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS frame FROM events) WHERE event_id % 100 < 7) GROUP BY 1, run")
+def quiet_stretches(spark, sf_dir):
+    """Silence in files that are read in ranges, stitched over their ends."""
+    path = written(table(spark, sf_dir, "events").select("event_id"), "event_id", _wave, "quiet")
+    return media.read_silence(spark, path, 0.065, range_frames=101).select(_file_no("wav"), "start", "frames")
+
+
+@query("SELECT event_id // 500 AS file_no, ((frame + 1) * 10 - 1) // n AS bucket, max(x) AS peak FROM (SELECT event_id, trunc((event_id % 100) / 100.0 * 32767) / 32768 AS x, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) - 1 AS frame, count(*) OVER (PARTITION BY event_id // 500) AS n FROM events) GROUP BY 1, 2")
+def range_peaks(spark, sf_dir):
+    """Peaks of buckets that ranges share."""
+    path = written(table(spark, sf_dir, "events").select("event_id"), "event_id", _wave, "rangepeaks")
+    return media.read_peaks(spark, path, 10, range_frames=33).select(_file_no("wav"), "bucket", "peak")
+
+
 @query("SELECT event_id // 10 AS \"column\", round(avg(event_id % 256))::INT AS low, round(avg(event_id * 7 % 256))::INT AS high FROM events GROUP BY 1")
 def band_means(spark, sf_dir):
     """Blocks of a spectrogram's columns."""

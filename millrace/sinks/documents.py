@@ -169,14 +169,3 @@ def column_text(df: DataFrame, column: str, order: str, rows: int = 100_000) ->
 
 def csv_line(columns: list[Column]) -> Column:
     return F.concat_ws(",", *[quoted(c) for c in columns])
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Save over a path that the frame may read from: written beside it first, then swapped."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.mode("overwrite").parquet(path + ".new")
-    fs.delete(old, True)
-    fs.rename(new, old)
