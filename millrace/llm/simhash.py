@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,11 +39,12 @@ SIMILARITY = 0.8
 SET_BITS = 40
 SET_SEGMENTS = 4
 SMALL_SET = 16
-#: Leaders of a group that one round didn't connect, in each further round.
-LEADERS = 32
+#: Sets that share a hash from which on it goes behind all others; hashes of a set in one row batch.
+HOT_KEY, KEY_ROWS = 64, 1 << 16
+#: Sets of a block, of which a group's are compared two at a time; rows that are walked at once, and pairs held.
+BLOCK, GROUP_ROWS, PAIR_ROWS = 4096, 1 << 16, 1 << 20
 #: Rows of a few numbers each (tens of bytes) that are broadcast; more are joined by key.
 BROADCAST_ROWS = 500_000
-MAX_ROUNDS = 1000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -305,73 +306,205 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Workspace, *, words: int, similarity: float, tau: int, small: int) -> tuple[DataFrame, DataFrame]:
+def _all_hashes(words: int):
+    """(node, key) of all hashes of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = shingle_set(text.as_py(), words).view(np.int64)
+                for i in range(0, len(found), KEY_ROWS):
+                    part = found[i : i + KEY_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "key"])
+
+    return run
+
+
+def _owned_texts(base: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, text) of the rows that stand for their sets: ``owners`` has node, own_id, own_mark."""
+    return base.join(_few(owners), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"]).select("node", "text")
+
+
+def _members(rows: DataFrame, base: DataFrame, work: Workspace, words: int, similarity: float, hot_key: int) -> DataFrame:
+    """(key, node): the first hashes of each set that others have among theirs, those that many sets have put behind all others.
+
+    Any order of the hashes that all sets share will do: two similar sets have one
+    of their first n - ceil(s n) + 1 in common. By least hash alone a common passage
+    brings all texts that have it together. So hashes with over ``hot_key`` sets go
+    to the end of the order; a set that had some among its first ones gets others
+    in their place, from its text. Sets without any keep theirs.
+    """
+    keys = rows.select(F.explode("prefix").alias("key"), "node")
+    stats = keys.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
+    stats = work.put(stats.select("key", (F.col("sets") > hot_key).alias("hot")), "stats")
+    hot, wanted = work.put(stats.filter("hot").select("key"), "hot"), stats.filter("NOT hot").select("key")
+    if hot.isEmpty():
+        return work.put(keys.join(_few(wanted), "key", "left_semi").distinct(), "members")
+
+    def owners_of(hot: DataFrame, name: str) -> DataFrame:
+        """One row for each set with a hot hash among its first ones."""
+        met = work.put(keys.join(_few(hot), "key", "left_semi").select("node").distinct(), f"{name}-met")
+        owners = rows.join(_few(met), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), F.first("n").alias("n"))
+        return work.put(owners.select("node", "n", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), name)
+
+    def hashes(owners: DataFrame) -> DataFrame:
+        return _owned_texts(base, owners.drop("n")).mapInArrow(_all_hashes(words), "node long, key long")
+
+    # what stands in place of a hot hash may be as hot: the rest of a common passage. So all hashes of these sets are counted
+    more = hashes(owners_of(hot, "met")).groupBy("key").agg(F.count("*").alias("sets")).filter(F.col("sets") > hot_key).select("key")
+    hot = work.put(hot.unionByName(more).distinct(), "behind")
+    owners = owners_of(hot, "reordered")
+    met, every = owners.select("node"), hashes(owners)
+    marked = every.join(_few(hot.withColumn("behind", F.lit(1))), "key", "left")
+    # hashes are unsigned numbers in signed columns
+    order = Window.partitionBy("node").orderBy(F.coalesce("behind", F.lit(0)), F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
+    first = marked.withColumn("place", F.row_number().over(order)).join(_few(owners.select("node", "n")), "node")
+    first = work.put(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("key", "node"), "first")
+    wanted = work.put(wanted.join(_few(hot), "key", "left_anti").unionByName(first.select("key")).distinct(), "wanted")
+    others = keys.join(_few(met), "node", "left_anti").join(_few(wanted), "key", "left_semi")
+    out = work.put(others.distinct().unionByName(first), "members")
+    for name in work.names - {"sketches", "members"}:
+        work.drop(name)
+    return out
+
+
+def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
+    """Pairs (u, v) of sets with different roots in a group that may be similar by sizes and SimHashes.
+
+    Rows (key, i, j, block, node, n, fp, fp2, root) sorted by the first three, which
+    make a group of at most two blocks; of two blocks only pairs across them count.
+    ``best``: for any two roots only so many pairs, the nearest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def solve(c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            key, i, j, block, node, n, root = (c[:, k] for k in (0, 1, 2, 3, 4, 5, 8))
+            fp = c[:, 6:8].view(np.uint64)
+            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            group = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(c)]))
+            found: list[np.ndarray] = []
+
+            def taken() -> np.ndarray:
+                every = np.concatenate(found) if found else np.empty((0, 5), np.int64)
+                if best is None:
+                    return every
+                a, b = np.minimum(every[:, 3], every[:, 4]), np.maximum(every[:, 3], every[:, 4])
+                rank = np.lexsort((every[:, 2], b, a))
+                fresh = np.r_[True, (np.diff(a[rank]) != 0) | (np.diff(b[rank]) != 0)][: len(rank)]
+                first = np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0))
+                return every[rank[np.arange(len(rank)) - first < best]]
+
+            size = 0
+            for d in range(1, len(c)):
+                x = np.flatnonzero(group[d:] == group[:-d])
+                if not len(x):
+                    break
+                y = x + d
+                ok = (root[x] != root[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+                x, y = x[ok], y[ok]
+                far = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
+                ok = (far <= tau) | (np.maximum(n[x], n[y]) <= small)
+                if ok.any():
+                    x, y = x[ok], y[ok]
+                    found.append(np.column_stack([node[x], node[y], far[ok], root[x], root[y]]))
+                    size += len(x)
+                    if size > PAIR_ROWS:
+                        kept = taken()
+                        if best is None:
+                            yield emit(kept)
+                            found, size = [], 0
+                        else:
+                            found, size = [kept], 0
+            yield emit(taken())
+
+        def emit(pairs: np.ndarray) -> pa.RecordBatch:
+            u, v = np.minimum(pairs[:, 0], pairs[:, 1]), np.maximum(pairs[:, 0], pairs[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            held.append(np.column_stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns]))
+            if sum(map(len, held)) >= GROUP_ROWS:
+                c = np.concatenate(held)
+                last = int(np.flatnonzero((c[:, :3] != c[-1, :3]).any(axis=1))[-1]) + 1 if (c[:, :3] != c[-1, :3]).any() else 0
+                if last:
+                    yield from solve(c[:last])
+                held = [c[last:]]
+        c = np.concatenate(held) if held else np.empty((0, 9), np.int64)
+        if len(c):
+            yield from solve(c)
+
+    return run
+
+
+def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Workspace, *, words: int, similarity: float, tau: int, small: int, hot_key: int, block: int) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows (id, mark, node), and (node, root) of the sets that links connect.
 
-    Sets that share one of their least hashes are candidates, in stars around a
-    leader that each hash has in a round: no pairs within a group are made. Before
-    sets are compared, a pair has to pass the sizes, the SimHash's chains and the
-    Hamming distance (sets of up to ``small`` shingles: the sizes only). Groups that
-    are connected drop out; rounds with new leaders go on until one with many of them
-    finds no link. In a group of up to ``LEADERS`` sets nearly all pairs have
-    met by then, in a larger one each pair that shares further hashes.
+    Sets that share one of their first hashes are a group. First each set of a group
+    is compared with one leader, which connects most copies; then, in the groups
+    that are still of several roots, every pair of sets with different roots whose
+    sizes and SimHashes allow it: the nearest of any two roots first, all at last.
+    So no pair of different roots is left out but those whose SimHashes differ in
+    over ``tau`` of 128 bits (sets of up to ``small`` shingles are never judged by them).
+    Groups are walked in blocks of ``block`` sets, two at a time.
     """
     mark = F.xxhash64(F.col(f"`{text_col}`"))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     rows = work.put(base.mapInArrow(_sketches(words, similarity), schema), "sketches")
-    keys = rows.select(F.explode("prefix").alias("key"), "node", "n", "fp", "fp2")
-    shared = work.put(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("key"), "shared")
-    members = work.put(keys.join(_few(shared), "key", "left_semi").distinct(), "members")
-    work.drop("shared")
-    nodes = work.put(members.select("node").distinct(), "nodes")
+    members = _members(rows, base, work, words, similarity, hot_key)
+    nodes = members.select("node").distinct()
     # of a set's rows one stands for it; these are the texts that may have to be compared
-    owners = work.put(rows.join(_few(nodes), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who")).select("node", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners")
-    links = roots = tested = sets = None
-    for turn in range(MAX_ROUNDS):
-        at = members.withColumn("root", F.col("node")) if roots is None else members.join(_few(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # the same leaders in all of a node's groups, so that pairs don't grow with the hashes shared
-        order = F.xxhash64("node", F.lit(turn))
-        if turn:
-            mixed = work.put(at.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key"), f"keys{turn}")
-            at = work.put(at.join(_few(mixed), "key", "left_semi"), f"mixed{turn}")
-        # one leader suffices for most groups; those that stay mixed have many from then on
-        leader = at.groupBy("key", F.pmod(order, F.lit(LEADERS if turn else 1)).alias("part")).agg(F.min_by(F.struct("node", "n", "fp", "fp2", "root"), F.struct(order, "node")).alias("lead")).select("key", "lead")
-        sizes = F.least("n", "lead.n") >= F.greatest("n", "lead.n") * similarity - 1e-9
-        near = (F.greatest("n", "lead.n") <= small) | passes_chains((F.col("fp"), F.col("fp2")), (F.col("lead.fp"), F.col("lead.fp2")), tau)
-        pairs = at.join(leader, "key").filter((F.col("root") != F.col("lead.root")) & sizes & near)
-        pairs = pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = work.put(pairs, f"pairs{turn}")
-        wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        if sets is not None:  # those of earlier rounds are kept
-            wanted = wanted.join(sets.select("node"), "node", "left_anti")
-        wanted = work.put(owners.join(wanted, "node", "left_semi"), f"wanted{turn}")
-        texts = base.join(_few(wanted), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"])
-        more = work.put(texts.select("node", "text").mapInArrow(_packed(words), "node long, content binary"), f"sets{turn}")
-        sets = more if sets is None else sets.unionByName(more)
+    owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2")])
+    owners = work.put(owners.select("node", "n", "fp", "fp2", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners")
+    prints = owners.select("node", "n", "fp", "fp2")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = work.put(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}-nodes")
+        texts = _owned_texts(base, owners.select("node", "own_id", "own_mark").join(_few(wanted), "node", "left_semi"))
+        sets = work.put(texts.mapInArrow(_packed(words), "node long, content binary"), f"{name}-sets")
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("content").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("content").alias("b")), "v")
-        found = work.put(both.select("u", "v", "a", "b").mapInArrow(_jaccard(similarity), "u long, v long"), f"links{turn}")
-        if turn:
-            work.drop(f"mixed{turn}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        # the first round, with one leader a group, doesn't end the search
-        if not found.limit(1).count():
-            if turn:
-                break
-            continue
-        links = found if links is None else links.unionByName(found)
+        found = work.put(both.select("u", "v", "a", "b").mapInArrow(_jaccard(similarity), "u long, v long"), f"{name}-links")
+        work.drop(f"{name}-sets")
+        return found
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
         inner = Workspace(work.spark, "similar-components")
-        roots = work.put(connected_components(links, inner), f"roots{turn}")
+        out = work.put(connected_components(links, inner), f"{name}-roots")
         inner.drop_all_but()
-    work.drop_all_but("sketches", *(name for name in work.names if name.startswith("roots")))
-    if roots is None:
-        roots = rows.sparkSession.createDataFrame([], "node long, root long")
+        return out
+
+    # one leader a group, the same for all groups of near copies
+    order = F.struct(F.xxhash64("node"), F.col("node"))
+    leaders = members.groupBy("key").agg(F.min_by("node", order).alias("lead"))
+    stars = members.join(leaders, "key").filter("node <> lead").select("node", "lead").distinct()
+    at = stars.join(_few(prints), "node").join(_few(prints.select(*[F.col(c).alias(f"lead_{c}") for c in prints.columns])), F.col("lead") == F.col("lead_node"))
+    sizes = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * similarity - 1e-9
+    near = (F.greatest("n", "lead_n") <= small) | passes_chains((F.col("fp"), F.col("fp2")), (F.col("lead_fp"), F.col("lead_fp2")), tau)
+    pairs = work.put(at.filter(sizes & near).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "star-pairs")
+    links = verified(pairs, "star")
+    roots = joined(links, "star")
+    for name, best in (("nearest", 2), ("all", None)):
+        rooted = members.join(_few(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")).filter("a < b")
+        mixed = work.put(mixed.select("key", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), f"{name}-mixed")
+        if mixed.isEmpty():
+            break
+        dealt = rooted.join(_few(mixed), "key").join(_few(prints), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
+        dealt = dealt.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "fp", "fp2", "root")
+        dealt = dealt.repartition(shuffle_partitions(work.spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = work.put(dealt.mapInArrow(_pairs_in_groups(similarity, tau, small, best), "u long, v long").distinct(), f"{name}-pairs")
+        found = verified(pairs, name)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = joined(links, name)
+    work.drop_all_but("sketches", *(name for name in work.names if name.endswith("-roots")))
     return rows.select("id", "mark", "node"), roots
 
 
-def keep_similar_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, words: int = SET_WORDS, similarity: float = SIMILARITY, tau: int = SET_BITS, small: int = SMALL_SET) -> DataFrame:
+def keep_similar_representatives(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, words: int = SET_WORDS, similarity: float = SIMILARITY, tau: int = SET_BITS, small: int = SMALL_SET, hot_key: int = HOT_KEY, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, less all of a component but its smallest id.
 
     Documents link where the Jaccard similarity of their sets of ``words``-word
@@ -382,7 +515,7 @@ def keep_similar_representatives(docs: DataFrame, text_col: str = "text", id_col
     name are kept, and an empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "similar")
-    rows, roots = similar_components(docs, text_col, id_col, work, words=words, similarity=similarity, tau=tau, small=small)
+    rows, roots = similar_components(docs, text_col, id_col, work, words=words, similarity=similarity, tau=tau, small=small, hot_key=hot_key, block=block)
     placed = rows.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct(F.col("id").isNull().alias("none"), "id", "mark").alias("who"))
     return _without_copies(docs, text_col, id_col, placed, work)
 

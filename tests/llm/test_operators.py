@@ -158,7 +158,8 @@ def slow_similar(ids, texts, similarity=0.8):
     return {least[root(i)] for i in range(len(ids))}
 
 
-def test_similar_sets_brute_force(spark):
+@pytest.mark.parametrize("hot_key", [64, 2])
+def test_similar_sets_brute_force(spark, hot_key):
     """Chains of edits, copies of all sizes, one passage in all of a third of the texts."""
     rng = random.Random(12)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -177,7 +178,7 @@ def test_similar_sets_brute_force(spark):
     rows = list(enumerate(texts))
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"] for r in simhash.keep_similar_representatives(docs).collect()}
+    got = {r["doc_id"] for r in simhash.keep_similar_representatives(docs, hot_key=hot_key).collect()}
     assert got == slow_similar([k for k, _ in rows], [t for _, t in rows])
 
 
