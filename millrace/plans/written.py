@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..sinks import delimited as writer
 from ..sinks import documents, versions
 from ..sources import arrays, catalogs, containers, delimited, files, jsonlines, media, office, packets, trees
+from ..streaming import streams, tail
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +45,9 @@ def _write(rows: pd.DataFrame, key: str, path: str, make: Callable[[int, pd.Data
     return pd.DataFrame({"n": [len(rows)]})
 
 
-def written(df: DataFrame, key: str, make: Callable[[int, pd.DataFrame], dict[str, bytes]], name: str) -> str:
-    """A new folder with the files that ``make`` gives for each ``FILE_KEYS`` keys; each is one task's work."""
-    path = files.scratch(df.sparkSession, name)
+def written(df: DataFrame, key: str, make: Callable[[int, pd.DataFrame], dict[str, bytes]], name: str, path: str | None = None) -> str:
+    """A folder, new unless given, with the files that ``make`` gives for each ``FILE_KEYS`` keys; each is one task's work."""
+    path = path or files.scratch(df.sparkSession, name)
     numbered = df.withColumn("no", F.expr(f"{key} DIV {FILE_KEYS}"))
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
@@ -236,6 +237,22 @@ def _database(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
     return {f"{no}.db3": bytes(db.serialize())}
 
 
+def _nested_proto(no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    body = "".join(
+        f"message M{k} {{ int64 id = 1; E{k} e = 2; map<string, int32> m = 3; N{k} n = 4; message N{k} {{ bool b = 1; pkg.M{k} back = 2; repeated string t = 3; Lost x = 4; }} }}\nenum E{k} {{ A{k} = 0; B{k} = 1; }}\n"
+        for k in rows["p_partkey"]
+    )
+    return {f"{no}.proto": f'syntax = "proto3";\npackage pkg;\n{body}'.encode()}
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), m AS (SELECT k, '"id":"0","e":"A' || k || '","m":{"key":"value"},' AS head FROM p)
+          SELECT 'pkg.M' || k AS message, '{' || head || '"n":{"b":false,"back":{},"t":["string"],"x":null}}' AS example FROM m
+          UNION ALL SELECT 'pkg.M' || k || '.N' || k, '{"b":false,"back":{' || head || '"n":{}},"t":["string"],"x":null}' FROM m""")
+def proto_examples(spark, sf_dir):
+    """Examples of all messages, names resolved and cycles ended by joins, folded from the innermost out."""
+    return trees.proto_examples(spark, written(_part(spark, sf_dir), "p_partkey", _nested_proto, "examples")).select("message", "example")
+
+
 @query("SELECT c_custkey AS rowid, c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS half FROM customer")
 def sqlite_scan(spark, sf_dir):
     """A table of databases, its nulls kept."""
@@ -643,6 +660,22 @@ def replaced_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _growing(share: float, no: int, rows: pd.DataFrame) -> dict[str, bytes]:
+    content = "".join(f"{x}\n" for x in rows["props"]).encode()
+    return {f"{no}.log": content[: int(len(content) * share)]}
+
+
+@query("SELECT event_id // 500 AS file_no, props AS value, count(*) AS times FROM events GROUP BY ALL")
+def tailed_lines(spark, sf_dir):
+    """Files that grow between the batches of a stream, cut anywhere; each line comes once."""
+    events, folder, out = table(spark, sf_dir, "events").select("event_id", "props"), None, files.scratch(spark, "tailed")
+    for share in (0.3, 0.3, 0.75, 1.0):
+        folder = written(events, "event_id", partial(_growing, share), "growing", folder)
+        streams.sink_parquet(tail.tailed(spark, folder, 4096), f"{out}/rows", f"{out}/state").awaitTermination()
+    got = spark.read.schema(tail.SCHEMA).parquet(f"{out}/rows")
+    return got.groupBy(_file_no("log"), "value").agg(F.count("*").alias("times"))
+
+
 @query("SELECT c_custkey, c_acctbal + 2 AS c_acctbal, 3 AS versions FROM customer WHERE c_custkey % 3 <> 0")
 def saved_versions(spark, sf_dir):
     """A table saved twice over itself, by versions that appear whole."""
