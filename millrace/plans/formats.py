@@ -114,3 +114,13 @@ def shapefile_continued(spark, sf_dir):
     """Features from a number on that meet a box; the index leads to both."""
     got = geo.read_shapefile(spark, _shapes(spark, sf_dir), start=40, box=(10, -5, 70, 8), features=25)
     return got.select("feature_id", F.col("properties")["key"].cast("long").alias("key"), F.col("properties")["name"].alias("name"))
+
+
+@query("SELECT s_suppkey AS key, round(degrees((s_suppkey % 100) * 1000 / 6378137.0), 6) AS lon, round(degrees(2 * atan(exp((s_nationkey - 10) * 1000 / 6378137.0)) - pi() / 2), 6) AS lat, 'projected' AS status FROM supplier")
+def reprojected_points(spark, sf_dir):
+    """Web Mercator, in kilometres, to degrees by column functions."""
+    path = _shapes(spark, sf_dir)
+    for file in spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").load(path).select("path").toLocalIterator():  # a row a file
+        put_file(file[0][:-4] + ".prj", b'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["Central_Meridian",0.0],UNIT["Kilometer",1000.0]]')
+    got = geo.reprojected(geo.read_shapefile(spark, path), geo.read_projections(spark, path))
+    return got.select(F.col("properties")["key"].cast("long").alias("key"), F.round("min_x", 6).alias("lon"), F.round("max_y", 6).alias("lat"), F.col("projection_status").alias("status"))

@@ -7,6 +7,7 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projection as P
 from .shapes import ShapefileSource
 
 #: Geometry of the shape types (with and without z and measures).
@@ -67,6 +68,27 @@ def read_shapefile(spark: SparkSession, path: str, *, start: int = 0, limit: int
     return out
 
 
+def read_projections(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, projection) of a folder's .prj files, or of the one beside a .shp file."""
+    folder, name = (path.rpartition("/")[0], path.rpartition("/")[2][:-4] + ".prj") if path.lower().endswith(".shp") else (path, "*.prj")
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)
+    return texts.select(F.regexp_replace("path", r"\.[^./]+$", "").alias("stem"), P.projection(F.decode("content", "UTF-8")).alias("projection"))
+
+
+def reprojected(features: DataFrame, projections: DataFrame) -> DataFrame:
+    """Features with longitudes and latitudes, their boxes made anew, ``projection_status`` and ``projection_message`` of their file.
+
+    Files without a known projection keep their coordinates. All of it is column expressions.
+    """
+    joined = features.join(projections.withColumnRenamed("stem", "_stem"), F.col("stem") == F.col("_stem"), "left").drop("_stem")
+    p = F.coalesce("projection", P.projection(F.lit(None).cast("string")))
+    moved = joined.withColumn("projection", p).withColumn("coordinates", P.moved(F.col("coordinates"), F.col("geom_type"), F.col("projection")))
+    boxed = moved.withColumn("_box", P.corners(F.col("coordinates"), F.col("geom_type")))
+    for side in ("min_x", "min_y", "max_x", "max_y"):
+        boxed = boxed.withColumn(side, F.col("_box")[side])
+    return boxed.withColumn("projection_status", F.col("projection.status")).withColumn("projection_message", F.col("projection.message")).drop("_box", "projection")
+
+
 def next_start(page: DataFrame) -> DataFrame:
     """(stem, next_start) to continue each file's features after a page of them."""
     return page.groupBy("stem").agg((F.max("feature_id") + 1).alias("next_start"))
