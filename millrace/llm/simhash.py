@@ -17,7 +17,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,10 @@ SIMILARITY = 0.8
 SET_BITS = 40
 SET_SEGMENTS = 4
 SMALL_SET = 16
-#: Sets that share a hash from which on it goes behind all others; hashes of a set in one row batch.
-HOT_KEY, KEY_ROWS = 64, 1 << 16
+#: Sets that share a hash from which on it goes behind all others; how many such hashes have bits, and of how many bits.
+HOT_KEY, HOT_KEYS, HOT_BITS = 64, 1 << 20, 1 << 25
+#: Hashes counted at once, groups of how many times ``HOT_KEY`` sets call for another order, and orders made at most.
+COUNTED, HOT_GROUP, HOT_TURNS = 1 << 21, 16, 3
 #: Sets of a block, of which a group's are compared two at a time; rows that are walked at once, and pairs held.
 BLOCK, GROUP_ROWS, PAIR_ROWS = 4096, 1 << 16, 1 << 20
 #: Rows of a few numbers each (tens of bytes) that are broadcast; more are joined by key.
@@ -245,17 +247,25 @@ def least_overlap(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def _sketches(words: int, similarity: float):
-    """(id, mark, node, n, fp, fp2, prefix): a set's hash, size, SimHash and its least hashes.
+def _behind(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash has its bit set."""
+    at = (hashes & np.uint64(HOT_BITS - 1)).astype(np.int64)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
 
-    Two sets of Jaccard similarity s have a hash in common among the
-    n - ceil(s n) + 1 least ones of each.
+
+def _sketches(words: int, similarity: float, bits=None):
+    """(id, mark, node, n, fp, fp2, prefix): a set's hash, size, SimHash and its first hashes.
+
+    Two sets of Jaccard similarity s have a hash in common among the first
+    n - ceil(s n) + 1 of each, in any order that all sets share: here those without
+    their bit in ``bits`` (a broadcast) come first, then by value.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(x.as_py(), words) for x in batch.column(1)]
-            heads = [s[: len(s) - least_overlap(len(s), similarity) + 1] for s in sets]
+            ordered = sets if bits is None else [x[np.argsort(_behind(x, bits.value), kind="stable")] for x in sets]
+            heads = [x[: len(x) - least_overlap(len(x), similarity) + 1] for x in ordered]
             ends = np.r_[0, np.cumsum([len(x) for x in heads])].astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
@@ -266,6 +276,29 @@ def _sketches(words: int, similarity: float):
     return run
 
 
+def _repeated(words: int):
+    """(key, n) of the hashes that some thousand sets have more than once, of all texts in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), words))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield out()
+                    held, size = [], 0
+        yield out()
+
+    return run
+
+
 def passes_chains(a: tuple[Column, Column], b: tuple[Column, Column], tau: int, segments: int = SET_SEGMENTS) -> Column:
     """Whether, of 128 bits, from some segment on all chains are within their budgets, and all bits within ``tau``."""
     low, high = a[0].bitwiseXOR(b[0]), a[1].bitwiseXOR(b[1])
@@ -306,66 +339,42 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def _all_hashes(words: int):
-    """(node, key) of all hashes of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = shingle_set(text.as_py(), words).view(np.int64)
-                for i in range(0, len(found), KEY_ROWS):
-                    part = found[i : i + KEY_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "key"])
-
-    return run
-
-
 def _owned_texts(base: DataFrame, owners: DataFrame) -> DataFrame:
     """(node, text) of the rows that stand for their sets: ``owners`` has node, own_id, own_mark."""
     return base.join(_few(owners), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark"))).dropDuplicates(["node"]).select("node", "text")
 
 
-def _members(rows: DataFrame, base: DataFrame, work: Workspace, words: int, similarity: float, hot_key: int) -> DataFrame:
-    """(key, node): the first hashes of each set that others have among theirs, those that many sets have put behind all others.
+def _members(base: DataFrame, schema: T.StructType, work: Workspace, words: int, similarity: float, hot_key: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, members): the sketches, and (key, node) of the first hashes that more than one set has.
 
-    Any order of the hashes that all sets share will do: two similar sets have one
-    of their first n - ceil(s n) + 1 in common. By least hash alone a common passage
-    brings all texts that have it together. So hashes with over ``hot_key`` sets go
-    to the end of the order; a set that had some among its first ones gets others
-    in their place, from its text. Sets without any keep theirs.
+    By least hash alone a common passage brings all texts that have it together. So
+    hashes that over ``hot_key`` sets have go to the end of the order. They are
+    counted where a few thousand texts have them more than once, and exactly where
+    groups are still large after that, and known by a bit each in a table of fixed
+    size: what it takes for one of them by chance stands at the end, too, which does no
+    harm, since all sets go by the same table. At most ``HOT_KEYS``, the most frequent, have bits.
     """
-    keys = rows.select(F.explode("prefix").alias("key"), "node")
-    stats = keys.groupBy("key").agg(F.count("*").alias("sets"), F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
-    stats = work.put(stats.select("key", (F.col("sets") > hot_key).alias("hot")), "stats")
-    hot, wanted = work.put(stats.filter("hot").select("key"), "hot"), stats.filter("NOT hot").select("key")
-    if hot.isEmpty():
-        return work.put(keys.join(_few(wanted), "key", "left_semi").distinct(), "members")
-
-    def owners_of(hot: DataFrame, name: str) -> DataFrame:
-        """One row for each set with a hot hash among its first ones."""
-        met = work.put(keys.join(_few(hot), "key", "left_semi").select("node").distinct(), f"{name}-met")
-        owners = rows.join(_few(met), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), F.first("n").alias("n"))
-        return work.put(owners.select("node", "n", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), name)
-
-    def hashes(owners: DataFrame) -> DataFrame:
-        return _owned_texts(base, owners.drop("n")).mapInArrow(_all_hashes(words), "node long, key long")
-
-    # what stands in place of a hot hash may be as hot: the rest of a common passage. So all hashes of these sets are counted
-    more = hashes(owners_of(hot, "met")).groupBy("key").agg(F.count("*").alias("sets")).filter(F.col("sets") > hot_key).select("key")
-    hot = work.put(hot.unionByName(more).distinct(), "behind")
-    owners = owners_of(hot, "reordered")
-    met, every = owners.select("node"), hashes(owners)
-    marked = every.join(_few(hot.withColumn("behind", F.lit(1))), "key", "left")
-    # hashes are unsigned numbers in signed columns
-    order = Window.partitionBy("node").orderBy(F.coalesce("behind", F.lit(0)), F.col("key").bitwiseXOR(F.lit(-(1 << 63))))
-    first = marked.withColumn("place", F.row_number().over(order)).join(_few(owners.select("node", "n")), "node")
-    first = work.put(first.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("key", "node"), "first")
-    wanted = work.put(wanted.join(_few(hot), "key", "left_anti").unionByName(first.select("key")).distinct(), "wanted")
-    others = keys.join(_few(met), "node", "left_anti").join(_few(wanted), "key", "left_semi")
-    out = work.put(others.distinct().unionByName(first), "members")
-    for name in work.names - {"sketches", "members"}:
-        work.drop(name)
-    return out
+    spark = work.spark
+    counted = base.select("text").mapInArrow(_repeated(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_key)
+    bits = np.zeros(HOT_BITS // 8, np.uint8)
+
+    def mark(keys: DataFrame) -> int:
+        """Set the bits of the most frequent keys; how many were new."""
+        found = np.array([r[0] for r in keys.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").toLocalIterator()], np.int64).view(np.uint64)
+        new = found[_behind(found, bits) == 0]
+        at = (new & np.uint64(HOT_BITS - 1)).astype(np.int64)
+        np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return len(new)
+
+    mark(counted)
+    for turn in range(HOT_TURNS):
+        rows = work.put(base.mapInArrow(_sketches(words, similarity, spark.sparkContext.broadcast(bits.copy())), schema), f"sketches{turn}")
+        keys = rows.select(F.explode("prefix").alias("key"), "node")
+        shared = work.put(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"shared{turn}")
+        if turn + 1 == HOT_TURNS or not mark(shared.filter(F.col("n") > HOT_GROUP * hot_key)):
+            break
+        work.drop(f"sketches{turn}")
+    return rows, work.put(keys.join(_few(shared.select("key")), "key", "left_semi").distinct(), "members")
 
 
 def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
@@ -452,8 +461,7 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     mark = F.xxhash64(F.col(f"`{text_col}`"))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    rows = work.put(base.mapInArrow(_sketches(words, similarity), schema), "sketches")
-    members = _members(rows, base, work, words, similarity, hot_key)
+    rows, members = _members(base, schema, work, words, similarity, hot_key)
     nodes = members.select("node").distinct()
     # of a set's rows one stands for it; these are the texts that may have to be compared
     owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2")])
@@ -500,7 +508,7 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         if not found.isEmpty():
             links = links.unionByName(found)
             roots = joined(links, name)
-    work.drop_all_but("sketches", *(name for name in work.names if name.endswith("-roots")))
+    work.drop_all_but(*(name for name in work.names if name.startswith("sketches") or name.endswith("-roots")))
     return rows.select("id", "mark", "node"), roots
 
 

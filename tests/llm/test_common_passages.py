@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import simhash
 from millrace.llm.shared import Workspace
@@ -35,10 +36,24 @@ def test_groups_without_hot_hashes_are_small(spark):
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
     passage = [word() for _ in range(40)]
     rows = [(i, " ".join([word() for _ in range(40)] + passage)) for i in range(400)]
-    docs = spark.createDataFrame(rows, "id long, text string")
-    work = Workspace(spark, "hot-test")
-    base = docs.select("id", "text", F.xxhash64("text").alias("mark"))
-    sketches = work.put(base.mapInArrow(simhash._sketches(5, 0.8), "id long, mark long, node long, n int, fp long, fp2 long, prefix array<long>"), "sketches")
-    plain = sketches.select(F.explode("prefix").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
-    members = simhash._members(sketches, base, work, 5, 0.8, 64)
+    base = spark.createDataFrame(rows, "id long, text string").withColumn("mark", F.xxhash64("text"))
+    schema = T._parse_datatype_string("id long, mark long, node long, n int, fp long, fp2 long, prefix array<long>")
+    plain = base.mapInArrow(simhash._sketches(5, 0.8), schema).select(F.explode("prefix").alias("key")).groupBy("key").count().agg(F.max("count")).first()[0]
+    sketches, members = simhash._members(base, schema, Workspace(spark, "hot-test"), 5, 0.8, 64)
     assert plain > 300 and (members.groupBy("key").count().agg(F.max("count")).first()[0] or 0) <= 64
+    assert all(len(r["prefix"]) == r["n"] - simhash.least_overlap(r["n"], 0.8) + 1 for r in sketches.collect())
+
+
+def test_large_groups_that_no_task_noticed_call_for_another_order(spark, monkeypatch):
+    """Where texts are counted one by one no hash is met twice: the groups say so."""
+    monkeypatch.setattr(simhash, "HOT_GROUP", 1)
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join([word() for _ in range(40)] + passage)) for i in range(300)]
+    base = spark.createDataFrame(rows, "id long, text string").withColumn("mark", F.xxhash64("text"))
+    schema = T._parse_datatype_string("id long, mark long, node long, n int, fp long, fp2 long, prefix array<long>")
+    monkeypatch.setattr(simhash, "_repeated", lambda words: lambda batches: iter(()))
+    work = Workspace(spark, "turns-test")
+    simhash._members(base, schema, work, 5, 0.8, 64)
+    assert "sketches0" not in work.names and work.spark.read.parquet(work.path("members")).groupBy("key").count().agg(F.max("count")).first()[0] < 300
