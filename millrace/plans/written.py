@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import grid, ordered
 from ..sinks import delimited as writer
 from ..sinks import documents, versions
 from ..sources import arrays, catalogs, containers, delimited, files, jsonlines, media, office, packets, trees
@@ -660,6 +661,21 @@ def replaced_table(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("""WITH o AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer),
+          e AS (SELECT -1::BIGINT AS c_custkey, 'new' AS c_name, -1::BIGINT AS k UNION ALL SELECT c_custkey, CASE WHEN i = 6 THEN 'set' ELSE c_name END, CASE WHEN i = 0 THEN 1000000000000 ELSE i END FROM o WHERE i NOT IN (1, 2))
+          SELECT c_custkey, c_name, row_number() OVER (ORDER BY k) AS number FROM e""")
+def edited_lines(spark, sf_dir):
+    """A table edited by row numbers; five log rows, no other row written or numbered anew."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    lines = ordered.OrderedTable.create(customer, [grid.Key(F.col("c_custkey"))], files.scratch(spark, "lines"))
+    lines.insert(0, [(-1, "new")])
+    lines.delete([2, 3])
+    lines.set(5, (customer.orderBy("c_custkey").offset(6).limit(1).first()[0], "set"))
+    lines.move(1, lines.count() - 1)
+    lines.commit()
+    return grid.positions(lines.read(), [grid.Key(F.col("label"))], "number", files.scratch(spark, "numbers")).drop("label")
+
+
 def _growing(share: float, no: int, rows: pd.DataFrame) -> dict[str, bytes]:
     content = "".join(f"{x}\n" for x in rows["props"]).encode()
     return {f"{no}.log": content[: int(len(content) * share)]}
