@@ -115,13 +115,22 @@ class Node:
     line: int = 0
     comment: str | None = None
     inside: list[tuple[str, Node]] = field(default_factory=list)
+    #: of each key the first child of each kind
+    first: dict[str, dict[str, tuple[int, Node]]] = field(default_factory=dict)
 
     def put(self, key: str, node: Node) -> Node:
+        self.first.setdefault(key, {}).setdefault(node.kind, (len(self.inside), node))
         self.inside.append((key, node))
         return node
 
     def get(self, key: str, kinds: frozenset[str]) -> Node | None:
-        return next((n for k, n in self.inside if k == key and n.kind in kinds), None)
+        found = [f for k, f in self.first.get(key, {}).items() if k in kinds]
+        return min(found, key=lambda f: f[0])[1] if found else None
+
+    def take(self, key: str) -> None:
+        """Remove the children of a key."""
+        if self.first.pop(key, None):
+            self.inside = [x for x in self.inside if x[0] != key]
 
     def plain(self) -> object:
         """As JSON has it."""
@@ -193,7 +202,7 @@ def tree(source: str) -> tuple[Node, list[tuple[str, int]]]:
             _, place = line.pair(0, len(line.tokens))
             node = line.value(*place) if place[0] < place[1] else Node("value", "string", "")
             node.line, node.comment = number, comment
-            parent.inside = [x for x in parent.inside if x[0] != key[-1]]
+            parent.take(key[-1])
             parent.put(key[-1], node)
         else:
             warnings.append((form, number))
