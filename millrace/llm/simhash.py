@@ -382,7 +382,7 @@ def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
 
     Rows (key, i, j, block, node, n, fp, fp2, root) sorted by the first three, which
     make a group of at most two blocks; of two blocks only pairs across them count.
-    ``best``: for any two roots only so many pairs, the nearest.
+    ``best``: of each set only so many pairs, the nearest, so that they are no more than the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,11 +399,11 @@ def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
                 every = np.concatenate(found) if found else np.empty((0, 5), np.int64)
                 if best is None:
                     return every
-                a, b = np.minimum(every[:, 3], every[:, 4]), np.maximum(every[:, 3], every[:, 4])
-                rank = np.lexsort((every[:, 2], b, a))
-                fresh = np.r_[True, (np.diff(a[rank]) != 0) | (np.diff(b[rank]) != 0)][: len(rank)]
-                first = np.maximum.accumulate(np.where(fresh, np.arange(len(rank)), 0))
-                return every[rank[np.arange(len(rank)) - first < best]]
+                # each set's nearest, from both sides of a pair
+                own, far, pair = np.r_[every[:, 0], every[:, 1]], np.tile(every[:, 2], 2), np.tile(np.arange(len(every)), 2)
+                rank = np.lexsort((far, own))
+                first = np.maximum.accumulate(np.where(np.r_[True, np.diff(own[rank]) != 0][: len(rank)], np.arange(len(rank)), 0))
+                return every[np.unique(pair[rank[np.arange(len(rank)) - first < best]])]
 
             size = 0
             for d in range(1, len(c)):
@@ -453,7 +453,7 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     Sets that share one of their first hashes are a group. First each set of a group
     is compared with one leader, which connects most copies; then, in the groups
     that are still of several roots, every pair of sets with different roots whose
-    sizes and SimHashes allow it: the nearest of any two roots first, all at last.
+    sizes and SimHashes allow it: each set's nearest first, twice, and at last all others.
     So no pair of different roots is left out but those whose SimHashes differ in
     over ``tau`` of 128 bits (sets of up to ``small`` shingles are never judged by them).
     Groups are walked in blocks of ``block`` sets, two at a time.
@@ -493,7 +493,8 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     pairs = work.put(at.filter(sizes & near).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "star-pairs")
     links = verified(pairs, "star")
     roots = joined(links, "star")
-    for name, best in (("nearest", 2), ("all", None)):
+    tested = pairs
+    for name, best in (("nearest", 2), ("further", 4), ("all", None)):
         rooted = members.join(_few(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")).filter("a < b")
         mixed = work.put(mixed.select("key", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), f"{name}-mixed")
@@ -503,7 +504,9 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
         dealt = dealt.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "fp", "fp2", "root")
         dealt = dealt.repartition(shuffle_partitions(work.spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = work.put(dealt.mapInArrow(_pairs_in_groups(similarity, tau, small, best), "u long, v long").distinct(), f"{name}-pairs")
+        pairs = dealt.mapInArrow(_pairs_in_groups(similarity, tau, small, best), "u long, v long").distinct()
+        pairs = work.put(pairs.join(tested, ["u", "v"], "left_anti"), f"{name}-pairs")
+        tested = tested.unionByName(pairs)
         found = verified(pairs, name)
         if not found.isEmpty():
             links = links.unionByName(found)
