@@ -15,15 +15,16 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
+def connected_components(edges: DataFrame, work: Workspace, rows: int | None = None) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v): root is the smallest node reachable.
 
     Each round links every node's larger neighbours, then its smaller ones, to
     the smallest node near it, until only stars remain; the rounds grow with the
     logarithm of the longest path. Each round is written to the shared folder.
+    ``rows``: how many edges there are, if that is known.
     """
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    now = work.put(now, "edges0")
+    now = work.put(now, "edges0", rows=rows)
     before = _signature(now)
     for turn in range(1, MAX_ROUNDS + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +33,7 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         # every edge of large is (larger, smaller)
         low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = work.put(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), f"edges{turn}")
+        nxt = work.put(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), f"edges{turn}", rows=before[0])
         after = _signature(nxt)
         work.drop(f"edges{turn - 1}")
         now = nxt

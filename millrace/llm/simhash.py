@@ -47,6 +47,8 @@ COUNTED, HOT_GROUP, HOT_TURNS = 1 << 21, 16, 3
 BLOCK, GROUP_ROWS, PAIR_ROWS = 4096, 1 << 16, 1 << 20
 #: Rows of a few numbers each (tens of bytes) that are broadcast; more are joined by key.
 BROADCAST_ROWS = 500_000
+#: Rows of numbers that a set to be made weighs, and a pair of sets to be compared.
+SET_WEIGHT, PAIR_WEIGHT = 40, 4
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -462,24 +464,25 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     rows, members = _members(base, schema, work, words, similarity, hot_key)
-    nodes = members.select("node").distinct()
+    nodes, shared = members.select("node").distinct(), members.count()
     # of a set's rows one stands for it; these are the texts that may have to be compared
     owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2")])
-    owners = work.put(owners.select("node", "n", "fp", "fp2", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners")
+    owners = work.put(owners.select("node", "n", "fp", "fp2", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners", rows=shared)
     prints = owners.select("node", "n", "fp", "fp2")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = work.put(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}-nodes")
+        many = pairs.count()
+        wanted = work.put(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{name}-nodes", rows=2 * many)
         texts = _owned_texts(base, owners.select("node", "own_id", "own_mark").join(_few(wanted), "node", "left_semi"))
-        sets = work.put(texts.mapInArrow(_packed(words), "node long, content binary"), f"{name}-sets")
+        sets = work.put(texts.mapInArrow(_packed(words), "node long, content binary"), f"{name}-sets", rows=SET_WEIGHT * wanted.count())
         both = pairs.join(sets.select(F.col("node").alias("u"), F.col("content").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("content").alias("b")), "v")
-        found = work.put(both.select("u", "v", "a", "b").mapInArrow(_jaccard(similarity), "u long, v long"), f"{name}-links")
+        found = work.put(both.select("u", "v", "a", "b").mapInArrow(_jaccard(similarity), "u long, v long"), f"{name}-links", rows=PAIR_WEIGHT * many)
         work.drop(f"{name}-sets")
         return found
 
     def joined(links: DataFrame, name: str) -> DataFrame:
         inner = Workspace(work.spark, "similar-components")
-        out = work.put(connected_components(links, inner), f"{name}-roots")
+        out = work.put(connected_components(links, inner, many := links.count()), f"{name}-roots", rows=2 * many)
         inner.drop_all_but()
         return out
 
@@ -490,14 +493,14 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     at = stars.join(_few(prints), "node").join(_few(prints.select(*[F.col(c).alias(f"lead_{c}") for c in prints.columns])), F.col("lead") == F.col("lead_node"))
     sizes = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * similarity - 1e-9
     near = (F.greatest("n", "lead_n") <= small) | passes_chains((F.col("fp"), F.col("fp2")), (F.col("lead_fp"), F.col("lead_fp2")), tau)
-    pairs = work.put(at.filter(sizes & near).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "star-pairs")
+    pairs = work.put(at.filter(sizes & near).select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "star-pairs", rows=shared)
     links = verified(pairs, "star")
     roots = joined(links, "star")
     tested = pairs
     for name, best in (("nearest", 2), ("further", 4), ("all", None)):
         rooted = members.join(_few(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")).filter("a < b")
-        mixed = work.put(mixed.select("key", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), f"{name}-mixed")
+        mixed = work.put(mixed.select("key", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), f"{name}-mixed", rows=shared)
         if mixed.isEmpty():
             break
         dealt = rooted.join(_few(mixed), "key").join(_few(prints), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -505,7 +508,7 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         dealt = dealt.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "fp", "fp2", "root")
         dealt = dealt.repartition(shuffle_partitions(work.spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = dealt.mapInArrow(_pairs_in_groups(similarity, tau, small, best), "u long, v long").distinct()
-        pairs = work.put(pairs.join(tested, ["u", "v"], "left_anti"), f"{name}-pairs")
+        pairs = work.put(pairs.join(tested, ["u", "v"], "left_anti"), f"{name}-pairs", rows=best and best * shared)
         tested = tested.unionByName(pairs)
         found = verified(pairs, name)
         if not found.isEmpty():
