@@ -9,6 +9,7 @@ what has been added, in ranges that tasks share.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ..sources.ranges import Bytes
 from ..sources.shapes import found_files
 
 SCHEMA = "file string, offset long, value string"
+#: Files whose last line break is looked for at once.
+LOOKS = 16
 #: Bytes of one partition, and of a step back from a file's end to its last line break.
 RANGE_BYTES, STEP = 32 << 20, 1 << 16
 
@@ -36,7 +39,7 @@ def complete(path: str, size: int, known: int = 0) -> int:
 
 
 @dataclass
-class LineRange(InputPartition):
+class LineRange:
     """Lines that start in [low, high); ``first`` says that one starts at ``low``."""
 
     file: str
@@ -46,6 +49,26 @@ class LineRange(InputPartition):
     first: bool
 
 
+@dataclass
+class LineRanges(InputPartition):
+    """Ranges that one task reads."""
+
+    parts: list[LineRange]
+
+
+def dealt(parts: list[LineRange], tasks: int) -> list[LineRanges]:
+    """Ranges in order, put together up to an equal share of ``tasks`` tasks, at most ``RANGE_BYTES``: small files share a task."""
+    share = min(RANGE_BYTES, -(-sum(p.high - p.low for p in parts) // tasks))
+    out, size = [], 0
+    for part in parts:
+        if not out or size + part.high - part.low > share:
+            out.append(LineRanges([]))
+            size = 0
+        out[-1].parts.append(part)
+        size += part.high - part.low
+    return out
+
+
 def lines(part: LineRange) -> Iterator[tuple[str, int, str]]:
     with Bytes(part.file) as data:
         at = part.low
@@ -84,7 +107,7 @@ class TailSource(DataSource):
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options):
-        self.path, self.range = options["path"], int(options.get("range", RANGE_BYTES))
+        self.path, self.range, self.tasks = options["path"], int(options.get("range", RANGE_BYTES)), int(options.get("tasks", 1))
         self.seen: dict[str, tuple[int, int]] = {}  # of each file: (size when looked at, complete bytes then)
 
     def initialOffset(self) -> dict:
@@ -92,29 +115,32 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         """How far each file is complete; only what was added since the last look is searched for a break."""
-        out = {}
-        for path, size in found_files(self.path):
+
+        def look(found: tuple[str, int]) -> tuple[str, tuple[int, int]]:
+            path, size = found
             size_then, known = self.seen.get(path, (0, 0))
             if size < size_then:  # begun anew
                 known = 0
             if size != size_then:
                 known = complete(path, size, known)
-            self.seen[path] = (size, known)
-            out[path] = known
-        return out
+            return path, (size, known)
+
+        with ThreadPoolExecutor(LOOKS) as pool:
+            self.seen.update(pool.map(look, found := found_files(self.path)))
+        return {path: self.seen[path][1] for path, _ in found}
 
-    def partitions(self, start: dict, end: dict) -> list[LineRange]:
+    def partitions(self, start: dict, end: dict) -> list[LineRanges]:
         out = []
         for path, high in sorted(end.items()):
             low = start.get(path, 0)
             if high < low:  # a file that has been begun anew
                 low = 0
             out += [LineRange(path, at, min(at + self.range, high), high, at == low) for at in range(low, high, self.range)]
-        return out or [LineRange("", 0, 0, 0, True)]
+        return dealt(out, self.tasks) or [LineRanges([])]
 
-    def read(self, partition: LineRange) -> Iterator[tuple]:
-        if partition.file:
-            yield from lines(partition)
+    def read(self, partition: LineRanges) -> Iterator[tuple]:
+        for part in partition.parts:
+            yield from lines(part)
 
     def commit(self, end: dict) -> None:
         pass
@@ -128,4 +154,4 @@ def tailed(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Da
     are found. A restarted query goes on from its checkpoint.
     """
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("tail").option("range", range_bytes).load(path)
+    return spark.readStream.format("tail").option("range", range_bytes).option("tasks", 2 * spark.sparkContext.defaultParallelism).load(path)
