@@ -79,9 +79,15 @@ def cut(spark: SparkSession, path: str | list[str], size: int = RANGE_BYTES) ->
     return split.select("file", "length", "part", (F.col("part") * size).alias("low"), F.least(F.col("part") * size + size, F.greatest("length", F.lit(1))).alias("high"))
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """About one row of (file, part) a task."""
-    return df.repartition(max(1, min(rows, 100_000)), "file", "part")
+def tasks_for(spark: SparkSession, ranges: DataFrame) -> int:
+    """How many tasks walk some ranges: one for ``RANGE_BYTES``, so that small ranges share one, but enough for all cores."""
+    many, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("high") - F.col("low")), F.lit(0))).first()
+    return max(1, min(many, 100_000, max(2 * spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))))
+
+
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """Rows of (file, part) dealt to some tasks."""
+    return df.repartition(tasks, "file", "part")
 
 
 def mapped(df: DataFrame, rows_of: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
@@ -183,8 +189,8 @@ def indexed(spark: SparkSession, path: str | list[str], guess: Callable, walk: C
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(done, arrow)], schema=arrow)
 
     ranges = cut(spark, path, size)
-    many = ranges.agg(F.count("*")).first()[0]
+    tasks = tasks_for(spark, ranges)
     kept = scratch(spark, "ranges")
     # the ranges of one file are few rows: its size by the size of a range
-    mapped(spread(ranges, many), first, WALK).groupBy("file").applyInArrow(stitch, INDEX).write.parquet(kept)
-    return spread(spark.read.schema(INDEX).parquet(kept), many)
+    mapped(spread(ranges, tasks), first, WALK).groupBy("file").applyInArrow(stitch, INDEX).write.parquet(kept)
+    return spread(spark.read.schema(INDEX).parquet(kept), tasks)
