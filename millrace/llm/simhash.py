@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -39,6 +39,8 @@ SIMILARITY = 0.8
 SET_BITS = 40
 SET_SEGMENTS = 4
 SMALL_SET = 16
+#: Longs that say for each of 64 classes of hashes a long whether a set has an odd number of that class.
+ODDS = [f"odd{k}" for k in range(8)]
 #: Sets that share a hash from which on it goes behind all others; how many such hashes have bits, and of how many bits.
 HOT_KEY, HOT_KEYS, HOT_BITS = 64, 1 << 20, 1 << 25
 #: Hashes counted at once, groups of how many times ``HOT_KEY`` sets call for another order, and orders made at most.
@@ -245,6 +247,21 @@ def _set_print(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)
 
 
+def odd_classes(hashes: np.ndarray) -> np.ndarray:
+    """For each class of hashes (by the highest bits) whether there is an odd number of them, as longs of bits.
+
+    Two sets differ in at least one hash of each class in which these bits differ.
+    """
+    places = 64 * len(ODDS)
+    counts = np.bincount((hashes >> np.uint64(64 - (places - 1).bit_length())).astype(np.int64), minlength=places)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def share(similarity: float) -> float:
+    """The least overlap of two sets of this Jaccard similarity, as a share of the sum of their sizes."""
+    return similarity / (1 + similarity)
+
+
 def least_overlap(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
@@ -255,8 +272,8 @@ def _behind(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
 
 
-def _sketches(words: int, similarity: float, bits=None):
-    """(id, mark, node, n, fp, fp2, prefix): a set's hash, size, SimHash and its first hashes.
+def _sketches(words: int, similarity: float, bits=None, names: Sequence[str] = ("id", "mark", "node", "n", "fp", "fp2", "prefix")):
+    """The columns ``names`` of id, mark, node, n, fp, fp2, prefix and ``ODDS``: a set's hash, size, SimHash, first hashes and odd classes.
 
     Two sets of Jaccard similarity s have a hash in common among the first
     n - ceil(s n) + 1 of each, in any order that all sets share: here those without
@@ -272,8 +289,11 @@ def _sketches(words: int, similarity: float, bits=None):
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads).view(np.int64)))
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             prints = np.array([_set_print(s) for s in sets], np.int64).reshape(-1, 2)
-            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), prefix]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "node", "n", "fp", "fp2", "prefix"])
+            columns = {"id": batch.column(0), "mark": batch.column(2), "node": pa.array(node), "n": pa.array([len(s) for s in sets], pa.int32()), "fp": pa.array(prints[:, 0]), "fp2": pa.array(prints[:, 1]), "prefix": prefix}
+            if ODDS[0] in names:
+                odds = np.array([odd_classes(s) for s in sets], np.int64).reshape(-1, len(ODDS))
+                columns |= {c: pa.array(odds[:, k]) for k, c in enumerate(ODDS)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], list(names))
 
     return run
 
@@ -347,7 +367,7 @@ def _owned_texts(base: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def _members(base: DataFrame, schema: T.StructType, work: Workspace, words: int, similarity: float, hot_key: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, members): the sketches, and (key, node) of the first hashes that more than one set has.
+    """(rows, members): the sketches, and (key, node, rest) of the first hashes that more than one set has.
 
     By least hash alone a common passage brings all texts that have it together. So
     hashes that over ``hot_key`` sets have go to the end of the order. They are
@@ -355,6 +375,10 @@ def _members(base: DataFrame, schema: T.StructType, work: Workspace, words: int,
     groups are still large after that, and known by a bit each in a table of fixed
     size: what it takes for one of them by chance stands at the end, too, which does no
     harm, since all sets go by the same table. At most ``HOT_KEYS``, the most frequent, have bits.
+
+    ``rest`` is how many hashes a set has from the key on. The first key that two sets
+    share has all of their overlap behind it, so a member whose rest can't hold the
+    overlap with the group's smallest set isn't needed there: such pairs meet at a key before.
     """
     spark = work.spark
     counted = base.select("text").mapInArrow(_repeated(words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > hot_key)
@@ -370,20 +394,24 @@ def _members(base: DataFrame, schema: T.StructType, work: Workspace, words: int,
 
     mark(counted)
     for turn in range(HOT_TURNS):
-        rows = work.put(base.mapInArrow(_sketches(words, similarity, spark.sparkContext.broadcast(bits.copy())), schema), f"sketches{turn}")
-        keys = rows.select(F.explode("prefix").alias("key"), "node")
-        shared = work.put(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), f"shared{turn}")
+        rows = work.put(base.mapInArrow(_sketches(words, similarity, spark.sparkContext.broadcast(bits.copy()), schema.names), schema), f"sketches{turn}")
+        keys = rows.select(F.posexplode("prefix").alias("at", "key"), "node", F.col("n").alias("size"))
+        shared = work.put(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("least")).filter("n > 1"), f"shared{turn}")
         if turn + 1 == HOT_TURNS or not mark(shared.filter(F.col("n") > HOT_GROUP * hot_key)):
             break
         work.drop(f"sketches{turn}")
-    return rows, work.put(keys.join(_few(shared.select("key")), "key", "left_semi").distinct(), "members")
+    rest = F.col("size") - F.col("at")
+    kept = keys.join(_few(shared.select("key", "least")), "key").filter(rest >= (F.col("size") + F.col("least")) * share(similarity) - 1e-6)
+    return rows, work.put(kept.select("key", "node", rest.alias("rest")).distinct(), "members")
 
 
 def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
-    """Pairs (u, v) of sets with different roots in a group that may be similar by sizes and SimHashes.
+    """Pairs (u, v) of sets with different roots in a group that may be similar by sizes, places, odd classes and SimHashes.
 
-    Rows (key, i, j, block, node, n, fp, fp2, root) sorted by the first three, which
+    Rows (key, i, j, block, node, n, fp, fp2, root, rest, ``ODDS``) sorted by the first three, which
     make a group of at most two blocks; of two blocks only pairs across them count.
+    Sizes, places and odd classes are bounds that no similar pair passes, so what
+    comes out is little more than the similar pairs.
     ``best``: of each set only so many pairs, the nearest, so that they are no more than the rows.
     """
 
@@ -391,14 +419,17 @@ def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
         held: list[np.ndarray] = []
 
         def solve(c: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key, i, j, block, node, n, root = (c[:, k] for k in (0, 1, 2, 3, 4, 5, 8))
-            fp = c[:, 6:8].view(np.uint64)
+            key, i, j, block, node, n, root, rest = (c[:, k] for k in (0, 1, 2, 3, 4, 5, 8, 9))
+            fp, odd = c[:, 6:8].view(np.uint64), np.ascontiguousarray(c[:, 10:]).view(np.uint64)
             cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             group = np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(c)]))
             found: list[np.ndarray] = []
 
             def taken() -> np.ndarray:
-                every = np.concatenate(found) if found else np.empty((0, 5), np.int64)
+                every = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+                # a pair of several groups counts once
+                every = every[np.lexsort((every[:, 1], every[:, 0]))]
+                every = every[np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)][: len(every)]]
                 if best is None:
                     return every
                 # each set's nearest, from both sides of a pair
@@ -414,12 +445,16 @@ def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
                     break
                 y = x + d
                 ok = (root[x] != root[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+                ok &= np.minimum(rest[x], rest[y]) >= share(similarity) * (n[x] + n[y]) - 1e-6
                 x, y = x[ok], y[ok]
                 far = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64)
                 ok = (far <= tau) | (np.maximum(n[x], n[y]) <= small)
+                x, y, far = x[ok], y[ok], far[ok]
+                apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+                ok = apart <= (1 - 2 * share(similarity)) * (n[x] + n[y]) + 1e-6
                 if ok.any():
                     x, y = x[ok], y[ok]
-                    found.append(np.column_stack([node[x], node[y], far[ok], root[x], root[y]]))
+                    found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), far[ok]]))
                     size += len(x)
                     if size > PAIR_ROWS:
                         kept = taken()
@@ -431,8 +466,7 @@ def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
             yield emit(taken())
 
         def emit(pairs: np.ndarray) -> pa.RecordBatch:
-            u, v = np.minimum(pairs[:, 0], pairs[:, 1]), np.maximum(pairs[:, 0], pairs[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
         for batch in batches:
             held.append(np.column_stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns]))
@@ -442,7 +476,7 @@ def _pairs_in_groups(similarity: float, tau: int, small: int, best: int | None):
                 if last:
                     yield from solve(c[:last])
                 held = [c[last:]]
-        c = np.concatenate(held) if held else np.empty((0, 9), np.int64)
+        c = np.concatenate(held) if held else np.empty((0, 10 + len(ODDS)), np.int64)
         if len(c):
             yield from solve(c)
 
@@ -462,12 +496,12 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     """
     mark = F.xxhash64(F.col(f"`{text_col}`"))
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), mark.alias("mark"))
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), *[T.StructField(c, T.LongType()) for c in ODDS]])
     rows, members = _members(base, schema, work, words, similarity, hot_key)
     nodes, shared = members.select("node").distinct(), members.count()
     # of a set's rows one stands for it; these are the texts that may have to be compared
-    owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2")])
-    owners = work.put(owners.select("node", "n", "fp", "fp2", F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners", rows=shared)
+    owners = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("who"), *[F.first(c).alias(c) for c in ("n", "fp", "fp2", *ODDS)])
+    owners = work.put(owners.select("node", "n", "fp", "fp2", *ODDS, F.col("who.id").alias("own_id"), F.col("who.mark").alias("own_mark")), "owners", rows=shared)
     prints = owners.select("node", "n", "fp", "fp2")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -498,14 +532,14 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
     roots = joined(links, "star")
     tested = pairs
     for name, best in (("nearest", 2), ("further", 4), ("all", None)):
-        rooted = members.join(_few(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        rooted = members.join(_few(roots), "node", "left").select("key", "node", "rest", F.coalesce("root", "node").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("sets")).filter("a < b")
         mixed = work.put(mixed.select("key", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), f"{name}-mixed", rows=shared)
         if mixed.isEmpty():
             break
-        dealt = rooted.join(_few(mixed), "key").join(_few(prints), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = rooted.join(_few(mixed), "key").join(_few(owners.select("node", "n", "fp", "fp2", *ODDS)), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
-        dealt = dealt.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "fp", "fp2", "root")
+        dealt = dealt.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "fp", "fp2", "root", "rest", *ODDS)
         dealt = dealt.repartition(shuffle_partitions(work.spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
         pairs = dealt.mapInArrow(_pairs_in_groups(similarity, tau, small, best), "u long, v long").distinct()
         pairs = work.put(pairs.join(tested, ["u", "v"], "left_anti"), f"{name}-pairs", rows=best and best * shared)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,3 +58,47 @@ def test_large_groups_that_no_task_noticed_call_for_another_order(spark, monkeyp
     work = Workspace(spark, "turns-test")
     simhash._members(base, schema, work, 5, 0.8, 64)
     assert "sketches0" not in work.names and work.spark.read.parquet(work.path("members")).groupBy("key").count().agg(F.max("count")).first()[0] < 300
+
+
+def test_odd_classes_are_a_bound():
+    """Sets differ in as many hashes as their bits do, or more; few differences show one by one."""
+    rng = np.random.default_rng(15)
+    for n in (0, 1, 20, 300, 5000):
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        for d in (0, 1, n // 5, n):
+            b = np.r_[a[d:], rng.integers(0, 1 << 64, d, dtype=np.uint64)]
+            apart = int(np.bitwise_count((simhash.odd_classes(a) ^ simhash.odd_classes(b)).view(np.uint64)).sum())
+            assert apart <= 2 * d and (n != 300 or d != 60 or apart > 80)
+
+
+def test_unlinked_copies_make_no_square_of_pairs(spark, monkeypatch):
+    """Copies of one text with too many changes to link to most others: their pairs grow with the rows, not with their square."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(250):
+        copy = list(base)
+        for _ in range(rng.choice((1, 2, 2, 2, 2))):
+            copy[rng.randrange(5, 115)] = word()
+        texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    read, made, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), simhash._pairs_in_groups
+
+    def counted(*args):
+        def run(batches):
+            def through():
+                for batch in batches:
+                    read.add(batch.num_rows)
+                    yield batch
+
+            for batch in inner(through()):
+                made.add(batch.num_rows)
+                yield batch
+
+        inner = plain(*args)
+        return run
+
+    monkeypatch.setattr(simhash, "_pairs_in_groups", counted)
+    got = {r["doc_id"] for r in simhash.keep_similar_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_similar([k for k, _ in rows], [t for _, t in rows])
+    assert read.value > 500 and made.value < read.value, (read.value, made.value)
