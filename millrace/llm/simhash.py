@@ -537,7 +537,8 @@ def similar_components(docs: DataFrame, text_col: str, id_col: str, work: Worksp
         mixed = work.put(mixed.select("key", F.ceil(F.col("sets") / block).cast("int").alias("blocks")), f"{name}-mixed", rows=shared)
         if mixed.isEmpty():
             break
-        dealt = rooted.join(_few(mixed), "key").join(_few(owners.select("node", "n", "fp", "fp2", *ODDS)), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # rows this wide aren't broadcast: the driver would hold them
+        dealt = rooted.join(_few(mixed), "key").join(owners.select("node", "n", "fp", "fp2", *ODDS), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         other = F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")
         dealt = dealt.select("*", other).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "fp", "fp2", "root", "rest", *ODDS)
         dealt = dealt.repartition(shuffle_partitions(work.spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
