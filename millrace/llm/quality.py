@@ -158,14 +158,24 @@ def fit_quality(docs: DataFrame, labels: DataFrame, **options) -> FactorisationM
 
     Of a repeated id one text is used. Without labelled rows every score is one half.
     """
-    got = training_rows(docs, labels, **options).mapInArrow(_features, "index binary, value binary, label int").collect()
-    rows = sorted((bytes(r["index"]), bytes(r["value"]), r["label"]) for r in got)
+    got = training_rows(docs, labels, **options).mapInArrow(_features, "index binary, value binary, label int").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("index", "value", "label")])
     machine = FactorisationMachine(BUCKETS + len(STATISTICS))
-    if not rows:
+    if not len(got):
         machine.v[:] = 0
         return machine
-    pairs = [(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for i, v, _ in rows]
-    return machine.fit(pairs, np.array([y for *_, y in rows], float))
+    # views of one array each: thousands of small arrays would leave the process their memory for good
+    pairs = list(zip(_numbers(got["index"], np.int32, np.int64), _numbers(got["value"], np.float32, np.float64)))
+    return machine.fit(pairs, got["label"].to_numpy().astype(float))
+
+
+def _numbers(column: pa.ChunkedArray, kind: type, wide: type) -> list[np.ndarray]:
+    """Each row's packed numbers of ``kind``, as ``wide`` ones."""
+    packed = [x.cast(pa.large_binary()) for x in column.chunks if len(x)]
+    bounds = [np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] for x in packed]
+    every = np.concatenate([np.frombuffer(x.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] for x, at in zip(packed, bounds)]).view(kind).astype(wide)
+    sizes = np.concatenate([np.diff(at) for at in bounds]) // np.dtype(kind).itemsize
+    return np.split(every, np.cumsum(sizes)[:-1])
 
 
 def score_quality(docs: DataFrame, machine: FactorisationMachine, text_col: str = "text", *, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
